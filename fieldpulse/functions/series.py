@@ -55,49 +55,56 @@ def with_windowed(df: DataFrame, values: dict[str, Windowed]) -> DataFrame:
     return df.withColumns(raw).withColumns({name: v.out for name, v in values.items()}).drop(*raw)
 
 
-def recent_values(value: str, rows: int, order: str = "_ord") -> dict[str, Column]:
-    """The last observations of a value as an array; a struct per entry keeps the NULLs collect_list would drop."""
-    frame = by_object(order).rowsBetween(-rows, 0)
-    return {f"_recent{rows}_{value}": F.collect_list(F.struct(F.col(value).alias("v"))).over(frame)}
-
+@dataclass(frozen=True)
+class Ewm:
+    """Exponentially weighted mean of ``value`` with the usual ``span`` (decay 1 - 2 / (span + 1) per observation).
 
-def fold_ewm(recent: Column, decay: float) -> Column:
-    """Weighted mean of an array of ``{v}``, newest last, each older entry counting ``decay`` times less."""
-    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("w"))
-    return F.aggregate(
-        recent, zero,
-        lambda s, x: F.struct(
-            (s["n"] * decay + F.coalesce(x["v"], F.lit(0.0))).alias("n"),
-            (s["w"] * decay + F.when(x["v"].isNull(), 0.0).otherwise(1.0)).alias("w")),
-        lambda s: F.try_divide(s["n"], s["w"]))
+    ``adjust=True`` divides by the summed weights, a NULL ages the weights and carries the last mean;
+    ``adjust=False`` is the plain recursion started at the first observation.
+    """
 
+    value: str
+    span: int
+    adjust: bool = True
 
-def span_decay(span: int) -> float:
-    return 1.0 - 2.0 / (span + 1.0)
+    @property
+    def decay(self) -> float:
+        return 1.0 - 2.0 / (self.span + 1.0)
 
 
-def ewm_mean(value: str, span: int, order: str = "_ord", adjust: bool = True) -> Windowed:
-    """Exponentially weighted mean over an object's observations.
+def with_ewm(df: DataFrame, means: dict[str, Ewm], order: str = "_ord") -> DataFrame:
+    """Add exponentially weighted means over each object's observations at a constant cost per row.
 
-    ``adjust=True`` divides by the summed weights, a NULL ages the weights and carries the last mean;
-    ``adjust=False`` is the plain recursion started at the first observation. The fold looks back until the weight of
-    what it leaves out drops below double precision, so the work per row has a fixed bound.
+    Observations are numbered and cut into blocks long enough for a whole block's weight to vanish in double
+    precision. Inside a block the mean is a running sum of values scaled by 1 / decay^position, which cannot overflow
+    there; every row also takes part in the following block (if the object has one), so a mean looks back over at
+    least one full block. The blocks need no shuffle beyond the one that brings an object's days together.
     """
-    decay = span_decay(span)
-    raw = recent_values(value, look_back(decay), order)
-    recent = F.col(next(iter(raw)))
-    if adjust:
-        return Windowed(raw, fold_ewm(recent, decay))
-    return Windowed(raw, F.aggregate(
-        recent, F.lit(None).cast("double"),
-        lambda s, x: F.when(s.isNull(), x["v"]).otherwise(s * decay + x["v"] * (1.0 - decay))))
-
-
-def ewm_cross(value: str, fast: int = 3, slow: int = 14, order: str = "_ord") -> Windowed:
-    """Fast minus slow exponentially weighted mean, both folded over the one array the slow span needs."""
-    raw = recent_values(value, look_back(span_decay(slow)), order)
-    recent = F.col(next(iter(raw)))
-    return Windowed(raw, fold_ewm(recent, span_decay(fast)) - fold_ewm(recent, span_decay(slow)))
+    block = max(look_back(m.decay) for m in means.values())
+    keep = df.columns
+    numbered = df.withColumns({"_rn": F.row_number().over(by_object(order)) - 1,
+                               "_rows": F.count(F.lit(1)).over(Window.partitionBy("object_id"))})
+    own = F.floor(F.col("_rn") / block).cast("int")
+    place = F.col("_rn") % block
+    here = F.struct(own.alias("block"), place.alias("place"), F.lit(True).alias("own"))
+    ahead = F.struct((own + 1).alias("block"), (place - block).alias("place"), F.lit(False).alias("own"))
+    copies = F.when((own + 1) * block < F.col("_rows"), F.array(here, ahead)).otherwise(F.array(here))
+    spread = numbered.withColumn("_c", F.explode(copies)).select("*", "_c.block", "_c.place", "_c.own")
+    so_far = Window.partitionBy("object_id", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+
+    raw, out = {}, {}
+    for name, m in means.items():
+        scale = F.pow(F.lit(m.decay), -F.col("place"))
+        x = F.col(m.value)
+        if m.adjust:
+            raw[f"_num_{name}"] = F.sum(x * scale).over(so_far)
+            raw[f"_den_{name}"] = F.sum(F.when(x.isNotNull(), scale)).over(so_far)
+            out[name] = F.try_divide(F.col(f"_num_{name}"), F.col(f"_den_{name}"))
+        else:
+            share = F.when(F.col("_rn") == 0, F.lit(1.0)).otherwise(F.lit(1.0 - m.decay))
+            raw[f"_num_{name}"] = F.sum(x * share * scale).over(so_far)
+            out[name] = F.col(f"_num_{name}") * F.pow(F.lit(m.decay), F.col("place"))
+    return spread.withColumns(raw).where("own").select(*keep, *[c.alias(name) for name, c in out.items()])
 
 
 def bias_corrected_skew(value: Column | str) -> Column:

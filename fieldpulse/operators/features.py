@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldpulse.functions.series import Windowed, bias_corrected_skew, ewm_cross, history, last_days, with_windowed
+from fieldpulse.functions.series import Ewm, Windowed, bias_corrected_skew, history, last_days, with_ewm, with_windowed
 from fieldpulse.functions.values import clip, epoch_date, epoch_hour, finite
 from fieldpulse.operators.cleaning import clean_features, dedup_measurements
 from fieldpulse.schemas import (
@@ -158,6 +158,12 @@ def roll_share(flag: str, days: int, min_points: int = 3) -> Windowed:
                     F.when(F.col(next(iter(counted))) >= min_points, F.col(f"_m{days}_{flag}")))
 
 
+def ewma_cross(df: DataFrame, value: str, name: str, fast: int = 3, slow: int = 14) -> DataFrame:
+    """Fast minus slow exponentially weighted mean."""
+    both = with_ewm(df, {"_fast": Ewm(value, fast), "_slow": Ewm(value, slow)})
+    return both.withColumn(name, F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
+
+
 def carried(value: str) -> Windowed:
     """The value, or the last known one where it is missing."""
     return Windowed({f"_carry_{value}": F.last(value, ignorenulls=True).over(history())}, F.col(f"_carry_{value}"))
@@ -169,7 +175,8 @@ def interday(df: DataFrame) -> DataFrame:
     Every window shares one partitioning and one order, so the whole stage costs a single exchange and sort.
     """
     keep = df.columns
-    df = with_windowed(with_day_number(df), {
+    df = ewma_cross(with_day_number(df), "dp_mean", "_cross")
+    df = with_windowed(df, {
         "t_supply_vs_curve": curve_residual("t_supply_mean"),
         "dt_vs_expected": curve_residual("dt_mean"),
         **{f"{_base(c)}_robust_z": robust_z(c) for c in SCALE_FLOOR},
@@ -185,10 +192,9 @@ def interday(df: DataFrame) -> DataFrame:
         **{f"{_base(c)}_vol_ratio": vol_ratio(c) for c in VOLATILITY_SIGNALS},
         "days_since_last_anomaly": days_since("_anom"),
         "dp_exceed_freq_14d": roll_share("_anom", 14),
-        "_cross": ewm_cross("dp_mean"),
+        # a gap longer than the look-back keeps the last known crossover
+        "ewma_cross_dp": carried("_cross"),
     })
-    # a gap longer than the look-back keeps the last known crossover
-    df = with_windowed(df, {"ewma_cross_dp": carried("_cross")})
     added = [c for c in df.columns if c not in keep and not c.startswith("_")]
     return df.select(*keep, *added)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldpulse.functions.ranks import quantiles
-from fieldpulse.functions.series import ewm_mean, with_windowed
+from fieldpulse.functions.series import Ewm, with_ewm
 from fieldpulse.schemas import (
     COOLDOWN_DAYS, EWMA_SPANS, HORIZON_DAYS, LEAD_CAP_DAYS, PERSIST_LENGTHS, TARGET_DETECTION, THRESHOLD_GRID,
 )
@@ -39,7 +39,7 @@ def default_profiles(gates: list[str]) -> list[Profile]:
 
 def ewma_score(scored: DataFrame, span: int, name: str | None = None) -> DataFrame:
     """Score smoothed over the object's observations (not calendar days)."""
-    return with_windowed(scored, {name or f"ewma{span}": ewm_mean("score", span, order="date", adjust=False)})
+    return with_ewm(scored, {name or f"ewma{span}": Ewm("score", span, adjust=False)}, order="date")
 
 
 def _by_date(*keys: str):
@@ -145,8 +145,9 @@ def grid_shares(grid: tuple[float, float, int] = THRESHOLD_GRID) -> list[float]:
 def sweep_input(panel: DataFrame, profiles: list[Profile], gates: dict[str, DataFrame] | None = None) -> DataFrame:
     """The panel with what the profiles look at: observation numbers, smoothed scores, gate membership."""
     base = observation_number(panel.select("object_id", "date", "score", "t_to_failure"))
-    for span in sorted({p.span for p in profiles if p.kind == "ewma"}):
-        base = ewma_score(base, span)
+    spans = sorted({p.span for p in profiles if p.kind == "ewma"})
+    if spans:
+        base = with_ewm(base, {f"ewma{s}": Ewm("score", s, adjust=False) for s in spans}, order="date")
     for name, members in (gates or {}).items():
         listed = members.select("object_id").distinct().withColumn(f"_in_{name}", F.lit(True))
         base = base.join(listed, "object_id", "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldpulse.functions.series import Windowed, ewm_cross, with_windowed
+from fieldpulse.functions.series import Windowed, with_windowed
 from fieldpulse.operators import features as X
 from fieldpulse.operators.cleaning import clean_features, dedup_measurements
 from fieldpulse.operators.weather import heating_degree
@@ -149,7 +149,7 @@ def anomaly_freq_14d(v):
        SELECT_FINAL p.object_id, p.date, f - s AS crossover FROM panel p JOIN fast USING (object_id, ord)
        JOIN slow USING (object_id, ord)""", **KEY, crossover="d")
 def ewma_cross(v):
-    return _panel(v, {"crossover": ewm_cross("dp_mean")})
+    return X.ewma_cross(X.with_day_number(v.panel()), "dp_mean", "crossover").select("object_id", "date", "crossover")
 
 
 _Z = {c: P.robust_z(c, f) for c, f in SCALE_FLOOR.items()}
