@@ -12,7 +12,7 @@ from fieldpulse.schemas import NOT_FOUND
 PLANT_PREFIX = r"^цтп-?(.+)"
 NUMBER_NOISE = r"[№#\s]"
 DISTRICT_SUFFIX = r"\s*(г\.о\.|г\.)\s*"
-PLANT_MENTION = r"(?i)(цтп\s*[-№#]*\s*[0-9][0-9-]*)"
+PLANT_MENTION = r"(?iu)(цтп\s*[-№#]*\s*[0-9][0-9-]*)"
 # ---- end of fixed values
 
 

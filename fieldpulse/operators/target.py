@@ -74,11 +74,14 @@ def merge_events(days: Column, gap: int = MERGE_GAP_DAYS) -> Column:
         ).otherwise(kept))
 
 
+def _fail_day() -> Column:
+    """The day reached by adding the hours to failure, whole seconds again, to the row's date."""
+    return epoch_date(day_start("date") + F.round(F.col("t_to_failure") * 3600).cast("bigint"))
+
+
 def failure_days(panel: DataFrame) -> DataFrame:
     """Distinct (object, fail_day) implied by the hours to failure."""
-    at = day_start("date") + F.floor(F.col("t_to_failure") * 3600)
-    return panel.where(F.col("t_to_failure").isNotNull()).select(
-        "object_id", epoch_date(at).alias("fail_day")).distinct()
+    return panel.where(F.col("t_to_failure").isNotNull()).select("object_id", _fail_day().alias("fail_day")).distinct()
 
 
 def failure_events(panel: DataFrame, gap: int = MERGE_GAP_DAYS) -> DataFrame:
@@ -95,8 +98,7 @@ def object_level(panel: DataFrame, features: list[str], baseline_days: int = BAS
     """
     cols = [c for c in features if c in panel.columns]
     whole = Window.partitionBy("object_id")
-    event = F.when(F.col("t_to_failure").isNotNull(),
-                   epoch_date(day_start("date") + F.floor(F.col("t_to_failure") * 3600)))
+    event = F.when(F.col("t_to_failure").isNotNull(), _fail_day())
     framed = panel.withColumns({
         "_entry": F.min("date").over(whole), "_last": F.max("date").over(whole), "_event": F.min(event).over(whole)})
     upper = F.least(F.date_add("_entry", baseline_days), F.col("_event"))
