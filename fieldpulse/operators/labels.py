@@ -6,9 +6,9 @@ catalogue, so neither repeated claims nor repeated numbers multiply. Every join
 * a district is contained in a municipality name: the municipality offers all its substrings as keys;
 * numbers are equal: score 100, the best there is;
 * numbers are similar: both sides offer what is left after deleting a few characters. Two strings whose
-  insert/delete distance is d share such a remainder with at most d deletions in total, so every pair that meets is
-  a true match and a string meets only the strings within that distance. Longer names, whose allowed distance would
-  make deletions too many, meet on one of d + 1 pieces that must survive d edits, and are then measured.
+  insert/delete distance is d share such a remainder with d deletions in total, so every pair that meets within the
+  limit is a true match and a string meets only the strings within that distance. Long names, whose allowed distance
+  would make deletions too many, meet on one of their parts that carries few of the edits, and are then measured.
 """
 
 from __future__ import annotations
@@ -65,74 +65,114 @@ def _without(text: Column, deletions: int) -> Column:
     return left
 
 
+def _remainders(text: Column, most: int, allowed: Column) -> Column:
+    """Array of {rest, cut}: what is left of a text after up to ``allowed`` (at most ``most``) deletions."""
+    none = F.array().cast("array<struct<rest:string,cut:int>>")
+
+    def after(cuts: int) -> Column:
+        tagged = F.transform(_without(text, cuts), lambda s: F.struct(s.alias("rest"), F.lit(cuts).alias("cut")))
+        return F.when(allowed >= cuts, tagged).otherwise(none)
+
+    return F.flatten(F.array(*[after(cuts) for cuts in range(most + 1)]))
+
+
 def allowed_distance(total: Column, threshold: int) -> Column:
     """Most insertions and deletions two strings of this total length may be apart."""
-    return F.floor(total * (100 - threshold) / 100).cast("int")
+    return F.floor(total * (100 - threshold) / 100 + 1e-9).cast("int")
 
 
-def _partner_lengths(threshold: int) -> tuple[float, float, float]:
-    """(share, low, high): allowed distance per character, and the length range of a partner relative to one's own."""
-    share = (100 - threshold) / 100
-    return share, (1 - share) / (1 + share), (1 + share) / (1 - share)
+def _lengths(df: DataFrame, c: str) -> DataFrame:
+    """Distinct string lengths as one array: no longer than the longest name."""
+    return df.agg(F.array_sort(F.collect_set(F.length(c))))
 
 
 def _pairs_by_deletion(queries: DataFrame, names: DataFrame, threshold: int, most: int) -> DataFrame:
-    """Pairs whose allowed distance is 1 to ``most``; a string takes part with as many deletions as it may need."""
-    share, low, high = _partner_lengths(threshold)
-
-    def remainders(df: DataFrame, c: str, tag: str) -> DataFrame:
-        n = F.length(c)
-        least, own = F.floor(n * (1 + low) * share + 1e-9), F.floor(n * (1 + high) * share + 1e-9)
-        variants = F.flatten(F.array(*[F.transform(
-            _without(F.col(c), d), lambda s, d=d: F.struct(s.alias("rest"), F.lit(d).alias("cut")))
-            for d in range(most + 1)]))
-        return df.where((least <= most) & (own >= 1)).select(c, own.alias("_own"), F.explode(variants).alias("_v")).where(
-            F.col("_v.cut") <= F.col("_own")).select(c, F.col("_v.rest").alias("rest"), F.col("_v.cut").alias(tag))
+    """Pairs whose allowed distance is 1 to ``most``.
+
+    Of d edits between lengths q and n exactly (d + q - n) / 2 delete from the query, so every string only offers the
+    deletions some length on the other side can call for.
+    """
+    def offered(df: DataFrame, c: str, other: DataFrame, o: str, cut: str) -> DataFrame:
+        mine = F.length(c)
+
+        def need(n: Column) -> Column:
+            limit = allowed_distance(mine + n, threshold)
+            fits = (limit >= 1) & (limit <= most) & (F.abs(mine - n) <= limit)
+            return F.when(fits, F.floor((limit + mine - n) / 2).cast("int")).otherwise(F.lit(-1))
+
+        rows = df.withColumn("_lens", _lengths(other, o).scalar())
+        rows = rows.withColumn("_need", F.array_max(F.transform("_lens", need))).where("_need >= 0")
+        return rows.select(c, F.explode(_remainders(F.col(c), most, F.col("_need"))).alias("_v")).select(
+            c, F.col("_v.rest").alias("rest"), F.col("_v.cut").alias(cut))
 
     total = F.length("query") + F.length("name")
+    edits = F.col("_i") + F.col("_j")
+    met = offered(queries, "query", names, "name", "_i").join(offered(names, "name", queries, "query", "_j"), "rest")
     limit = allowed_distance(total, threshold)
-    met = remainders(queries, "query", "_i").join(remainders(names, "name", "_j"), "rest")
-    near = met.where((limit <= most) & (F.col("_i") + F.col("_j") <= limit))
-    distance = near.groupBy("query", "name").agg(F.min(F.col("_i") + F.col("_j")).alias("_d"))
+    distance = met.where((limit <= most) & (edits <= limit)).groupBy("query", "name").agg(F.min(edits).alias("_d"))
     return distance.select("query", "name", (100.0 * (total - F.col("_d")) / total).alias("score"))
 
 
-def _pairs_by_piece(queries: DataFrame, names: DataFrame, threshold: int, beyond: int) -> DataFrame:
-    """Pairs whose allowed distance exceeds ``beyond``: one of the name's d + 1 pieces occurs unchanged in the query,
-    at most d places away."""
-    share, _, high = _partner_lengths(threshold)
+PART_EDITS = 2
+
+
+def _pairs_by_part(queries: DataFrame, names: DataFrame, threshold: int, beyond: int) -> DataFrame:
+    """Pairs whose allowed distance exceeds ``beyond``.
+
+    The name is cut into so many parts that one of them carries at most two of the edits: that part and some stretch
+    of the query, at most d places away, share what is left after two deletions in all. Whoever meets that way is
+    measured, after the ordinary edit distance (never larger than insertions plus deletions) has sorted out the rest.
+    """
+    def partners(df: DataFrame, c: str, other: DataFrame, o: str) -> DataFrame:
+        mine = F.length(c)
+
+        def reach(n: Column) -> Column:
+            limit = allowed_distance(mine + n, threshold)
+            return F.when((limit > beyond) & (F.abs(mine - n) <= limit), limit).otherwise(F.lit(0))
+
+        rows = df.withColumn("_lens", _lengths(other, o).scalar())
+        return rows.withColumn("_reach", F.array_max(F.transform("_lens", reach))).where("_reach > 0").drop("_lens")
+
     n, m = F.length("name"), F.length("query")
-    worst = F.floor(n * (1 + high) * share + 1e-9).cast("int")
-    reach = F.floor(m * (1 + high) * share + 1e-9).cast("int")
-    k = F.col("_k")
-    piece = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(
-        (F.floor(i * n / k) + 1).cast("int").alias("at"),
-        F.substr(F.col("name"), (F.floor(i * n / k) + 1).cast("int"),
-                 (F.floor((i + 1) * n / k) - F.floor(i * n / k)).cast("int")).alias("piece")))
-    pieces = names.where(worst > beyond).withColumn("_k", worst + 1).select("name", F.explode(piece).alias("_p")).select(
-        "name", F.col("_p.at").alias("_at"), F.col("_p.piece").alias("piece"))
-    # a piece is never longer than one character more than 1 / (allowed distance per character)
-    widest = int(1 / ((1 + high) * share)) + 2
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), m), lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(widest), m - i + 1)),
-        lambda size: F.struct(i.alias("at"), F.substr(F.col("query"), i, size).alias("piece")))))
-    offered = queries.where(reach > beyond).select("query", F.explode(grams).alias("_g")).select(
-        "query", F.col("_g.at").alias("_from"), F.col("_g.piece").alias("piece"))
+    parts = F.floor(F.col("_reach") / (PART_EDITS + 1)).cast("int") + 1
+    cut_names = partners(names, "name", queries, "query").withColumn("_k", parts)
+    cut = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda i: F.struct(
+        (F.floor(i * n / F.col("_k")) + 1).cast("int").alias("at"),
+        (F.floor((i + 1) * n / F.col("_k")) - F.floor(i * n / F.col("_k"))).cast("int").alias("size")))
+    pieces = cut_names.select("name", F.explode(cut).alias("_p")).select(
+        "name", F.col("_p.at").alias("_at"), F.col("_p.size").alias("_size"),
+        F.substr(F.col("name"), F.col("_p.at"), F.col("_p.size")).alias("part"))
+    name_keys = pieces.select("name", "_at", F.explode(_remainders(F.col("part"), PART_EDITS, F.lit(PART_EDITS))).alias(
+        "_v")).select("name", "_at", F.col("_v.rest").alias("rest"), F.col("_v.cut").alias("_j"))
+
+    sizes = pieces.agg(F.array_sort(F.collect_set("_size")))
+    asked = partners(queries, "query", names, "name").withColumn("_sizes", sizes.scalar()).where("size(_sizes) > 0")
+    shortest = F.greatest(F.array_min("_sizes") - PART_EDITS, F.lit(1))
+    longest = F.array_max("_sizes") + PART_EDITS
+    stretches = F.flatten(F.transform(F.sequence(F.lit(1), m), lambda i: F.transform(
+        F.filter(F.sequence(shortest, longest), lambda size: size <= m - i + 1),
+        lambda size: F.struct(i.alias("at"), F.substr(F.col("query"), i, size).alias("part")))))
+    query_keys = asked.select("query", F.explode(stretches).alias("_s")).select(
+        "query", F.col("_s.at").alias("_from"),
+        F.explode(_remainders(F.col("_s.part"), PART_EDITS, F.lit(PART_EDITS))).alias("_v")).select(
+        "query", "_from", F.col("_v.rest").alias("rest"), F.col("_v.cut").alias("_i"))
+
     limit = allowed_distance(m + n, threshold)
-    met = offered.join(pieces, "piece").where(
-        (limit > beyond) & (F.abs(m - n) <= limit) & (F.abs(F.col("_from") - F.col("_at")) <= limit))
-    scored = met.select("query", "name").distinct().withColumn("score", indel_ratio("query", "name"))
-    return scored.where(F.col("score") >= threshold)
+    met = query_keys.join(name_keys, "rest").where(
+        (F.col("_i") + F.col("_j") <= PART_EDITS) & (limit > beyond) & (F.abs(m - n) <= limit)
+        & (F.abs(F.col("_from") - F.col("_at")) <= limit)).select("query", "name").distinct()
+    near = met.where(F.levenshtein("query", "name") <= limit)
+    return near.withColumn("score", indel_ratio("query", "name")).where(F.col("score") >= threshold)
 
 
 def similar_pairs(queries: DataFrame, names: DataFrame, threshold: int = FUZZY_THRESHOLD,
-                  deletions: int = 2) -> DataFrame:
+                  deletions: int = 3) -> DataFrame:
     """(query, name, score) for all distinct pairs that differ and score at least ``threshold``."""
-    queries, names = queries.select("query").distinct(), names.select("name").distinct()
+    queries = queries.select("query").where(F.col("query").isNotNull()).distinct()
+    names = names.select("name").where(F.col("name").isNotNull()).distinct()
     short = _pairs_by_deletion(queries, names, threshold, deletions)
-    long = _pairs_by_piece(queries, names, threshold, deletions)
-    both = short.unionByName(long).groupBy("query", "name").agg(F.max("score").alias("score"))
-    return both.where((F.col("query") != F.col("name")) & (F.col("score") >= threshold))
+    long = _pairs_by_part(queries, names, threshold, deletions)
+    return short.unionByName(long).where(F.col("query") != F.col("name"))
 
 
 def match_catalog(claims: DataFrame, catalog: DataFrame, threshold: int = FUZZY_THRESHOLD,
