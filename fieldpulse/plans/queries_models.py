@@ -1 +1,79 @@
+"""Models and the end-to-end runs."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fieldpulse.models import acute, chronic, lifetime
+from fieldpulse.operators import features as X
+from fieldpulse.operators import target as T
+from fieldpulse.operators.cleaning import clean_features, dedup_measurements
+from fieldpulse.plans import view_sql as V
+from fieldpulse.plans.catalog import query
+from fieldpulse.plans.serve import score_days
+from fieldpulse.plans.train import TrainSettings, train_run
+from fieldpulse.schemas import FEATURES
+from fieldpulse.session import cut_lineage
+from fieldpulse.sources.star_views import StarViews
+
+DAILY = ["p_supply_mean", "p_supply_std", "p_supply_max", "dp_mean", "dt_mean", "t_supply_mean", "n_samples"]
+VAL, TEST = "2024-01-16", "2024-01-23"
+
+
+def _frame(v: StarViews) -> DataFrame:
+    """Intraday features with target and split, written once: the fits read it repeatedly."""
+    days = X.intraday(dedup_measurements(clean_features(v.sensors(), 2024)), (0, 6))
+    labelled = T.add_target(days.select("object_id", "date", *DAILY), v.incidents())
+    return cut_lineage(T.temporal_split(labelled, VAL, TEST))
+
+
+def _fit(v: StarViews) -> tuple[DataFrame, object]:
+    frame = _frame(v)
+    model = acute.train_acute(frame.where("split = 'train'"), frame.where("split = 'val'"), DAILY, rounds=5)
+    return frame, model
+
+
+@query("acute_scores")
+def acute_scores(v):
+    frame, model = _fit(v)
+    calibrator = acute.fit_calibrator(acute.predict_acute(model, frame.where("split = 'val'")))
+    return score_days(model, calibrator, frame)
+
+
+@query("isotonic", """WITH RECURSIVE labelled AS (SELECT CAST(d.n_chars AS DOUBLE) AS score, l.quality AS y
+         FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+       pts AS (SELECT score, sum(y) AS s, count(*) AS w, row_number() OVER (ORDER BY score) AS i FROM labelled GROUP BY score),
+       cum AS (SELECT *, sum(s) OVER (ORDER BY i) AS cs, sum(w) OVER (ORDER BY i) AS cw FROM pts),
+       low AS (SELECT a.i, min((b.cs - a.cs + a.s) / (b.cw - a.cw + a.w)) OVER (PARTITION BY a.i ORDER BY b.i
+                 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m, b.i AS upto FROM cum a JOIN cum b ON b.i >= a.i)
+       SELECT_FINAL p.score, max(l.m) AS calibrated FROM pts p JOIN low l ON l.i <= p.i AND l.upto = p.i GROUP BY p.score""",
+       score="d", calibrated="d")
+def isotonic(v):
+    """Max-min formula of the isotonic fit, at every distinct score."""
+    scored = v.labelled_scores()
+    model = acute.fit_calibrator(scored)
+    return acute.calibrate(model, scored.select("score").distinct()).select("score", "calibrated")
+
+
+@query("chronic_model")
+def chronic_model(v):
+    objects = cut_lineage(T.object_level(_frame(v), DAILY, 10))
+    model = chronic.train_chronic(objects, DAILY, trees=10, leaf=5)
+    return chronic.predict_chronic(model, objects).select("object_id", "chronic_score")
+
+
+@query("aft_median")
+def aft_median(v):
+    objects = cut_lineage(T.object_level(_frame(v), DAILY, 10))
+    return lifetime.predict_lifetime(lifetime.train_lifetime(objects, DAILY), objects).select(
+        "object_id", "aft_median_days")
+
+
+@query("train_report")
+def train_report(v):
+    """A whole training run on the full feature matrix, reported as one row."""
+    matrix = X.build_matrix(v.sensors(), v.weather(), 2024, (0, 6))
+    settings = TrainSettings(features=FEATURES, val_start=VAL, test_start=TEST, rounds=3, trees=5, leaf=5,
+                             replicates=50, baseline_days=10)
+    return train_run(matrix, v.incidents(), settings).report

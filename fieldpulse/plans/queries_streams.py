@@ -1 +1,81 @@
+"""Streaming counterparts run over the whole event table, compared on the tables they leave behind."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fieldpulse.plans import view_sql as V
+from fieldpulse.plans.catalog import query
+from fieldpulse.plans.queries_store import SENSOR
+from fieldpulse.schemas import SENSORS
+from fieldpulse.session import scratch
+from fieldpulse.sources.star_views import StarViews
+from fieldpulse.streaming import ingest as S
+
+
+class _StreamViews(StarViews):
+    """The same views over a stream of the event files."""
+
+    def table(self, name: str) -> DataFrame:
+        schema = super().table(name).schema
+        return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
+
+
+def _streamed(v: StarViews) -> DataFrame:
+    return _StreamViews(v.spark, v.folder).sensors()
+
+
+def _closed(v: StarViews, result: DataFrame, name: str) -> DataFrame:
+    path = scratch(v.spark, name)
+    S.drain(lambda: S.write_table(result, f"{path}/rows", f"{path}/state"), 1)
+    return v.spark.read.parquet(f"{path}/rows")
+
+
+_LAST = "(SELECT max(CAST(ts AS DATE)) FROM events)"
+_CLEAN = f"""{V.SENSORS}, clean AS (SELECT record_id, object_id, ts_measurement,
+    CASE WHEN t_supply BETWEEN 0 AND 150 THEN t_supply END AS t_supply,
+    CASE WHEN t_return BETWEEN 0 AND 150 THEN t_return END AS t_return,
+    CASE WHEN p_supply BETWEEN 0 AND 25 THEN p_supply END AS p_supply,
+    CASE WHEN p_return BETWEEN 0 AND 25 THEN p_return END AS p_return, ts_recorded FROM sensors)"""
+
+
+@query("stream_dedup", f"WITH {_CLEAN} SELECT_FINAL * FROM clean", **SENSOR)
+def stream_dedup(v):
+    """Two runs over the same upload leave every record once."""
+    path = scratch(v.spark, "stream-dedup")
+    for run in ("first", "second"):
+        S.stream_ingest(_streamed(v), f"{path}/store", f"{path}/{run}").awaitTermination()
+    return v.spark.read.parquet(f"{path}/store").select(*SENSORS.names)
+
+
+@query("stream_daily", f"""WITH {V.SENSORS}, d AS (SELECT *, {V.DAY} AS date FROM sensors)
+       SELECT_FINAL object_id, date, avg(t_supply) AS t_supply_mean, avg(t_return) AS t_return_mean,
+         avg(p_supply) AS p_supply_mean, avg(p_return) AS p_return_mean, min(p_supply) AS p_supply_min,
+         max(p_supply) AS p_supply_max, count(*) AS n_samples FROM d WHERE date <= {_LAST} - 2 GROUP BY 1, 2""",
+       object_id="VARCHAR", date="DATE", t_supply_mean="d", t_return_mean="d", p_supply_mean="d", p_return_mean="d",
+       p_supply_min="d", p_supply_max="d", n_samples="BIGINT")
+def stream_daily(v):
+    return _closed(v, S.stream_daily(_streamed(v)), "stream-daily")
+
+
+@query("stream_orders", f"""WITH a AS (SELECT CAST(user_id AS VARCHAR) AS object_id, CAST(ts AS DATE) AS date,
+         count(*) AS n, max(value) / 500.0 AS score FROM events WHERE value > 100 GROUP BY 1, 2), g AS (
+         SELECT *, CASE WHEN date - lag(date) OVER w > 3 OR lag(date) OVER w IS NULL THEN 1 ELSE 0 END AS opens
+         FROM a WINDOW w AS (PARTITION BY object_id ORDER BY date)), e AS (
+         SELECT *, sum(opens) OVER (PARTITION BY object_id ORDER BY date) AS ep FROM g)
+       SELECT_FINAL object_id, min(date) AS opened_at, max(date) AS last_alert_at, sum(n) AS alerts,
+         max(score) AS peak_score FROM e GROUP BY object_id, ep HAVING max(date) + 3 <= (SELECT max(date) FROM a) - 1""",
+       object_id="VARCHAR", opened_at="DATE", last_alert_at="DATE", alerts="BIGINT", peak_score="d")
+def stream_orders(v):
+    e = _StreamViews(v.spark, v.folder).events().where("value > 100")
+    alerts = e.select(F.col("user_id").cast("string").alias("object_id"),
+                      F.timestamp_seconds(F.floor(F.col("epoch") / 86400) * 86400).alias("event_time"),
+                      (F.col("value") / 500.0).alias("score"))
+    return _closed(v, S.stream_orders(alerts, 3), "stream-orders")
+
+
+@query("stream_coverage")
+def stream_coverage(v):
+    """Approximate counts, so only the rows are checked."""
+    return _closed(v, S.stream_coverage(_streamed(v)), "stream-coverage")
