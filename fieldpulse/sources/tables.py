@@ -46,9 +46,10 @@ def append_sensors(df: DataFrame, path: str, files_per_month: int = 64) -> int:
     """
     rows = Observation("append_sensors")
     spread = F.pmod(F.xxhash64("object_id", epoch_date("ts_recorded")), F.lit(files_per_month))
-    (with_month(df).observe(rows, F.count(F.lit(1)).alias("rows"))
-     .repartition(MONTH, spread)
+    # observed in the writing stage itself, where a repeated task counts once
+    (with_month(df).repartition(MONTH, spread)
      .sortWithinPartitions(MONTH, "object_id", "ts_recorded")
+     .observe(rows, F.count(F.lit(1)).alias("rows"))
      .write.mode("append").partitionBy(MONTH).parquet(path))
     return rows.get["rows"]
 
@@ -91,8 +92,8 @@ def export_period(df: DataFrame, first: str | None = None, last: str | None = No
 def write_export(df: DataFrame, out: str, first: str | None = None, last: str | None = None) -> int:
     """Write an export ordered by object and recording time; returns its row count."""
     rows = Observation("export")
-    (export_period(df, first, last).observe(rows, F.count(F.lit(1)).alias("rows"))
-     .orderBy("object_id", "ts_recorded").write.mode("overwrite").parquet(out))
+    (export_period(df, first, last).orderBy("object_id", "ts_recorded")
+     .observe(rows, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(out))
     return rows.get["rows"]
 
 
