@@ -15,7 +15,7 @@ from fieldpulse.session import build_session  # noqa: E402
 def spark():
     session = build_session("tests", "local[8]", **{
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true"})
+        "spark.sql.maxMetadataStringLength": "4000", "spark.sql.debug.maxToStringFields": "500"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
