@@ -8,6 +8,8 @@ totals (a few rows per cut) pass through a single window.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,13 +49,15 @@ def running_totals(df: DataFrame, value: str, sums: dict[str, str], by: list[str
     ``sums`` maps new column names to existing columns; ``<name>_total`` holds the grand total. Totals run over the
     whole table or, with ``by``, inside each group; groups may be as large as the table. Rows of equal value need a
     ``tie`` in [0, 1) (a uniform hash), by which they are ordered and spread over tasks; without it the values must
-    already be distinct inside a group.
+    already be distinct inside a group. Summed columns are counts or other values that are never negative.
     """
     by = by or []
     sign = -1 if descending else 1
     work = df.withColumn("_v", F.col(value).cast("double") * sign)
     work = work.withColumn("_t", F.lit(0.0) if tie is None else tie)
-    work = with_bucket(work, "_v", parts)
+    # the cuts ask for the summed columns too, so that they read the very shuffle the totals read
+    same = work.where(reduce(lambda a, b: a & b, [F.col(c) >= 0 for c in sums.values()]))
+    work = with_bucket(work, "_v", parts, same)
     alone = F.col("_bucket") % 2 == 1
     work = work.withColumn("_slice", F.when(alone, F.floor(F.col("_t") * TIE_SLICES).cast("int")).otherwise(F.lit(0)))
 

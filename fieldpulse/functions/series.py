@@ -18,14 +18,13 @@ def by_object(order: str = "_ord") -> WindowSpec:
     return Window.partitionBy("object_id").orderBy(order)
 
 
-def history(order: str = "_ord") -> WindowSpec:
-    """All rows up to the current one."""
-    return by_object(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+# frames of one object's rows in day order: everything so far, and the trailing calendar days
+HISTORY = "(PARTITION BY object_id ORDER BY _ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
-def last_days(days: int, order: str = "_ord") -> WindowSpec:
+def last_days(days: int) -> str:
     """The trailing ``days`` calendar days, the current one included."""
-    return by_object(order).rangeBetween(-(days - 1), 0)
+    return f"(PARTITION BY object_id ORDER BY _ord RANGE BETWEEN {days - 1} PRECEDING AND CURRENT ROW)"
 
 
 def look_back(weight: float, floor: float = 1e-17) -> int:
@@ -39,20 +38,26 @@ def look_back(weight: float, floor: float = 1e-17) -> int:
 
 @dataclass(frozen=True)
 class Windowed:
-    """A value in two steps: window aggregates under temporary names, then an expression over those names.
+    """A value in two steps, both SQL: window aggregates under temporary names, then an expression over those names.
 
     The planner evaluates every occurrence of a window aggregate on its own. Naming each aggregate once and building
     the formula on the names keeps a formula that mentions it five times from computing it five times.
     """
 
-    raw: dict[str, Column]
-    out: Column
+    raw: dict[str, str]
+    out: str
 
 
 def with_windowed(df: DataFrame, values: dict[str, Windowed]) -> DataFrame:
     """Add several windowed values; aggregates they share are computed once."""
-    raw = {name: c for v in values.values() for name, c in v.raw.items()}
-    return df.withColumns(raw).withColumns({name: v.out for name, v in values.items()}).drop(*raw)
+    raw = {name: sql for v in values.values() for name, sql in v.raw.items()}
+    kept = [f"`{c}`" for c in df.columns if c not in values]
+    looked = df.selectExpr("*", *[f"{sql} AS `{name}`" for name, sql in raw.items()])
+    return looked.selectExpr(*kept, *[f"{v.out} AS `{name}`" for name, v in values.items()])
+
+
+def span_decay(span: int) -> float:
+    return 1.0 - 2.0 / (span + 1.0)
 
 
 @dataclass(frozen=True)
@@ -69,7 +74,7 @@ class Ewm:
 
     @property
     def decay(self) -> float:
-        return 1.0 - 2.0 / (self.span + 1.0)
+        return span_decay(self.span)
 
 
 def with_ewm(df: DataFrame, means: dict[str, Ewm], order: str = "_ord") -> DataFrame:

@@ -9,7 +9,7 @@ from fieldpulse.functions.values import col
 from fieldpulse.schemas import NOT_FOUND
 
 # ---- fixed values: spellings of the plant prefix and of the district suffixes
-PLANT_PREFIX = r"^цтп-?(.+)"
+PLANT_PREFIX = r"^цтп(?=.)-*(.*?)-*$"
 NUMBER_NOISE = r"[№#\s]"
 DISTRICT_SUFFIX = r"\s*(г\.о\.|г\.)\s*"
 PLANT_MENTION = r"(?iu)(цтп\s*[-№#]*\s*[0-9][0-9-]*)"
@@ -19,9 +19,7 @@ PLANT_MENTION = r"(?iu)(цтп\s*[-№#]*\s*[0-9][0-9-]*)"
 def norm_number(c: Column | str) -> Column:
     """Facility name reduced to its number: 'ЦТП № 1--3-4' gives '1-3-4'; other names only lose noise signs."""
     text = F.regexp_replace(F.lower(col(c)), NUMBER_NOISE, "")
-    text = F.regexp_replace(text, "-+", "-")
-    rest = F.regexp_extract(text, PLANT_PREFIX, 1)
-    return F.when(rest != "", F.btrim(rest, F.lit("-"))).otherwise(text)
+    return F.regexp_replace(F.regexp_replace(text, "-+", "-"), PLANT_PREFIX, "$1")
 
 
 def clean_district(c: Column | str) -> Column:
@@ -37,8 +35,7 @@ def usable_extraction(c: Column | str) -> Column:
 
 def extract_plant(c: Column | str) -> Column:
     """Default extraction of the plant's name from a claim text: its first mention, else the not-found word."""
-    found = F.regexp_extract(col(c), PLANT_MENTION, 1)
-    return F.when(found != "", F.trim(found)).otherwise(F.lit(NOT_FOUND))
+    return F.coalesce(F.trim(F.regexp_substr(col(c), F.lit(PLANT_MENTION))), F.lit(NOT_FOUND))
 
 
 def lcs_length(a: Column | str, b: Column | str) -> Column:

@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldpulse.functions.series import Ewm, Windowed, bias_corrected_skew, history, last_days, with_ewm, with_windowed
-from fieldpulse.functions.values import clip, epoch_date, epoch_hour, finite
+from fieldpulse.functions.series import HISTORY, Ewm, Windowed, bias_corrected_skew, last_days, with_ewm, with_windowed
+from fieldpulse.functions.values import epoch_date, epoch_hour
 from fieldpulse.operators.cleaning import clean_features, dedup_measurements
 from fieldpulse.schemas import (
     ANOMALY_Z, CURVE_MIN_POINTS, DAY_HOURS, FEATURES, KEYS, LOW_COVERAGE_SAMPLES, MIN_YEAR, NIGHT_HOURS, SCALE_FLOOR,
@@ -27,9 +25,7 @@ def intraday(df: DataFrame, night: tuple[int, int] = NIGHT_HOURS, day: tuple[int
     A single grouped aggregate: moments, extremes and counts combine before the shuffle, and the shuffle key is
     (object, day), so an object with very many readings spreads over its days.
     """
-    hour = F.col("_hour")
-    at_night = (hour >= night[0]) & (hour < night[1])
-    by_day = (hour >= day[0]) & (hour < day[1])
+    at_night, by_day = (f"_hour >= {low} AND _hour < {high}" for low, high in (night, day))
     readings = df.select(
         F.col("object_id").cast("string").alias("object_id"),
         epoch_date("ts_recorded").alias("date"),
@@ -38,17 +34,15 @@ def intraday(df: DataFrame, night: tuple[int, int] = NIGHT_HOURS, day: tuple[int
         (F.col("p_supply") - F.col("p_return")).alias("dp"),
         (F.col("t_supply") - F.col("t_return")).alias("dt"))
 
-    measures = []
-    for s in SIGNALS:
-        measures += [F.avg(s).alias(f"{s}_mean"), F.stddev_samp(s).alias(f"{s}_std"),
-                     F.min(s).alias(f"{s}_min"), F.max(s).alias(f"{s}_max")]
-    measures += [F.percentile("p_supply", 0.5).alias("p_supply_median"),
+    moments = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
+    measures = [F.expr(f"{f}({s})").alias(f"{s}_{m}") for s in SIGNALS for m, f in moments.items()]
+    measures += [F.expr("percentile(p_supply, 0.5D)").alias("p_supply_median"),
                  bias_corrected_skew("p_supply").alias("p_supply_skew"),
                  bias_corrected_skew("dp").alias("dp_skew")]
     for short, signal in (("dp", "dp"), ("dt", "dt"), ("ps", "p_supply")):
-        measures += [F.avg(F.when(at_night, F.col(signal))).alias(f"{short}_night"),
-                     F.avg(F.when(by_day, F.col(signal))).alias(f"{short}_day")]
-    measures.append(F.count(F.lit(1)).alias("n_samples"))
+        measures += [F.expr(f"avg(CASE WHEN {when} THEN {signal} END)").alias(f"{short}_{part}")
+                     for part, when in (("night", at_night), ("day", by_day))]
+    measures.append(F.expr("count(*)").alias("n_samples"))
 
     days = readings.groupBy("object_id", "date").agg(*measures)
     return days.withColumns({
@@ -84,78 +78,78 @@ def with_day_number(df: DataFrame) -> DataFrame:
 
 def curve_residual(y: str, x: str = "t_out_mean", min_points: int = CURVE_MIN_POINTS) -> Windowed:
     """Distance from the line y = a + b x fitted to the object's rows up to and including this one."""
-    w = history()
-    both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    vx, vy = F.when(both, F.col(x)), F.when(both, F.col(y))
-    tag = f"{y}_{x}"
-    raw = {f"_n_{tag}": F.count(vx).over(w), f"_sx_{tag}": F.sum(vx).over(w), f"_sy_{tag}": F.sum(vy).over(w),
-           f"_sxx_{tag}": F.sum(vx * vx).over(w), f"_sxy_{tag}": F.sum(vx * vy).over(w)}
-    n, sx, sy, sxx, sxy = [F.col(c) for c in raw]
-    denom = n * sxx - sx * sx
-    slope = F.try_divide(n * sxy - sx * sy, denom)
-    intercept = F.try_divide(sy - slope * sx, n)
-    defined = both & (n >= min_points) & (F.abs(denom) >= 1e-9)
-    return Windowed(raw, F.when(defined, F.col(y) - (intercept + slope * F.col(x))))
+    both = f"{x} IS NOT NULL AND {y} IS NOT NULL"
+    n, sx, sy, sxx, sxy = (f"_{part}_{y}_{x}" for part in ("n", "sx", "sy", "sxx", "sxy"))
+    sums = {sx: x, sy: y, sxx: f"{x} * {x}", sxy: f"{x} * {y}"}
+    raw = {n: f"count(CASE WHEN {both} THEN 1 END) OVER {HISTORY}",
+           **{name: f"sum(CASE WHEN {both} THEN {term} END) OVER {HISTORY}" for name, term in sums.items()}}
+    denom = f"({n} * {sxx} - {sx} * {sx})"
+    slope = f"(({n} * {sxy} - {sx} * {sy}) / {denom})"
+    fitted = f"(({sy} - {slope} * {sx}) / {n} + {slope} * {x})"
+    return Windowed(raw, f"CASE WHEN {both} AND {n} >= {min_points} AND abs({denom}) >= 1e-9D THEN {y} - {fitted} END")
+
+
+def _counted(value: str, days: int) -> dict[str, str]:
+    return {f"_n{days}_{value}": f"count({value}) OVER {last_days(days)}"}
 
 
-def _counted(value: str, days: int) -> dict[str, Column]:
-    return {f"_n{days}_{value}": F.count(value).over(last_days(days))}
+def _gated(value: str, days: int, name: str, aggregate: str, least: int) -> Windowed:
+    """A trailing aggregate, defined from ``least`` known values on."""
+    name = f"_{name}{days}_{value}"
+    return Windowed({**_counted(value, days), name: f"{aggregate} OVER {last_days(days)}"},
+                    f"CASE WHEN _n{days}_{value} >= {least} THEN {name} END")
 
 
 def robust_z(value: str, floor: float | None = None, days: int = 30, min_points: int = 5,
              limit: float = 10.0) -> Windowed:
     """Distance from the trailing median in units of the trailing quartile range, clipped."""
     floor = SCALE_FLOOR[value] if floor is None else floor
-    shares = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    counted = _counted(value, days)
-    raw = {**counted, f"_q{days}_{value}": F.percentile(value, shares).over(last_days(days))}
-    q = [F.get(F.col(f"_q{days}_{value}"), F.lit(i)) for i in range(3)]
-    z = (F.col(value) - q[1]) / F.greatest((q[2] - q[0]) / 1.349, F.lit(floor))
-    return Windowed(raw, F.when(F.col(next(iter(counted))) >= min_points, clip(z, -limit, limit)))
+    q = f"_q{days}_{value}"
+    raw = {**_counted(value, days), q: f"percentile({value}, array(0.25D, 0.5D, 0.75D)) OVER {last_days(days)}"}
+    z = f"({value} - {q}[1]) / greatest(({q}[2] - {q}[0]) / 1.349D, {floor!r}D)"
+    return Windowed(raw, f"CASE WHEN _n{days}_{value} >= {min_points} AND {value} IS NOT NULL "
+                         f"THEN least(greatest({z}, {-limit!r}D), {limit!r}D) END")
 
 
 def roll_slope(value: str, days: int, min_points: int = 3) -> Windowed:
     """Least-squares slope per day over the trailing calendar days."""
-    counted = _counted(value, days)
-    slope = F.regr_slope(F.col(value), F.col("_ord").cast("double")).over(last_days(days))
-    return Windowed({**counted, f"_b{days}_{value}": slope},
-                    F.when(F.col(next(iter(counted))) >= min_points, F.col(f"_b{days}_{value}")))
+    return _gated(value, days, "b", f"regr_slope({value}, CAST(_ord AS DOUBLE))", min_points)
 
 
 def roll_std(value: str, days: int, min_points: int = 3) -> Windowed:
-    counted = _counted(value, days)
-    return Windowed({**counted, f"_d{days}_{value}": F.stddev_samp(value).over(last_days(days))},
-                    F.when(F.col(next(iter(counted))) >= min_points, F.col(f"_d{days}_{value}")))
+    return _gated(value, days, "d", f"stddev_samp({value})", min_points)
 
 
 def vol_ratio(value: str) -> Windowed:
     """Spread of the last week relative to the last month."""
     week, month = roll_std(value, 7), roll_std(value, 30)
-    return Windowed({**week.raw, **month.raw}, F.try_divide(week.out, month.out))
+    return Windowed({**week.raw, **month.raw}, f"try_divide({week.out}, {month.out})")
 
 
 def acceleration(value: str) -> Windowed:
     """Weekly slope minus monthly slope."""
     week, month = roll_slope(value, 7), roll_slope(value, 30)
-    return Windowed({**week.raw, **month.raw}, week.out - month.out)
+    return Windowed({**week.raw, **month.raw}, f"({week.out}) - ({month.out})")
 
 
 def anomaly_flag(scores: list[str], limit: float = ANOMALY_Z) -> Column:
-    return reduce(lambda a, b: a | b, [F.coalesce(F.abs(F.col(s)) > limit, F.lit(False)) for s in scores])
+    return F.expr(" OR ".join(f"coalesce(abs({s}) > {limit!r}D, false)" for s in scores))
 
 
 def days_since(flag: str) -> Windowed:
     """Days since the last flagged day, 0 on the day itself, NULL before the first."""
-    latest = F.last(F.when(F.col(flag), F.col("date")), ignorenulls=True).over(history())
-    return Windowed({f"_last_{flag}": latest}, F.date_diff(F.col("date"), F.col(f"_last_{flag}")))
+    latest = f"last(CASE WHEN {flag} THEN date END, true) OVER {HISTORY}"
+    return Windowed({f"_last_{flag}": latest}, f"date_diff(date, _last_{flag})")
 
 
 def roll_share(flag: str, days: int, min_points: int = 3) -> Windowed:
     """Share of flagged rows among the rows of the trailing calendar days."""
-    counted = _counted(flag, days)
-    share = F.avg(F.col(flag).cast("double")).over(last_days(days))
-    return Windowed({**counted, f"_m{days}_{flag}": share},
-                    F.when(F.col(next(iter(counted))) >= min_points, F.col(f"_m{days}_{flag}")))
+    return _gated(flag, days, "m", f"avg(CAST({flag} AS DOUBLE))", min_points)
+
+
+def carried(value: str) -> Windowed:
+    """The value, or the last known one where it is missing."""
+    return Windowed({f"_carry_{value}": f"last({value}, true) OVER {HISTORY}"}, f"_carry_{value}")
 
 
 def ewma_cross(df: DataFrame, value: str, name: str, fast: int = 3, slow: int = 14) -> DataFrame:
@@ -164,53 +158,53 @@ def ewma_cross(df: DataFrame, value: str, name: str, fast: int = 3, slow: int =
     return both.withColumn(name, F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
 
 
-def carried(value: str) -> Windowed:
-    """The value, or the last known one where it is missing."""
-    return Windowed({f"_carry_{value}": F.last(value, ignorenulls=True).over(history())}, F.col(f"_carry_{value}"))
-
-
-def interday(df: DataFrame) -> DataFrame:
+def interday(df: DataFrame, wanted: list[str] | None = None) -> DataFrame:
     """Trends, robust deviations, volatility and history, all from days up to and including the current one.
 
     Every window shares one partitioning and one order, so the whole stage costs a single exchange and sort.
+    ``wanted`` restricts the added columns; by default all of them are built.
     """
     keep = df.columns
-    df = ewma_cross(with_day_number(df), "dp_mean", "_cross")
-    df = with_windowed(df, {
+    first = {
         "t_supply_vs_curve": curve_residual("t_supply_mean"),
         "dt_vs_expected": curve_residual("dt_mean"),
         **{f"{_base(c)}_robust_z": robust_z(c) for c in SCALE_FLOOR},
-    })
-    trends = {}
+    }
+    second = {}
     for c in TREND_SIGNALS:
-        trends[f"{_base(c)}_slope_7d"] = roll_slope(c, 7)
-        trends[f"{_base(c)}_slope_30d"] = roll_slope(c, 30)
-        trends[f"{_base(c)}_accel"] = acceleration(c)
+        second[f"{_base(c)}_slope_7d"] = roll_slope(c, 7)
+        second[f"{_base(c)}_slope_30d"] = roll_slope(c, 30)
+        second[f"{_base(c)}_accel"] = acceleration(c)
+    second |= {f"{_base(c)}_vol_ratio": vol_ratio(c) for c in VOLATILITY_SIGNALS}
+    second |= {"days_since_last_anomaly": days_since("_anom"), "dp_exceed_freq_14d": roll_share("_anom", 14),
+               # a gap longer than the look-back keeps the last known crossover
+               "ewma_cross_dp": carried("_cross")}
+    added = [c for c in [*first, *second] if wanted is None or c in wanted]
+    needed = {*added, "t_supply_vs_curve", "p_supply_robust_z", "dp_robust_z"}
+
+    df = ewma_cross(with_day_number(df), "dp_mean", "_cross")
+    df = with_windowed(df, {c: w for c, w in first.items() if c in needed})
     df = df.withColumn("_anom", anomaly_flag(["p_supply_robust_z", "dp_robust_z"]))
-    df = with_windowed(df, {
-        **trends,
-        **{f"{_base(c)}_vol_ratio": vol_ratio(c) for c in VOLATILITY_SIGNALS},
-        "days_since_last_anomaly": days_since("_anom"),
-        "dp_exceed_freq_14d": roll_share("_anom", 14),
-        # a gap longer than the look-back keeps the last known crossover
-        "ewma_cross_dp": carried("_cross"),
-    })
-    added = [c for c in df.columns if c not in keep and not c.startswith("_")]
+    df = with_windowed(df, {c: w for c, w in second.items() if c in needed})
     return df.select(*keep, *added)
 
 
 def select_contract(df: DataFrame) -> DataFrame:
     """Keys and the contract's features in order; what could not be computed is NULL, nothing is infinite."""
     have = set(df.columns)
-    cols = [(finite(F.col(f).cast("double")) if f in have else F.lit(None).cast("double")).alias(f) for f in FEATURES]
-    return df.select(*KEYS, *cols)
+
+    def feature(name: str) -> str:
+        value = f"CAST(`{name}` AS DOUBLE)" if name in have else "CAST(NULL AS DOUBLE)"
+        return f"CASE WHEN isnan({value}) OR abs({value}) = double('infinity') THEN NULL ELSE {value} END AS `{name}`"
+
+    return df.selectExpr(*KEYS, *[feature(f) for f in FEATURES])
 
 
 def build_matrix(sensors: DataFrame, weather: DataFrame, min_year: int = MIN_YEAR,
                  night: tuple[int, int] = NIGHT_HOURS, day: tuple[int, int] = DAY_HOURS) -> DataFrame:
     """Stored readings and daily weather to the feature matrix."""
     readings = dedup_measurements(clean_features(sensors, min_year))
-    return select_contract(interday(daily(intraday(readings, night, day), weather)))
+    return select_contract(interday(daily(intraday(readings, night, day), weather), FEATURES))
 
 
 def rebuild_stats(matrix: DataFrame, sensors: DataFrame, weather: DataFrame, version: str) -> DataFrame:

@@ -20,6 +20,7 @@ from fieldpulse.functions.text import clean_district, extract_plant, indel_ratio
 from fieldpulse.functions.values import finite
 from fieldpulse.operators.cleaning import pick_row
 from fieldpulse.schemas import FUZZY_THRESHOLD, LABEL_SOURCE, NOT_FOUND, PLANT_TYPE
+from fieldpulse.session import cut_lineage
 from fieldpulse.sources.landing import ORIGIN
 
 
@@ -180,14 +181,17 @@ def match_catalog(claims: DataFrame, catalog: DataFrame, threshold: int = FUZZY_
     """Best catalogue row per claim: inside its district when any place carries that name, else anywhere.
 
     Adds ``object_id``, ``matched_name``, ``place`` and ``score`` (NULL when nothing reaches the threshold). Of equal
-    scores the smallest object id wins.
+    scores the smallest object id wins. The distinct pairs and the catalogue's names are written once: every kind of
+    match reads them.
     """
     asked = claims.withColumns({"_query": norm_number(usable_extraction(extracted)),
                                 "_district": F.lower(F.coalesce(clean_district(district), F.lit("")))})
     pairs = asked.where(F.col("_query").isNotNull()).select(
         F.col("_query").alias("query"), F.col("_district").alias("district")).distinct()
-    placed = catalog.select("object_id", "facility_name", "municipality", norm_number("facility_name").alias("name"),
-                            F.lower("municipality").alias("place_key"))
+    pairs = cut_lineage(pairs)
+    placed = cut_lineage(catalog.select(
+        "object_id", "facility_name", "municipality", norm_number("facility_name").alias("name"),
+        F.lower("municipality").alias("place_key")))
     # one representative per number and place, and one per number
     first = F.min(F.struct("object_id", "facility_name", "municipality")).alias("row")
     by_place = placed.groupBy("name", "place_key").agg(first)

@@ -6,7 +6,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldpulse.sources.star_views import StarViews
@@ -29,12 +28,12 @@ _OFFSET = 1.3e-10
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    def one(c: str):
-        r = F.round(F.col(c) + F.lit(_OFFSET), digits)
-        return F.when(r == 0, F.lit(0.0)).otherwise(r).alias(c)
+    def one(c: str) -> str:
+        r = f"round(`{c}` + {_OFFSET!r}D, {digits})"
+        return f"CASE WHEN {r} = 0 THEN 0.0D ELSE {r} END AS `{c}`"
 
-    return df.select([one(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
-                      for f in df.schema.fields])
+    return df.selectExpr(*[one(f.name) if isinstance(f.dataType, T.DoubleType) else f"`{f.name}`"
+                           for f in df.schema.fields])
 
 
 def sql_rounded(columns: dict[str, str], body: str, digits: int = 6) -> str:
