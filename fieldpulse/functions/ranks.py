@@ -89,18 +89,17 @@ def quantiles(df: DataFrame, value: str, shares: list[float], parts: int | None
     """Exact quantiles with linear interpolation, one row with the array column ``q`` in the order of ``shares``."""
     counted = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running_totals(counted, value, {"_cum": "_n"}, parts=parts)
-    picks = []
-    for i, share in enumerate(shares):
-        place = F.lit(float(share)) * (F.col("_cum_total") - 1)
-        for side, index in (("lo", F.floor(place)), ("hi", F.ceil(place))):
-            here = (F.col("_cum") - F.col("_n") <= index) & (index < F.col("_cum"))
-            picks.append(F.max(F.when(here, F.col(value))).alias(f"_{side}{i}"))
-    wide = ranked.agg(F.max("_cum_total").alias("_total"), *picks)
-    out = []
-    for i, share in enumerate(shares):
-        place = F.lit(float(share)) * (F.col("_total") - 1)
-        out.append(F.col(f"_lo{i}") + (place - F.floor(place)) * (F.col(f"_hi{i}") - F.col(f"_lo{i}")))
-    return wide.select(F.array(*out).alias("q"))
+    wanted = f"array({', '.join(f'{float(share)!r}D' for share in shares)})"
+    # places 2i and 2i + 1 are the neighbours of the i-th quantile; a value holds the places its copies occupy
+    places = f"""flatten(transform({wanted}, (s, i) -> array(
+        struct(2 * i AS place, floor(s * (_cum_total - 1)) AS at),
+        struct(2 * i + 1 AS place, ceil(s * (_cum_total - 1)) AS at))))"""
+    held = ranked.selectExpr(f"`{value}` AS _value", "_cum_total", f"""explode(filter({places},
+        p -> p.at >= _cum - _n AND p.at < _cum)) AS _p""")
+    found = held.agg(F.expr("map_from_entries(collect_list(struct(_p.place, _value)))").alias("_m"),
+                     F.max("_cum_total").alias("_total"))
+    return found.selectExpr(f"""transform({wanted}, (s, i) -> _m[2 * i]
+        + (s * (_total - 1) - floor(s * (_total - 1))) * (_m[2 * i + 1] - _m[2 * i])) AS q""")
 
 
 def min_rank(df: DataFrame, value: str, name: str, by: list[str] | None = None, descending: bool = True) -> DataFrame:

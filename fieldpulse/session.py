@@ -19,6 +19,9 @@ SETTINGS = {
 }
 
 
+_LOCAL: dict[str, str] = {}  # private folders of local sessions
+
+
 def build_session(app: str = "fieldpulse", master: str | None = None, **extra: str) -> SparkSession:
     """A session with UTC calendar logic and adaptive execution.
 
@@ -41,7 +44,9 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix=f"fieldpulse-{os.getpid()}-")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix=f"fieldpulse-{os.getpid()}-")
+    return _LOCAL[context.applicationId]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -50,8 +55,11 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the files."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """Write ``df`` to the shared folder and continue from the files.
+
+    A Parquet table survives lost executors like a checkpoint does, and later steps read only the columns they need
+    and know its size when they choose how to join.
+    """
+    path = scratch(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
