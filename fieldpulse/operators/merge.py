@@ -17,7 +17,7 @@ def insert_new(existing: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     Only the key column of the store is read, and it is first reduced to the keys the batch brings: the store is
     filtered where it lies when the batch is small, and what meets the batch is never larger than the batch.
     """
-    known = existing.select(key).join(batch.select(key), key, "left_semi").distinct()
+    known = existing.select(key).join(batch.select(key), key, "left_semi")
     return batch.join(known, key, "left_anti")
 
 

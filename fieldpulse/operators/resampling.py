@@ -20,6 +20,7 @@ from fieldpulse.operators.target import within_horizon
 from fieldpulse.schemas import HORIZON_DAYS, LEAD_CAP_DAYS
 
 SLICE_OBJECTS = 20000
+CHUNK = 50  # replicates whose weights travel together
 
 
 def _interval(draws: DataFrame, value: str, low: str, high: str) -> DataFrame:
@@ -130,10 +131,11 @@ def bootstrap_detection(scored: DataFrame, threshold: float, replicates: int = 5
 
 
 def object_weights(scored: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """(object_id, weights): how often each object is drawn in every replicate, n draws with replacement in all.
+    """(object_id, chunk, weights): how often an object is drawn in each replicate of a chunk of ``CHUNK`` replicates.
 
-    Objects fall into slices by hash; a slice first learns how many draws it gets in total, then spreads them over its
-    own objects. Only the slice sizes (objects / 20000) travel to every task.
+    Every replicate draws as many objects as there are, with replacement. Objects fall into slices by hash; a
+    replicate first spreads its draws over the slices (their sizes are all that travels), then every slice spreads
+    what it got over its own objects.
     """
     objects = scored.select("object_id").distinct()
     total = objects.agg(F.count(F.lit(1))).scalar()
@@ -141,34 +143,41 @@ def object_weights(scored: DataFrame, replicates: int, seed: int) -> DataFrame:
         F.xxhash64("object_id", F.lit(seed)), F.floor(F.col("_n") / SLICE_OBJECTS) + 1)).drop("_n")
     sizes = sliced.groupBy("slice").agg(F.count(F.lit(1)).alias("n")).agg(
         F.array_sort(F.collect_list(F.struct("slice", "n"))))
-    sliced = sliced.withColumn("sizes", sizes.scalar())
-
-    def draw_weights(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        slices = part["sizes"].iloc[0]
-        sizes = np.array([s["n"] for s in slices], dtype=np.int64)
-        place = [int(s["slice"]) for s in slices].index(int(key[0]))
-        n = int(sizes.sum())
-        shared = np.random.default_rng([seed, 0]).multinomial(n, sizes / n, size=replicates)[:, place]
+    spark = scored.sparkSession
+    runs = spark.range(0, replicates, 1, min(replicates, spark.sparkContext.defaultParallelism)) \
+        .withColumnRenamed("id", "replicate").withColumn("sizes", sizes.scalar())
+
+    def split_draws(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for run, slices in zip(part["replicate"], part["sizes"]):
+                n = np.array([s["n"] for s in slices], dtype=np.int64)
+                draws = np.random.default_rng([seed, 0, int(run)]).multinomial(n.sum(), n / n.sum())
+                yield pd.DataFrame({"replicate": run, "slice": [s["slice"] for s in slices], "draws": draws})
+
+    def spread_draws(key: tuple, ids: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
+        if ids.empty:
+            return pd.DataFrame({"object_id": [], "chunk": [], "weights": []})
+        names = ids["object_id"].sort_values().to_numpy()
+        counts = draws.sort_values("replicate")["draws"].to_numpy()
         own = np.random.default_rng([seed, 1, int(key[0])])
-        ids = part["object_id"].sort_values().to_numpy()
-        weights = own.multinomial(shared, np.full(len(ids), 1 / len(ids)))
-        return pd.DataFrame({"object_id": ids, "weights": list(weights.T.astype(np.int32))})
+        weights = own.multinomial(counts, np.full(len(names), 1 / len(names))).T.astype(np.int32)
+        chunks = [weights[:, i:i + CHUNK] for i in range(0, replicates, CHUNK)]
+        return pd.concat([pd.DataFrame({"object_id": names, "chunk": i, "weights": list(w)})
+                          for i, w in enumerate(chunks)])
 
-    return sliced.groupBy("slice").applyInPandas(draw_weights, "object_id string, weights array<int>")
+    split = runs.mapInPandas(split_draws, "replicate bigint, slice bigint, draws bigint")
+    return sliced.groupBy("slice").cogroup(split.groupBy("slice")).applyInPandas(
+        spread_draws, "object_id string, chunk int, weights array<int>")
 
 
 def _bucket_wins(score: np.ndarray, pos: np.ndarray, neg: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Weighted (positive above negative) pairs inside one bucket per replicate, equal scores counting half."""
     order = np.argsort(score, kind="stable")
     first = np.flatnonzero(np.diff(score[order], prepend=np.nan) != 0)
-    wins = np.empty(weights.shape[1])
-    for i in range(0, weights.shape[1], 32):  # a few replicates at a time keep the working set small
-        w = weights[order, i:i + 32].astype(np.float64)
-        p = np.add.reduceat(w * pos[order, None], first, axis=0)
-        n = np.add.reduceat(w * neg[order, None], first, axis=0)
-        below = np.cumsum(n, axis=0) - n
-        wins[i:i + 32] = (p * (below + n / 2)).sum(axis=0)
-    return wins
+    w = weights[order].astype(np.float64)
+    p = np.add.reduceat(w * pos[order, None], first, axis=0)
+    n = np.add.reduceat(w * neg[order, None], first, axis=0)
+    return (p * (np.cumsum(n, axis=0) - n / 2)).sum(axis=0)
 
 
 def bootstrap_roc_draws(scored: DataFrame, horizon_days: int = HORIZON_DAYS, replicates: int = 500, seed: int = 0,
@@ -190,11 +199,11 @@ def bootstrap_roc_draws(scored: DataFrame, horizon_days: int = HORIZON_DAYS, rep
         w = np.stack(part["weights"].to_numpy())
         pos, neg = part["pos"].to_numpy(float), part["neg"].to_numpy(float)
         single = int(key[0]) % 2 == 1
-        wins = np.zeros(replicates) if single else _bucket_wins(part["score"].to_numpy(), pos, neg, w)
-        return pd.DataFrame({"_bucket": key[0], "replicate": np.arange(replicates), "pos": pos @ w, "neg": neg @ w,
-                             "wins": wins})
+        wins = np.zeros(w.shape[1]) if single else _bucket_wins(part["score"].to_numpy(), pos, neg, w)
+        return pd.DataFrame({"_bucket": key[0], "replicate": int(key[2]) * CHUNK + np.arange(w.shape[1]),
+                             "pos": pos @ w, "neg": neg @ w, "wins": wins})
 
-    sums = weighted.groupBy("_bucket", "_slice").applyInPandas(
+    sums = weighted.groupBy("_bucket", "_slice", "chunk").applyInPandas(
         sum_bucket, "_bucket int, replicate bigint, pos double, neg double, wins double")
     sums = sums.groupBy("_bucket", "replicate").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"),
                                                     F.sum("wins").alias("wins"))

@@ -37,17 +37,21 @@ def with_month(df: DataFrame, moment: str = "ts_recorded") -> DataFrame:
     return df.withColumn(MONTH, F.date_format(epoch_date(moment), "yyyy-MM"))
 
 
-def append_sensors(df: DataFrame, path: str, files_per_month: int = 64) -> int:
+def _rebalanced(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows regrouped by columns into evenly sized tasks: small groups share one, a huge group is split."""
+    return df.hint("rebalance", *[F.col(c) for c in columns])
+
+
+def append_sensors(df: DataFrame, path: str) -> int:
     """Append readings to month partitions, sorted for object range scans; returns the rows written.
 
-    Objects spread over a fixed number of files per month, and a busy object over several of them by its day.
-    Nothing already stored is rewritten. A batch may hold a month's worth or a decade's: rows are routed by month and
-    a hash of object and day, so no month or object lands in one task.
+    Nothing already stored is rewritten. Rows are routed by month and object group, and adaptive execution sizes the
+    writing tasks by bytes, so neither a decade of history nor one busy object or month ends up in a single task.
     """
     rows = Observation("append_sensors")
-    spread = F.pmod(F.xxhash64("object_id", epoch_date("ts_recorded")), F.lit(files_per_month))
+    routed = with_month(df).withColumn("_group", F.pmod(F.xxhash64("object_id"), F.lit(1024)))
     # observed in the writing stage itself, where a repeated task counts once
-    (with_month(df).repartition(MONTH, spread)
+    (_rebalanced(routed, MONTH, "_group").drop("_group")
      .sortWithinPartitions(MONTH, "object_id", "ts_recorded")
      .observe(rows, F.count(F.lit(1)).alias("rows"))
      .write.mode("append").partitionBy(MONTH).parquet(path))
@@ -99,8 +103,7 @@ def write_export(df: DataFrame, out: str, first: str | None = None, last: str |
 
 def write_matrix(matrix: DataFrame, path: str) -> None:
     """Store the feature matrix by month, sorted by key inside each file."""
-    (matrix.withColumn(MONTH, F.date_format("date", "yyyy-MM"))
-     .repartition(MONTH, F.pmod(F.xxhash64("object_id"), F.lit(32)))
+    (_rebalanced(matrix.withColumn(MONTH, F.date_format("date", "yyyy-MM")), MONTH)
      .sortWithinPartitions(MONTH, "object_id", "date")
      .write.mode("overwrite").partitionBy(MONTH).parquet(path))
 

@@ -107,8 +107,13 @@ def test_detection_interval(panel):
     assert got["detection_hi"] - got["detection_lo"] == pytest.approx(2 * spread, abs=0.12)
 
 
+def weights_of(panel, replicates, seed):
+    rows = sorted(B.object_weights(panel, replicates, seed).collect(), key=lambda r: r["chunk"])
+    return {o: [w for r in rows if r["object_id"] == o for w in r["weights"]] for o in {r["object_id"] for r in rows}}
+
+
 def test_roc_draws_against_weighted_brute_force(panel, rows):
-    weights = {r["object_id"]: r["weights"] for r in B.object_weights(panel, 5, 9).collect()}
+    weights = weights_of(panel, 5, 9)
     assert all(sum(w[b] for w in weights.values()) == 40 for b in range(5))
     draws = {r["replicate"]: r["roc_auc"] for r in B.bootstrap_roc_draws(panel, 30, 5, 9, parts=16).collect()}
     y, s = arrays(rows)
@@ -119,7 +124,10 @@ def test_roc_draws_against_weighted_brute_force(panel, rows):
 
 def test_weights_over_many_slices(monkeypatch, panel):
     monkeypatch.setattr(B, "SLICE_OBJECTS", 7)
-    weights = [r["weights"] for r in B.object_weights(panel, 50, 4).collect()]
+    monkeypatch.setattr(B, "CHUNK", 20)
+    weights = list(weights_of(panel, 50, 4).values())
+    assert len(weights) == 40 and {len(w) for w in weights} == {50}
+    assert (np.sum(weights, axis=0) == 40).all()
     assert len(weights) == 40 and (np.sum(weights, axis=0) == 40).all()
     assert np.mean([w == 0 for ws in weights for w in ws]) == pytest.approx((1 - 1 / 40) ** 40, abs=0.03)
 
