@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldpulse.functions.values import DAY, epoch_date
 from fieldpulse.operators.merge import recorded_days
 from fieldpulse.schemas import OBJECTS
-from fieldpulse.sources.tables import between_days
+from fieldpulse.sources.tables import MONTH, between_days
 
 
 def page(df: DataFrame, keys: list[str], offset: int, limit: int) -> tuple[DataFrame, DataFrame]:
@@ -26,8 +28,18 @@ def seconds_between(df: DataFrame, moment: str, from_ts: int | None = None, to_t
     return df.where(F.col(moment) <= to_ts) if to_ts is not None else df
 
 
+def _month(seconds: int) -> str:
+    return datetime.fromtimestamp(seconds, timezone.utc).strftime("%Y-%m")
+
+
 def sensors_between(df: DataFrame, object_id: str | None = None, from_ts: int | None = None,
                     to_ts: int | None = None) -> DataFrame:
+    """Readings by recording time; a table stored by month is pruned to the months of the range."""
+    if MONTH in df.columns:
+        if from_ts is not None:
+            df = df.where(F.col(MONTH) >= _month(from_ts))
+        if to_ts is not None:
+            df = df.where(F.col(MONTH) <= _month(to_ts))
     return seconds_between(df, "ts_recorded", from_ts, to_ts, object_id)
 
 

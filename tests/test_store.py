@@ -36,6 +36,14 @@ def test_ranges_are_inclusive_and_pushed_down(spark, tmp_path):
     assert "GreaterThanOrEqual(ts_recorded" in plan and "EqualTo(object_id,A)" in plan
 
 
+def test_ranges_prune_months(spark, tmp_path):
+    path = str(tmp_path / "s")
+    T.append_sensors(sensors(spark, [("A", T0 + i * 20 * 86400) for i in range(5)]), path)
+    out = S.sensors_between(T.read_or_empty(spark, path, SENSORS), "A", T0 + 86400, T0 + 45 * 86400)
+    assert sorted((r["ts_recorded"] - T0) // 86400 for r in out.collect()) == [20, 40]
+    assert "PartitionFilters: [isnotnull(event_month" in out._jdf.queryExecution().toString()
+
+
 def test_pages_and_totals(spark):
     rows, total = S.page(sensors(spark, [("A", T0 + i) for i in range(10)]), ["ts_recorded", "record_id"], 7, 5)
     assert [r["ts_recorded"] - T0 for r in rows.collect()] == [7, 8, 9] and total.first()["total"] == 10
