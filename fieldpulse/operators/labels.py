@@ -225,7 +225,8 @@ def resolve(claims: DataFrame, cache: DataFrame, catalog: DataFrame, threshold:
     ``extraction`` computes the plant's name from a claim; by default its first mention in the text.
     """
     known = claims.select(F.col("id_cds_claim").alias("claim_id")).join(cache, "claim_id")
-    todo = claims.join(cache.select(F.col("claim_id").alias("id_cds_claim")), "id_cds_claim", "left_anti")
+    # written before anything is extracted: the planner would otherwise move filters on the extraction below the join
+    todo = cut_lineage(claims.join(cache.select(F.col("claim_id").alias("id_cds_claim")), "id_cds_claim", "left_anti"))
     named = todo.withColumn("extracted", extract_plant("text_message") if extraction is None else extraction)
     fresh = match_catalog(named, catalog, threshold).select(
         F.col("id_cds_claim").alias("claim_id"), "object_id", "extracted",
