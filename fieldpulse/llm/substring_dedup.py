@@ -5,13 +5,15 @@ of their content that two equal windows share: the run of eight words with the s
 Anchors that occur in one text only end there, so most suffixes never leave their task. A group holds the words around the
 occurrences of one anchor; its suffixes are sorted, and neighbours that agree over a whole window form a deep internal node
 of the subtree, that is a repeat. Of each node the smallest document keeps the words; nodes next to each other make the
-maximal repeats. Anchors with more occurrences than a group may hold get the longest prefix, the whole window: such a group
-is a single node, so its smallest document is found by an aggregate that starts in every task.
+maximal repeats. Anchors with more occurrences than a group may hold are searched in parts: a part settles its own nodes and
+sends one leaf of each node, that of its smallest document, on to groups of the longest prefix, the whole window, where a
+group is a single node and its smallest document an aggregate that starts in every task.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -76,28 +78,26 @@ def _records(window: int, anchor: int):
     return run
 
 
-def _contexts(window: int, large: bool):
-    """Words around each anchor occurrence, of the large groups or of the others."""
+def _contexts(window: int):
+    """Words around each anchor occurrence, and the part of the group that it goes to."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, ids = batch.column("row").to_pylist(), batch.column("id").to_pylist()
-            out: list[list] = [[], [], [], [], []]
-            for row, key_id, text, anchors in zip(rows, ids, batch.column("text"), batch.column("anchors")):
-                anchors = [a for a in anchors.as_py() if a["large"] == large]
-                if not anchors:
-                    continue
+            out: list[list] = [[], [], [], [], [], [], []]
+            for row, key_id, text, anchors in zip(batch.column("row").to_pylist(), batch.column("id").to_pylist(),
+                                                  batch.column("text"), batch.column("anchors")):
                 words = text.as_py().encode().split()
-                for a in anchors:
-                    for column, value in zip(out, (a["key"], row, key_id, a["first"],
-                                                   b" ".join(words[a["first"]:a["last"] + window]))):
+                for a in anchors.as_py():
+                    part = zlib.crc32(row.to_bytes(8)) % a["parts"]
+                    context = b" ".join(words[a["first"]:a["last"] + window])
+                    for column, value in zip(out, (a["key"], part, a["parts"], row, key_id, a["first"], context)):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.binary() if i == 4 else pa.int32() if i == 3 else pa.int64()) for i, c in enumerate(out)],
-                names=["key", "row", "id", "first", "words"])
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)],
+                                             names=["key", "part", "parts", "row", "id", "first", "words"])
     return run
 
 
-_CONTEXT = "key long, row long, id long, first int, words binary"
+_CONTEXT = "key long, part int, parts int, row long, id long, first int, words binary"
 
 
 def suffixes(words: bytes, window: int) -> list[bytes]:
@@ -121,55 +121,55 @@ def stretches(starts: list[int], window: int) -> Iterator[tuple[int, int]]:
         yield begin, end
 
 
-def subtree_repeats(group: list[tuple[int, int, int, bytes]], window: int) -> list[tuple[int, int, int]]:
-    """(row, from, to) of words in windows whose node also holds a smaller id. ``group``: (row, id, first, words)."""
+def subtree(group: list[tuple[int, int, int, bytes]], window: int):
+    """Repeats and smallest leaves of one subtree; ``group`` holds (row, id, first, words).
+
+    The first result are (row, from, to) of words in windows whose node also holds a smaller id, the second one leaf
+    (window, id, row, start) of the smallest id for each node.
+    """
     leaves = sorted((suffix, key_id, row, first + k) for row, key_id, first, words in group
                     for k, suffix in enumerate(suffixes(words, window)))
     found: dict[int, list[int]] = {}
+    smallest = []
     for _, node in groupby(leaves, key=lambda x: x[0]):
-        smallest = None
-        for _, key_id, row, start in node:  # by id within the node
-            smallest = key_id if smallest is None else smallest
-            if key_id > smallest:
+        first = next(node)  # by id within the node
+        smallest.append(first)
+        for _, key_id, row, start in node:
+            if key_id > first[1]:
                 found.setdefault(row, []).append(start)
-    return [(row, a, b) for row, starts in found.items() for a, b in stretches(starts, window)]
+            else:
+                smallest.append((first[0], key_id, row, start))
+    return [(row, a, b) for row, starts in found.items() for a, b in stretches(starts, window)], smallest
 
 
 def _subtrees(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(groups):
-            found = [x for g in groups for x in subtree_repeats(g, window)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int32()),
-                 pa.array([x[2] for x in found], pa.int32())], names=["row", "from", "to"])
-
-        held, key = [], None
+            out = []
+            for parts, group in groups:
+                repeats, smallest = subtree(group, window)
+                out += [(row, a, b, None, None) for row, a, b in repeats]
+                if parts > 1:
+                    out += [(row, start, start + window, hashlib.blake2b(leaf, digest_size=16).digest(), key_id)
+                            for leaf, key_id, row, start in smallest]
+            columns = list(zip(*out)) if out else [[]] * 5
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
+                                              names=["row", "from", "to", "node", "id"])
+
+        held, place = [], None
         for batch in batches:
             done = []
-            for k, *rest in zip(*(batch.column(c).to_pylist() for c in ("key", "row", "id", "first", "words"))):
-                if k != key and held:
-                    done.append(held)
+            for key, part, parts, *rest in zip(*(batch.column(c).to_pylist() for c in (
+                    "key", "part", "parts", "row", "id", "first", "words"))):
+                if (key, part, parts) != place and held:
+                    done.append((place[2], held))
                     held = []
-                key = k
+                place = (key, part, parts)
                 held.append(tuple(rest))
             yield solved(done)
         if held:
-            yield solved([held])
-    return run
-
-
-def _nodes(window: int):
-    """One row per suffix with 128 bits of its whole window."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for row, key_id, first, words in zip(*(batch.column(c).to_pylist() for c in ("row", "id", "first", "words"))):
-                for k, suffix in enumerate(suffixes(words, window)):
-                    for column, value in zip(out, (hashlib.blake2b(suffix, digest_size=16).digest(), row, key_id, first + k)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()),
-                 pa.array(out[3], pa.int32())], names=["node", "row", "id", "start"])
+            yield solved([(place[2], held)])
     return run
 
 
@@ -205,23 +205,23 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         firsts.select("row"), "row", "left_semi")
     alone = cut_lineage(alone)
     anchors = alone.select("row", F.explode("anchors").alias("a")).select("row", "a.key", "a.first", "a.last")
-    shared = anchors.groupBy("key").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.count("*").alias("n")).where(
-        "low < high").select("key", (F.col("n") > group_rows).alias("large"))
+    shared = cut_lineage(anchors.groupBy("key").agg(
+        F.min("row").alias("low"), F.max("row").alias("high"), F.count("*").alias("n")).where("low < high").select(
+        "key", F.ceil(F.col("n") / group_rows).cast("int").alias("parts")))
     suspects = anchors.join(shared, "key").groupBy("row").agg(
-        F.collect_list(F.struct("key", "first", "last", "large")).alias("anchors"))
+        F.collect_list(F.struct("key", "first", "last", "parts")).alias("anchors"))
     wanted = suspects.join(alone.select("row", "id", "text_sha"), "row")
     found = cut_lineage(wanted.join(
         rows.select(F.col("id").alias("i"), F.col("text_sha").alias("s"), "text"),
         (F.col("id") == F.col("i")) & (F.col("text_sha") == F.col("s"))).select("row", "id", "text", "anchors"))
-    small = found.mapInArrow(_contexts(window, False), _CONTEXT)
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    repeats = small.repartition(width, "key").sortWithinPartitions("key").mapInArrow(
-        _subtrees(window), "row long, from int, to int")
-    nodes = cut_lineage(found.where(F.exists("anchors", lambda a: a["large"])).mapInArrow(
-        _contexts(window, True), _CONTEXT).mapInArrow(_nodes(window), "node binary, row long, id long, start int"))
-    smallest = nodes.groupBy("node").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    repeats = repeats.unionByName(nodes.join(smallest, "node").where(F.col("id") > F.col("low")).select(
-        "row", F.col("start").alias("from"), (F.col("start") + window).alias("to")))
+    solved = cut_lineage(found.mapInArrow(_contexts(window), _CONTEXT).repartition(width, "key", "part").sortWithinPartitions(
+        "key", "part").mapInArrow(_subtrees(window), "row long, from int, to int, node binary, id long"))
+    smallest = solved.where("node IS NOT NULL")
+    nodes = cut_lineage(smallest.groupBy("node").agg(F.min("id").alias("low"), F.max("id").alias("high")).where(
+        "low < high").select("node", "low"))
+    repeats = solved.where("node IS NULL").select("row", "from", "to").unionByName(
+        smallest.join(nodes, "node").where("id > low").select("row", "from", "to"))
     ranges = repeats.groupBy("row").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
     cut = found.dropDuplicates(["row"]).join(ranges, "row").select("row", "text", "ranges").mapInArrow(
         _cut, "row long, n_removed long, kept string")
