@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldpulse.llm.components import components
@@ -27,6 +27,7 @@ from fieldpulse.llm.words import mix, sequences, slices, split_words
 from fieldpulse.session import cut_lineage
 
 BITS = 1024
+WIDE_BITS = 1 << 14
 BLOCK_ROWS = 2000
 FREQUENT = 48
 MOST_FREQUENT = 1 << 16
@@ -278,27 +279,52 @@ def candidates(members: DataFrame, percent: int, single: bool, block_rows: int)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets reach the threshold."""
-    left, right = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), sets.select(
-        F.col("node").alias("b"), F.col("tokens").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").where(
-        100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+    """The pairs whose sets reach the threshold: wide bitmaps first, then the sets of what is left."""
+    def beside(found: DataFrame, *columns: str) -> DataFrame:
+        for node, mark in (("a", "x"), ("b", "y")):
+            found = found.join(sets.select(F.col("node").alias(node), *[F.col(c).alias(f"{mark}_{c}") for c in columns]), node)
+        return found
+
+    def reach(overlap: Column) -> Column:
+        return (100 + percent) * overlap >= percent * (F.col("x_n") + F.col("y_n"))
+
+    bits = F.aggregate(F.zip_with("x_wide", "y_wide", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda t, v: t + v)
+    near = cut_lineage(beside(pairs, "n", "extra", "wide").where(reach(bits + F.least("x_extra", "y_extra"))).select("a", "b"))
+    involved = cut_lineage(near.select(F.col("a").alias("node")).union(near.select("b")).distinct())
+    sets = sets.join(involved, "node", "left_semi")
+    return beside(near, "n", "tokens").where(reach(F.size(F.array_intersect("x_tokens", "y_tokens")))).select("a", "b")
 
 
 def _tokens(size: int):
+    """Exact sets with a bitmap wide enough for long texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 sets = token_sets(batch.column("text"), size)
                 edges = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                maps = [np.frombuffer(bitmap(tokens, WIDE_BITS), np.int64) for tokens in sets]
+                words = np.arange(len(sets) + 1, dtype=np.int32) * (WIDE_BITS // 64)
+                extra = [len(t) - int(np.bitwise_count(m.view(np.uint64)).sum()) for t, m in zip(sets, maps)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("node"), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat.view(np.int64)))],
-                    names=["node", "tokens"])
+                    [batch.column("node"), pa.array(list(map(len, sets)), pa.int64()), pa.array(extra, pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(words), pa.array(np.concatenate(maps) if maps else flat.view(np.int64))),
+                     pa.ListArray.from_arrays(pa.array(edges), pa.array(flat.view(np.int64)))],
+                    names=["node", "n", "extra", "wide", "tokens"])
     return run
 
 
+def exact_sets(active: DataFrame, nodes: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """Sets of the active nodes, made again from their texts."""
+    wanted = nodes.join(active, "node", "left_semi").select("node", F.col("id").alias("i"), F.col("text_sha").alias("s"))
+    wanted = cut_lineage(wanted)
+    ids = cut_lineage(wanted.select("i").distinct())  # of known size: small lists spare the texts a shuffle
+    texts = rows.select("id", "text_sha", "text").join(ids, F.col("id").eqNullSafe(F.col("i")), "left_semi")
+    texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("i")) & (F.col("text_sha") == F.col("s"))).select("node", "text")
+    return cut_lineage(texts.dropDuplicates(["node"]).mapInArrow(
+        _tokens(size), "node long, n long, extra long, wide array<long>, tokens array<long>"))
+
+
 def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80,
                        block_rows: int = BLOCK_ROWS, frequent_from: int = FREQUENT) -> DataFrame:
     """One row per input row: key, n_shingles, component_id and text_sha (of the text, null as empty).
@@ -337,7 +363,7 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def _links(nodes: DataFrame, rows: DataFrame, size: int, percent: int, block_rows: int) -> DataFrame | None:
     """Verified links that join every component; None if no pair was proposed."""
     postings = nodes.select("node", F.explode("prefix").alias("block"))
-    shared = postings.groupBy("block").agg(F.count("*").alias("rows")).where("rows > 1")
+    shared = cut_lineage(postings.groupBy("block").agg(F.count("*").alias("rows")).where("rows > 1"))
     postings = cut_lineage(postings.join(shared, "block"))
     light = nodes.select("node", "n", "bitmap")
     members = postings.join(light, "node").withColumn("root", F.col("node"))
@@ -347,16 +373,14 @@ def _links(nodes: DataFrame, rows: DataFrame, size: int, percent: int, block_row
     active = cut_lineage(active)
     if active.isEmpty():
         return None
-    texts = nodes.join(active, "node", "left_semi").select("node", F.col("id").alias("i"), F.col("text_sha").alias("s"))
-    sets = cut_lineage(texts.join(rows.select("id", "text_sha", "text"),
-                                  F.col("id").eqNullSafe(F.col("i")) & (F.col("text_sha") == F.col("s"))).select(
-        "node", "text").mapInArrow(_tokens(size), "node long, tokens array<long>").dropDuplicates(["node"]))
+    sets = exact_sets(active, nodes, rows, size)
     first = cut_lineage(verified(seeds, sets, percent))
     roots = components(first)
     # what is left: pairs in different components, among sets that have any partner
     known = light.join(active, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     again = cut_lineage(postings.join(known, "node"))
-    mixed = again.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("block")
+    mixed = cut_lineage(again.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(
+        "low < high").select("block"))
     rest = candidates(again.join(mixed, "block"), percent, False, block_rows).join(seeds, ["a", "b"], "left_anti")
     second = cut_lineage(verified(rest, sets, percent))
     return first.unionByName(second)
