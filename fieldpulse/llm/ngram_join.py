@@ -317,10 +317,8 @@ def _tokens(size: int):
 def exact_sets(active: DataFrame, nodes: DataFrame, rows: DataFrame, size: int) -> DataFrame:
     """Sets of the active nodes, made again from their texts."""
     wanted = nodes.join(active, "node", "left_semi").select("node", F.col("id").alias("i"), F.col("text_sha").alias("s"))
-    wanted = cut_lineage(wanted)
-    ids = cut_lineage(wanted.select("i").distinct())  # of known size: small lists spare the texts a shuffle
-    texts = rows.select("id", "text_sha", "text").join(ids, F.col("id").eqNullSafe(F.col("i")), "left_semi")
-    texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("i")) & (F.col("text_sha") == F.col("s"))).select("node", "text")
+    texts = rows.select("id", "text_sha", "text").join(
+        wanted, F.col("id").eqNullSafe(F.col("i")) & (F.col("text_sha") == F.col("s"))).select("node", "text")
     return cut_lineage(texts.dropDuplicates(["node"]).mapInArrow(
         _tokens(size), "node long, n long, extra long, wide array<long>, tokens array<long>"))
 
