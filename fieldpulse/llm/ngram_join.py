@@ -33,7 +33,7 @@ FREQUENT = 48
 MOST_FREQUENT = 1 << 16
 LEAF = 16
 FAN = 8
-_SET = "row long, id long, text_sha string, n long, digest binary, prefix array<long>, bitmap binary"
+_SET = "row long, id long, text_sha binary, n long, digest binary, prefix array<long>, bitmap binary"
 
 
 def token_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
@@ -333,17 +333,16 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     key. Repeated rows share their component; other columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("id"),
-                       F.col(text).alias("text")).withColumn("text_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+                       F.col(text).alias("text")).withColumn("text_sha", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
     counted = rows.select("text").mapInArrow(_frequent(size), "token long, n long").groupBy("token").agg(
         F.sum("n").alias("n")).where(F.col("n") >= frequent_from).orderBy(F.col("n").desc(), "token").limit(MOST_FREQUENT)
     frequent = np.sort(np.array([r[0] for r in counted.select("token").collect()], np.int64).view(np.uint64))
     records = cut_lineage(rows.mapInArrow(_sets(size, percent, frequent), _SET))
-    # one node per distinct set: its smallest row number stands for it
-    firsts = records.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("id").alias("low_id"))
-    firsts = cut_lineage(firsts)
-    nodes = records.join(firsts.select("node"), F.col("row") == F.col("node"), "left_semi").select(
-        F.col("row").alias("node"), "n", "prefix", "bitmap", "id", "text_sha")
-    nodes = cut_lineage(nodes)
+    # one node per distinct set: its smallest row stands for it
+    one = F.min_by(F.struct("row", "n", "prefix", "bitmap", "id", "text_sha"), F.col("row")).alias("one")
+    nodes = cut_lineage(records.where("n > 0").groupBy("digest").agg(one, F.min("id").alias("low_id")).select(
+        "digest", "low_id", F.col("one.row").alias("node"), "one.n", "one.prefix", "one.bitmap", "one.id", "one.text_sha"))
+    firsts = nodes.select("digest", "node", "low_id")
     links = _links(nodes, rows, size, percent, block_rows)
     if links is None:
         roots = firsts.select("digest", F.col("low_id").alias("component"))
@@ -391,5 +390,5 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     """
     kept = similar_components(docs, key, text, size, percent).where(F.col(key).eqNullSafe(F.col("component_id"))).select(
         F.col(key).alias("__id"), F.col("text_sha").alias("__sha"))
-    same = F.col(key).eqNullSafe(F.col("__id")) & (F.sha2(F.coalesce(F.col(text), F.lit("")), 256) == F.col("__sha"))
+    same = F.col(key).eqNullSafe(F.col("__id")) & (F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)) == F.col("__sha"))
     return docs.join(kept, same, "left_semi")
