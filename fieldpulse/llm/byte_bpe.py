@@ -8,6 +8,7 @@ stale are skipped when they are taken out. The work is n log n, so very long pre
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -19,78 +20,71 @@ from pyspark.sql import functions as F
 
 from fieldpulse.llm.words import slices
 
-KEPT_PIECES = 200_000
+KEPT_PIECES = 500_000
 _LOADED: dict[tuple[int, str], "Codec"] = {}
 
 
-class RankQueue:
-    """Buckets of positions by rank. A filled bucket is a bit in a word of 256 ranks, a filled word a bit at the top."""
-
-    __slots__ = ("top", "words", "buckets")
-
-    def __init__(self, ranks: int):
-        self.top = 0
-        self.words = [0] * ((ranks >> 8) + 1)
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            self.words[rank >> 8] |= 1 << (rank & 255)
-            self.top |= 1 << (rank >> 8)
-        else:
-            heappush(bucket, position)
-
-    def take(self) -> tuple[int, int]:
-        """The lowest rank and its leftmost position. The queue must not be empty."""
-        top = self.top
-        at = (top & -top).bit_length() - 1
-        word = self.words[at]
-        rank = at << 8 | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        if len(bucket) > 1:
-            return rank, heappop(bucket)
-        del self.buckets[rank]
-        word &= word - 1
-        self.words[at] = word
-        if not word:
-            self.top = top & (top - 1)
-        return rank, bucket[0]
-
-
 class Codec:
     """Encoder and decoder for one set of ranks and one splitting pattern."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, kept: int = KEPT_PIECES):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
+        self.pairs = [-1] * 65536  # ranks of two bytes
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.pairs[token[0] << 8 | token[1]] = rank
         self.find = regex.compile(pattern).findall
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
+        self.words = [0] * ((max(ranks.values(), default=0) >> 8) + 1)  # all zero between two merges
         self.longest = max(map(len, ranks), default=0)
         self.kept = kept
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token: the pair of lowest rank is merged, the leftmost first, until no pair has a rank."""
-        ranks, longest, queue, n = self.ranks, self.longest, self.queue, len(piece)
+        """Ids of one pre-token: the pair of lowest rank is merged, the leftmost first, until no pair has a rank.
+
+        The queue: ``buckets`` hold positions by rank, in heap order; a filled bucket is a bit in a word of 256 ranks, a
+        filled word a bit of ``top``. It is written out in the loop because calls would cost more than its work.
+        """
+        ranks, longest, words, n = self.ranks, self.longest, self.words, len(piece)
         if piece in ranks:
             return [ranks[piece]]
-        push, take, rank_of = queue.push, queue.take, ranks.get
+        rank_of = ranks.get
         after = list(range(1, n + 2))  # end of the token that starts here
         before = list(range(-1, n))  # start of the token on its left
-        current = [rank_of(piece[i:i + 2], -1) for i in range(n - 1)] + [-1, -1]  # rank of the pair that starts here
-        for i in range(n - 1):
-            if current[i] >= 0:
-                push(current[i], i)
-        while queue.top:
-            rank, i = take()
+        pairs = self.pairs
+        current = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:])]  # rank of the pair that starts here
+        buckets: dict[int, list[int]] = {}
+        top = 0
+        for i, rank in enumerate(current):
+            if rank >= 0:
+                if rank in buckets:
+                    buckets[rank].append(i)
+                else:
+                    buckets[rank] = [i]
+                    words[rank >> 8] |= 1 << (rank & 255)
+                    top |= 1 << (rank >> 8)
+        current += (-1, -1)
+        while top:
+            at = (top & -top).bit_length() - 1  # find first set, twice
+            word = words[at]
+            rank = at << 8 | (word & -word).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                words[at] = word = word & (word - 1)
+                if not word:
+                    top &= top - 1
             if current[i] != rank:
                 continue  # stale
             middle = after[i]
             end = after[i] = after[middle]
             current[middle] = -1
+            left = before[i]
             if end < n:
                 before[end] = i
                 stop = after[end]
@@ -98,15 +92,22 @@ class Codec:
             else:
                 new = -1
             current[i] = new
-            if new >= 0:
-                push(new, i)
-            left = before[i]
-            if left >= 0:
+            start = i
+            while True:  # the new pair that starts here, then the one on its left
+                if new >= 0:
+                    if new in buckets:
+                        heappush(buckets[new], start)
+                    else:
+                        buckets[new] = [start]
+                        words[new >> 8] |= 1 << (new & 255)
+                        top |= 1 << (new >> 8)
+                if start != i or left < 0:
+                    break
                 new = rank_of(piece[left:end], -1) if end - left <= longest else -1
-                if current[left] != new:
-                    current[left] = new
-                    if new >= 0:
-                        push(new, left)
+                if current[left] == new:
+                    break
+                current[left] = new
+                start = left
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i:after[i]]])
@@ -115,23 +116,27 @@ class Codec:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text. Ids of short pieces are kept in two generations of bounded size."""
-        young, old, out = self.young, self.old, []
-        for piece in self.find(text):
-            ids = young.get(piece)
-            if ids is None:
-                ids = old.get(piece)
+        pieces = self.find(text)
+        out = list(map(self.young.get, pieces))
+        if None in out:
+            for at, ids in enumerate(out):
                 if ids is None:
-                    ids = np.array(self.merge(piece.encode()), "<i4").tobytes()
-                if len(piece) <= 64:
-                    if len(young) >= self.kept:
-                        self.young, self.old = young, old = {}, young
-                    young[piece] = ids
-            out.append(ids)
+                    out[at] = self.piece_ids(pieces[at])
         return np.frombuffer(b"".join(out), "<i4")
 
+    def piece_ids(self, piece: str) -> bytes:
+        """Ids of a piece that the young generation does not hold."""
+        ids = self.young.get(piece) or self.old.get(piece)
+        if ids is None:
+            ids = array("i", self.merge(piece.encode())).tobytes()
+        if len(piece) <= 64:
+            if len(self.young) >= self.kept:
+                self.young, self.old = {}, self.young
+            self.young[piece] = ids
+        return ids
+
     def decode(self, ids) -> bytes:
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in ids])
+        return b"".join(map(self.tokens.__getitem__, ids))
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
