@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from fieldpulse.llm.words import slices
 
-KEPT_PIECES = 500_000
+KEPT_PIECES = 400_000
 _LOADED: dict[tuple[int, str], "Codec"] = {}
 
 
