@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from fieldpulse.llm.words import slices
 
-KEPT_PIECES = 400_000
+KEPT_PIECES = 300_000
 _LOADED: dict[tuple[int, str], "Codec"] = {}
 
 
@@ -152,16 +152,18 @@ def codec(content: bytes, pattern: str) -> Codec:
     return _LOADED[name]
 
 
-def _encode(content: bytes, pattern: str, also: list[str]):
+def _encode(content: bytes, pattern: str, also: list[str], decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = codec(content, pattern)
+        coder = codec(content, pattern)
         for whole in batches:
             for batch in slices(whole, "__text"):
-                lists = [encoder.encode(t.as_py() or "") for t in batch.column("__text")]
+                lists = [coder.encode(t.as_py() or "") for t in batch.column("__text")]
                 edges = np.cumsum([0, *map(len, lists)]).astype(np.int32)
                 flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in also), ids], names=[*also, "ids"])
+                columns = [*(batch.column(c) for c in also), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))]
+                if decoded:
+                    columns.append(pa.array([coder.decode(ids.tolist()) for ids in lists], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*also, "ids", *(["bytes"] if decoded else [])])
     return run
 
 
@@ -179,17 +181,20 @@ def _rows(docs: DataFrame, column: str, keep: list[str], name: str) -> DataFrame
     return docs.select(*keep, F.col(column).alias(name))
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, keep: list[str], text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks: str, pattern: str, keep: list[str], text: str = "text",
+           decoded: bool = False) -> DataFrame:
     """The columns ``keep`` and ``ids`` (array<int>) of every row, without special tokens.
 
-    ``ranks`` is the path of a rank file on the driver; its content, a few MB at most, travels with the tasks. Null and empty
-    texts give an empty array. Repeated rows are encoded alike; empty tables give no rows; ``keep`` may not name ``ids``.
+    ``decoded`` adds ``bytes``, what the ids decode to, in the same pass. ``ranks`` is the path of a rank file on the driver;
+    its content, a few MB at most, travels with the tasks. Null and empty texts give an empty array. Repeated rows are
+    encoded alike; empty tables give no rows; ``keep`` may name neither ``ids`` nor ``bytes``.
     """
     with open(ranks, "rb") as file:
         content = file.read()
     rows = _rows(docs, text, keep, "__text")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema), "`ids` array<int>"])
-    return rows.mapInArrow(_encode(content, pattern, keep), schema)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema), "`ids` array<int>",
+                        *(["`bytes` binary"] if decoded else [])])
+    return rows.mapInArrow(_encode(content, pattern, keep, decoded), schema)
 
 
 def decode(encoded: DataFrame, ranks: str, pattern: str, keep: list[str], ids: str = "ids") -> DataFrame:

@@ -30,13 +30,11 @@ def similar_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bpe_round_trip(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns ``keep``, ids, n_tokens, and digests of the ids and of the bytes they decode to."""
-    ranks = public_tokenizers.path(BPE_RANKS)
-    encoded = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep)
+    """Columns ``keep``, n_tokens, and digests of the ids and of the bytes they decode to."""
+    coded = byte_bpe.encode(docs, public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN, keep, decoded=True)
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
-    rows = encoded.select(*keep, F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), "ids")
-    decoded = byte_bpe.decode(rows, ranks, public_tokenizers.PATTERN, [*keep, "n_tokens", "ids_sha256"])
-    return decoded.select(*keep, "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+    return coded.select(*keep, F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
+                        F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
 def byte_bpe_ids(spark: SparkSession, folder: str) -> DataFrame:
