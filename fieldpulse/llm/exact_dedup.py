@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldpulse.llm.words import BLANKS
+from fieldpulse.llm.words import BLANKS, slices
 from fieldpulse.session import cut_lineage
 
-TABLE_BYTES = 96 << 20
+TABLE_BYTES = 64 << 20
 _RECORDS = "row long, id long, n_chars long, head long, digest binary, text binary"
 _ROUND = "head long, leader long, digest binary, text binary"
 
@@ -50,7 +50,7 @@ def normalised(text: bytes | None) -> bytes:
 def _collapse(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ContentTable(limit)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             texts, rows = batch.column("text").cast(pa.binary()), batch.column("row").to_pylist()
             heads, digests, sent = [], [], []
             for text, row in zip(texts, rows):
@@ -70,7 +70,7 @@ def _collapse(limit: int):
 def _bucket(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ContentTable(limit)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             heads, leaders, digests, left = batch.column("head").to_pylist(), [], [], []
             for head, digest, content in zip(heads, batch.column("digest"), batch.column("text")):
                 leader, _ = table.place(content.as_py(), head)
