@@ -49,6 +49,16 @@ def stream_dedup(v):
     return v.spark.read.parquet(f"{path}/store").select(*SENSORS.names)
 
 
+@query("stream_late", f"WITH {_CLEAN} SELECT_FINAL * FROM clean", **SENSOR)
+def stream_late(v):
+    """The later half of the readings arrives first, the earlier half second; nothing is lost or doubled."""
+    path = scratch(v.spark, "stream-late")
+    middle = v.sensors().agg(F.percentile_approx("ts_recorded", 0.5)).first()[0] or 0
+    for run, half in (("late", F.col("ts_recorded") > middle), ("early", F.col("ts_recorded") <= middle)):
+        S.stream_ingest(_streamed(v).where(half), f"{path}/store", f"{path}/{run}").awaitTermination()
+    return v.spark.read.parquet(f"{path}/store").select(*SENSORS.names)
+
+
 @query("stream_daily", f"""WITH {V.SENSORS}, d AS (SELECT *, {V.DAY} AS date FROM sensors)
        SELECT_FINAL object_id, date, avg(t_supply) AS t_supply_mean, avg(t_return) AS t_return_mean,
          avg(p_supply) AS p_supply_mean, avg(p_return) AS p_return_mean, min(p_supply) AS p_supply_min,

@@ -1,7 +1,8 @@
 """Continuous counterparts of ingest, day roll-up, orders and coverage.
 
-Late rows beyond the watermark are dropped from the roll-ups; the ingest keeps exactly one copy of each record whatever
-its delay, because the merge into the store compares ids as well.
+The ingest has no watermark: history may arrive in any order, and every micro-batch is freed of repeats and compared with
+the store, so one copy of each record is kept whatever its delay. The roll-ups close days and sessions by a watermark and
+leave out rows that come later than it.
 """
 
 from __future__ import annotations
@@ -23,20 +24,17 @@ def with_event_time(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     return stream.withColumn("event_time", F.timestamp_seconds("ts_recorded")).withWatermark("event_time", delay)
 
 
-def stream_ingest(stream: DataFrame, store: str, checkpoint: str, delay: str = "1 day",
-                  trigger: dict | None = None) -> StreamingQuery:
+def stream_ingest(stream: DataFrame, store: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Clean a stream of normalised readings and append unseen records to the partitioned store.
 
-    Repeats close in time are dropped by the stream's own state; each micro-batch is then compared with the store, so
-    a replayed batch appends nothing twice.
+    Each micro-batch keeps one row per record id and is compared with the store, so a replayed batch appends nothing twice
+    and a reading is kept however late it comes.
     """
-    fresh = with_event_time(clean_ingest(stream), delay).dropDuplicatesWithinWatermark(["record_id"])
-
     def merge(batch: DataFrame, _: int) -> None:
         stored = read_or_empty(batch.sparkSession, store, SENSORS)
         append_sensors(insert_new(stored, dedup_records(batch.select(*SENSORS.names)), "record_id"), store)
 
-    return (fresh.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return (clean_ingest(stream).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 
 

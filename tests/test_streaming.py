@@ -60,3 +60,12 @@ def test_coverage_counts_objects(spark, tmp_path):
     landing = str(tmp_path / "in")
     land(spark, landing, [reading(i, T0 + i, obj=f"o{i % 30}") for i in range(90)] + [reading(99, T0 + 3 * 86400)])
     assert [tuple(r) for r in closed(spark, tmp_path, S.stream_coverage(stream(spark, landing))).collect()] == [(day(0), 30)]
+
+
+def test_ingest_keeps_readings_of_any_age(spark, tmp_path):
+    landing, store = str(tmp_path / "in"), str(tmp_path / "store")
+    for n, days in enumerate(([40], [0, 1], [41], [0, 2])):
+        land(spark, landing, [reading(10 * n + d, T0 + d * 86400) for d in days])
+        S.stream_ingest(stream(spark, landing), store, str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r["ts_recorded"] for r in spark.read.parquet(store).collect()) == [
+        T0 + d * 86400 for d in (0, 0, 1, 2, 40, 41)]
