@@ -10,9 +10,9 @@ from fieldpulse.schemas import NOT_FOUND
 
 # ---- fixed values: spellings of the plant prefix and of the district suffixes
 PLANT_PREFIX = r"^цтп(?=.)-*(.*?)-*$"
-NUMBER_NOISE = r"[№#\s]"
-DISTRICT_SUFFIX = r"\s*(г\.о\.|г\.)\s*"
-PLANT_MENTION = r"(?iu)(цтп\s*[-№#]*\s*[0-9][0-9-]*)"
+NUMBER_NOISE = r"[№#\s\p{Z}]"
+DISTRICT_SUFFIX = r"[\s\p{Z}]*(г\.о\.|г\.)[\s\p{Z}]*"
+PLANT_MENTION = r"(?iu)(цтп[\s\p{Z}]*[-№#]*[\s\p{Z}]*[0-9][0-9-]*)"
 # ---- end of fixed values
 
 

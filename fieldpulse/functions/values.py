@@ -10,6 +10,12 @@ from fieldpulse.schemas import MISSING_WORDS
 
 DAY = 86400
 _SERIAL_EPOCH_DAYS = 25569  # 1899-12-30 to 1970-01-01
+_BLANK = r"[\s\p{Z}\x{FEFF}]+"  # every kind of white space, no-break spaces too
+
+# ---- fixed values: spellings of a moment beside ISO ones, each with optional time; the first that reads a text counts
+MOMENT_DATES = ("d.M.yyyy", "M/d/yyyy", "yyyy/M/d")
+MOMENT_TIMES = ("", " H:mm", " H:mm:ss")
+# ---- end of fixed values
 
 
 def col(c: Column | str) -> Column:
@@ -34,9 +40,14 @@ def json_rows(df: DataFrame) -> DataFrame:
     return clean.select(F.to_json(F.struct(*clean.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def trimmed(c: Column | str) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(col(c).cast("string"), f"^{_BLANK}|{_BLANK}$", "")
+
+
 def clean_string(c: Column | str) -> Column:
     """Trim; empty text and spelled-out missing values become NULL."""
-    text = F.trim(col(c).cast("string"))
+    text = trimmed(c)
     return F.when(text.isin(MISSING_WORDS), None).otherwise(text)
 
 
@@ -46,21 +57,27 @@ def to_number(c: Column | str) -> Column:
 
 
 def first_number(c: Column | str) -> Column:
-    """The first decimal number written anywhere in a text."""
-    found = F.regexp_extract(col(c).cast("string"), r"(-?\d+\.?\d*)", 1)
+    """The first decimal number written anywhere in a text, with its exponent; of a numeric column the number itself.
+
+    Numbers are written so that the text says the same: doubles below 1e-3 and from 1e7 on carry an exponent.
+    """
+    found = F.regexp_extract(col(c).cast("string"), r"(-?\d+(?:\.\d*)?(?:[eE][+-]?\d+)?)", 1)
     return found.try_cast("double")
 
 
 def parse_moment(c: Column | str) -> Column:
     """Timestamp from text or from a spreadsheet day number; anything else becomes NULL.
 
-    Years a nanosecond clock cannot hold (before 1678, after 2261) count as unreadable.
+    Besides ISO spellings, day.month.year, month/day/year and year/month/day are read, with or without a time. Years a
+    nanosecond clock cannot hold (before 1678, after 2261) count as unreadable.
     """
-    text = F.trim(col(c).cast("string"))
+    text = trimmed(c)
     serial = text.try_cast("double")
     seconds = F.floor((serial - F.lit(_SERIAL_EPOCH_DAYS)) * F.lit(DAY) + F.lit(1e-4))
     from_serial = F.when(F.abs(serial) < 200000, F.timestamp_seconds(seconds))
-    parsed = F.when(serial.isNotNull(), from_serial).otherwise(text.try_cast("timestamp"))
+    single = F.regexp_replace(text, _BLANK, " ")
+    spelled = [F.try_to_timestamp(single, F.lit(d + t)) for d in MOMENT_DATES for t in MOMENT_TIMES]
+    parsed = F.when(serial.isNotNull(), from_serial).otherwise(F.coalesce(text.try_cast("timestamp"), *spelled))
     return F.when(F.year(parsed).between(1678, 2261), parsed)
 
 
@@ -91,8 +108,3 @@ def within(c: Column | str, low: float, high: float) -> Column:
     """The value when it lies in [low, high], otherwise NULL."""
     c = col(c)
     return F.when(c.between(low, high), c)
-
-
-def clip(c: Column | str, low: float, high: float) -> Column:
-    c = col(c)
-    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))

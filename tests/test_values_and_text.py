@@ -49,8 +49,22 @@ def test_json_rows_have_no_nan(spark):
         '{"i":1,"x":null}', '{"i":2,"x":null}', '{"i":3,"x":1.5}', '{"i":4,"x":null}']
 
 
-def test_clip_keeps_null(spark):
-    assert column(spark, [-20.0, 0.5, 20.0, None], lambda c: V.clip(c, -10, 10), "double") == [-10.0, 0.5, 10.0, None]
+def test_white_space_of_every_kind_is_trimmed(spark):
+    texts = ["\t7\u00a0", "\u2003 7", "7", " \u00a0 ", None]
+    assert column(spark, texts, V.clean_string) == ["7", "7", "7", None, None]
+    names = ["ЦТП\u00a0№\u00a012", "ЦТП\t12"]
+    assert column(spark, names, X.norm_number) == ["12", "12"]
+
+
+def test_numbers_keep_their_size(spark):
+    assert column(spark, [0.0005, 12345678.5, -3.0, None], V.first_number, "double") == [0.0005, 12345678.5, -3.0, None]
+    assert column(spark, ["5.5 h", "about -2e3 m", "7.", "none"], V.first_number) == [5.5, -2000.0, 7.0, None]
+
+
+def test_moments_in_every_spelling(spark):
+    texts = ["15.01.2024 10:00", "1/15/2024 10:00", "15.1.2024", "2024/1/15 10:00:30", "2024-01-15 10:00:00", "40.01.2024", "x"]
+    assert column(spark, texts, lambda c: V.to_epoch(c)) == [
+        1705312800, 1705312800, 1705276800, 1705312830, 1705312800, None, None]
 
 
 def test_numbers_of_facilities(spark):
