@@ -79,14 +79,11 @@ def with_day_number(df: DataFrame) -> DataFrame:
 def curve_residual(y: str, x: str = "t_out_mean", min_points: int = CURVE_MIN_POINTS) -> Windowed:
     """Distance from the line y = a + b x fitted to the object's rows up to and including this one."""
     both = f"{x} IS NOT NULL AND {y} IS NOT NULL"
-    n, sx, sy, sxx, sxy = (f"_{part}_{y}_{x}" for part in ("n", "sx", "sy", "sxx", "sxy"))
-    sums = {sx: x, sy: y, sxx: f"{x} * {x}", sxy: f"{x} * {y}"}
-    raw = {n: f"count(CASE WHEN {both} THEN 1 END) OVER {HISTORY}",
-           **{name: f"sum(CASE WHEN {both} THEN {term} END) OVER {HISTORY}" for name, term in sums.items()}}
-    denom = f"({n} * {sxx} - {sx} * {sx})"
-    slope = f"(({n} * {sxy} - {sx} * {sy}) / {denom})"
-    fitted = f"(({sy} - {slope} * {sx}) / {n} + {slope} * {x})"
-    return Windowed(raw, f"CASE WHEN {both} AND {n} >= {min_points} AND abs({denom}) >= 1e-9D THEN {y} - {fitted} END")
+    n, slope, start, spread = (f"_{part}_{y}_{x}" for part in ("n", "slope", "start", "spread"))
+    raw = {n: f"regr_count({y}, {x}) OVER {HISTORY}", slope: f"regr_slope({y}, {x}) OVER {HISTORY}",
+           start: f"regr_intercept({y}, {x}) OVER {HISTORY}", spread: f"regr_sxx({y}, {x}) OVER {HISTORY}"}
+    return Windowed(raw, f"CASE WHEN {both} AND {n} >= {min_points} AND {n} * {spread} >= 1e-9D "
+                         f"THEN {y} - ({start} + {slope} * {x}) END")
 
 
 def _counted(value: str, days: int) -> dict[str, str]:

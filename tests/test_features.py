@@ -16,20 +16,19 @@ T0 = 1767225600  # 2026-01-01
 
 
 def readings(spark, objects=("A", "B"), days=40, per_day=24, seed=0):
-    rng = np.random.default_rng(seed)
-    rows = []
+    """Slow waves per object with noise; pressure sags in the small hours."""
+    rng, step, rows = np.random.default_rng(seed), 86400 // per_day, []
     for k, o in enumerate(objects):
-        for d in range(days):
-            for i in range(per_day):
-                t = T0 + d * 86400 + i * (86400 // per_day)
-                dip = 0.3 if (t % 86400) // 3600 == 2 else 0.0
-                rows.append((o, t, t + 60, 70 + 0.1 * d + rng.normal(), 45 - 0.05 * d + rng.normal(),
-                             6 + 0.01 * k * d - dip + rng.normal() / 20, 4 + rng.normal() / 20))
+        for n in range(days * per_day):
+            t, wave = T0 + n * step, np.sin(n * step / 400_000 + k)
+            sag = 0.75 * (1 <= t % 86400 // 3600 < 3)
+            values = (81 + 7 * wave, 52 - 4 * wave, 7.5 + 0.4 * wave - sag, 3.1 + 0.2 * wave)
+            rows.append((o, t, t + 30, *(float(v + rng.normal(scale=v / 60)) for v in values)))
     return spark.createDataFrame(rows, READ)
 
 
 def weather(spark, days=40):
-    rows = [(date(2026, 1, 1) + timedelta(days=d), -10 + 20 * d / days) for d in range(days)]
+    rows = [(date(2026, 1, 1) + timedelta(days=d), float(4 * np.cos(d / 3) - d % 7)) for d in range(days)]
     return spark.createDataFrame(rows, "date date, t_out_mean double")
 
 
