@@ -10,16 +10,14 @@ from pyspark.sql import functions as F
 
 from fieldpulse.models.prep import medians, varying, vector_stages, without_helpers
 
-MAX_FEATURES = 12
-
 
 def train_lifetime(objects: DataFrame, features: list[str]) -> PipelineModel:
-    """Weibull survival regression on the first features that vary, censored where no failure was seen.
+    """Weibull survival regression on all given features that vary, censored where no failure was seen.
 
     Spark's regression has Weibull errors; medians differ from a log-normal fit, their use (an interpretable term in
     days) does not.
     """
-    cols = [c for c in features if c in objects.columns][:MAX_FEATURES]
+    cols = [c for c in features if c in objects.columns]
     filling = medians(objects, cols)
     filled = objects.select([F.coalesce(F.col(c), F.lit(filling[c])).alias(c) for c in filling])
     usable = {c: filling[c] for c in varying(filled, list(filling))}

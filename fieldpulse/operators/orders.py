@@ -34,8 +34,10 @@ def order_queue(scored: DataFrame, profile: Profile, threshold: float, date: str
     return orders if date is None else active_orders(orders, date, cooldown_days)
 
 
-def head(orders: DataFrame, n: int = 100) -> DataFrame:
-    return orders.orderBy(F.desc("peak_score"), "object_id", "opened_at").limit(n)
+def head(orders: DataFrame, n: int | None = None) -> DataFrame:
+    """Orders by peak score, all of them or the first n."""
+    ordered = orders.orderBy(F.desc("peak_score"), "object_id", "opened_at")
+    return ordered if n is None else ordered.limit(n)
 
 
 def with_chronic_rank(orders: DataFrame, chronic: DataFrame) -> DataFrame:

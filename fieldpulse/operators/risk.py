@@ -52,15 +52,17 @@ def chronic_top_by_score(scores: DataFrame, fraction: float, value: str = "chron
     return scores.withColumn("_cut", cut.scalar()).where(F.col(value) >= F.col("_cut")).select("object_id")
 
 
-def watchlist(chronic: DataFrame, n: int = 50) -> DataFrame:
-    return chronic.orderBy("chronic_rank", "object_id").limit(n)
+def watchlist(chronic: DataFrame, n: int | None = None) -> DataFrame:
+    """Objects by chronic rank, all of them or the first n."""
+    ordered = chronic.orderBy("chronic_rank", "object_id")
+    return ordered if n is None else ordered.limit(n)
 
 
-def ranking(ranked: DataFrame, date: str | None = None, n: int = 50) -> DataFrame:
-    """Top objects of a day, by default the latest."""
+def ranking(ranked: DataFrame, date: str | None = None, n: int | None = None) -> DataFrame:
+    """Objects of a day by rank, by default the latest day; all of them or the first n."""
     day = F.lit(date).cast("date") if date else ranked.agg(F.max("date").alias("d")).scalar()
-    return ranked.withColumn("_day", day).where(F.col("date") == F.col("_day")).drop("_day").orderBy(
-        "rank", "object_id").limit(n)
+    ordered = ranked.withColumn("_day", day).where(F.col("date") == F.col("_day")).drop("_day").orderBy("rank", "object_id")
+    return ordered if n is None else ordered.limit(n)
 
 
 def risk_timeline(scored: DataFrame, object_id: str | None = None, first: str | None = None,

@@ -116,18 +116,19 @@ def weather_between(df: DataFrame, first: str | None = None, last: str | None =
     return df.where(F.col("date") <= F.lit(last).cast("date")) if last is not None else df
 
 
-def day_profiles(sensors: DataFrame, wanted: DataFrame, limit: int = 2000) -> DataFrame:
+def day_profiles(sensors: DataFrame, wanted: DataFrame, limit: int | None = None) -> DataFrame:
     """Raw readings of the wanted (object, date) pairs, from midnight to the next midnight, both included.
 
     A midnight reading belongs to two days, so each reading offers itself to its own day and, at midnight, to the day
-    before; the match is then an equality. Every task keeps at most ``limit`` first readings per object and day before
-    the shuffle (the planner limits groups early while ``limit`` stays within the session's group-limit threshold).
+    before; the match is then an equality. All readings are returned unless the caller asks for the first ``limit`` of each
+    object and day.
     """
     own = epoch_date("ts_recorded")
     midnight = F.col("ts_recorded") % DAY == 0
     days = F.when(midnight, F.array(own, F.date_sub(own, 1))).otherwise(F.array(own))
     rows = sensors.select("*", F.explode(days).alias("date")).join(
         wanted.select("object_id", "date").distinct(), ["object_id", "date"], "left_semi")
-    order = Window.partitionBy("object_id", "date").orderBy("ts_recorded", "record_id")
-    return rows.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= limit).select(
-        "object_id", "date", "ts_recorded", "t_supply", "t_return", "p_supply", "p_return")
+    if limit is not None:
+        order = Window.partitionBy("object_id", "date").orderBy("ts_recorded", "record_id")
+        rows = rows.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= limit)
+    return rows.select("object_id", "date", "ts_recorded", "t_supply", "t_return", "p_supply", "p_return")

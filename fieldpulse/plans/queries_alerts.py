@@ -180,7 +180,7 @@ def top_fraction_quantile(v):
 @query("watchlist", f"""WITH {V.SCORES}, {_CHRONIC} SELECT_FINAL * FROM chronic ORDER BY chronic_rank, object_id LIMIT 50""",
        object_id="VARCHAR", chronic_score="d", chronic_rank="INTEGER")
 def watchlist(v):
-    return K.watchlist(_chronic(v))
+    return K.watchlist(_chronic(v), 50)
 
 
 @query("gate_orders", f"""WITH {V.SCORES}, {_EPISODES}, {_CHRONIC} SELECT_FINAL o.* FROM orders_ o
@@ -318,7 +318,7 @@ def object_baseline(v):
 @query("daily_ranking", f"""WITH {V.SCORES} SELECT_FINAL *, rank() OVER (ORDER BY score DESC) AS rank FROM scores
        WHERE date = (SELECT max(date) FROM scores) ORDER BY rank, object_id LIMIT 50""", **SCORE, rank="INTEGER")
 def daily_ranking(v):
-    return K.ranking(K.rank_in_day(v.scores()))
+    return K.ranking(K.rank_in_day(v.scores()), n=50)
 
 
 @query("risk_timeline", f"""WITH {V.SCORES} SELECT_FINAL * FROM scores WHERE object_id = '7'

@@ -149,10 +149,8 @@ def missing(v):
          SELECT s.*, {V.DAY} AS date FROM sensors s UNION ALL
          SELECT s.*, {V.DAY} - 1 AS date FROM sensors s WHERE ts_recorded % 86400 = 0),
        wanted AS (SELECT CAST(user_id AS VARCHAR) AS object_id, CAST(ts AS DATE) AS date FROM events
-                  GROUP BY 1, 2 HAVING max(value) > 100),
-       placed AS (SELECT p.*, row_number() OVER (PARTITION BY p.object_id, p.date ORDER BY ts_recorded, record_id) AS n
-                  FROM pairs p JOIN wanted w ON p.object_id = w.object_id AND p.date = w.date)
-       SELECT_FINAL * FROM placed WHERE n <= 2000""",
+                  GROUP BY 1, 2 HAVING max(value) > 100)
+       SELECT_FINAL p.* FROM pairs p JOIN wanted w ON p.object_id = w.object_id AND p.date = w.date""",
        object_id="VARCHAR", date="DATE", ts_recorded="BIGINT", t_supply="d", t_return="d", p_supply="d", p_return="d")
 def day_profiles(v):
     wanted = v.scores().where(F.col("score") > 100 / 500.0).select("object_id", "date")

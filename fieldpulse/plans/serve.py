@@ -37,13 +37,16 @@ class Scored:
     threshold: float
 
     def queue(self, profile: Profile, threshold: float | None = None, date: str | None = None, gated: bool = False,
-              cooldown_days: int = COOLDOWN_DAYS, n: int = 100) -> DataFrame:
-        """Top orders of a profile; the profile's own threshold, else the budget threshold."""
+              cooldown_days: int = COOLDOWN_DAYS, n: int | None = None) -> DataFrame:
+        """Orders of a profile, all or the first n, at the given threshold (0 included), else at the budget threshold."""
         members = None
         if gated or profile.kind == "gate":
-            share = CHRONIC_FRACTIONS.get(profile.chronic_top or "top30", 0.5)
-            members = risk.chronic_top(self.chronic, share)
-        queue = orders.order_queue(self.daily, profile, threshold or self.threshold, date, members, cooldown_days)
+            name = profile.chronic_top or "top30"
+            if name not in CHRONIC_FRACTIONS:
+                raise ValueError(f"unknown gate {name!r}; known are {sorted(CHRONIC_FRACTIONS)}")
+            members = risk.chronic_top(self.chronic, CHRONIC_FRACTIONS[name])
+        level = self.threshold if threshold is None else threshold
+        queue = orders.order_queue(self.daily, profile, level, date, members, cooldown_days)
         return orders.head(orders.with_chronic_rank(queue, self.chronic), n)
 
     def cards(self, date: str | None = None) -> DataFrame:

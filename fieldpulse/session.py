@@ -14,8 +14,6 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # lets "first 2000 rows per group" be cut on the map side
-    "spark.sql.optimizer.windowGroupLimitThreshold": "2000",
 }
 
 

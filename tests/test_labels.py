@@ -9,8 +9,8 @@ from fieldpulse.schemas import OBJECTS
 from fieldpulse.sources import tables as T
 from fieldpulse.sources.landing import cast_journal
 
-CATALOG = [("100", "ЦТП-1", "Тестовск"), ("101", "ЦТП-1-3-4", "Тестовск"), ("102", "ЦТП-63", "Тестовск"),
-           ("200", "ЦТП-1", "Другой"), ("300", "ЦТП-11050", "Большой Тестовск")]
+CATALOG = [("n1", "ЦТП-52060", "Верхний Озёрск"), ("m1", "ЦТП-8", "Лесной"), ("k9", "ЦТП-417", "Озёрск"),
+           ("k8", "ЦТП-8-2", "Озёрск"), ("k7", "ЦТП-8", "Озёрск")]
 
 
 @pytest.fixture(scope="module")
@@ -25,19 +25,25 @@ def matched(spark, catalog, *asked):
     return [(r["object_id"], r["score"]) for r in rows]
 
 
-def test_matching_rules(spark, catalog):
-    got = matched(spark, catalog, ("ЦТП-1", "Тестовск г.о."), ("ЦТП-1", "Другой"), ("ЦТП № 63", "Тестовск"),
-                  ("ЦТП-999", "Тестовск"), ("не найдено", "Тестовск"), ("", "Тестовск"), (None, "Тестовск"),
-                  ("ЦТП-1", "Нигде"), ("цтп 1", ""), ("ЦТП-1105", "Тестовск"))
-    assert got[:7] == [("100", 100.0), ("200", 100.0), ("102", 100.0)] + [(None, None)] * 4
-    # unknown and empty districts search everywhere; of equal scores the smallest id wins
-    assert got[7:9] == [("100", 100.0), ("100", 100.0)]
-    # one character short of a nine-character pair: 100 * 8 / 9; its place only contains the district
-    assert got[9][0] == "300" and got[9][1] == pytest.approx(800 / 9)
+def test_numbers_match_inside_their_district(spark, catalog):
+    assert matched(spark, catalog, ("цтп--417", "Озёрск"), ("ЦТП 8-2", "Озёрск г."), ("ЦТП-8", "Лесной г.о.")) == [
+        ("k9", 100.0), ("k8", 100.0), ("m1", 100.0)]
 
 
-def test_empty_catalogue(spark, catalog):
-    assert matched(spark, catalog.limit(0), ("ЦТП-1", "Тестовск")) == [(None, None)]
+def test_what_cannot_match(spark, catalog):
+    asked = [(None, "Лесной"), ("ЦТП-345", "Озёрск"), ("ЦТП-417", "Лесной"), ("не найдено", "Озёрск"), ("", "Лесной")]
+    assert matched(spark, catalog, *asked) == [(None, None)] * len(asked)
+
+
+def test_a_district_without_plants_searches_everywhere(spark, catalog):
+    # of equal scores the smallest id wins
+    assert matched(spark, catalog, ("ЦТП-8", "Дальний"), ("ЦТП 8", "")) == [("k7", 100.0), ("k7", 100.0)]
+
+
+def test_similar_number_in_a_place_that_contains_the_district(spark, catalog):
+    (found, score), = matched(spark, catalog, ("ЦТП-5206", "Озёрск"))  # four of five digits: 200 * 4 / 9
+    assert found == "n1" and score == pytest.approx(800 / 9)
+    assert matched(spark, catalog.limit(0), ("ЦТП-5206", "Озёрск")) == [(None, None)]
 
 
 def lcs(a, b):
@@ -85,21 +91,21 @@ def journal(spark, *rows):
     return spark.createDataFrame(list(rows), JOURNAL)
 
 
-ROWS = [("1001", "Тестовск г.о.", "утечка на ЦТП-1", "5.5 ч", "2025-01-01", None, None, "0", "1", "0"),
-        ("1002", "Тестовск г.о.", "утечка на ЦТП-777", "", "2025-01-02", None, "2025-01-03 10:00:00", "0", "1", "1"),
-        ("2001", "Другой", "котельная", None, "2025-01-03", None, None, "1", None, "0"),
-        ("2002", "Другой", "прочее", None, "2025-01-03", None, None, "0", "0", "0"),
-        ("bad", "Другой", "прочее", None, "2025-01-03", None, None, "0", "1", "0"),
-        ("2003", "Другой", None, None, "2025-01-03", None, None, "0", "1", "0")]
+ROWS = [("1001", "Озёрск г.о.", "утечка на ЦТП-8", "5.5 ч", "2025-01-01", None, None, "0", "1", "0"),
+        ("1002", "Озёрск г.о.", "утечка на ЦТП-345", "", "2025-01-02", None, "2025-01-03 10:00:00", "0", "1", "1"),
+        ("2001", "Лесной", "котельная", None, "2025-01-03", None, None, "1", None, "0"),
+        ("2002", "Лесной", "прочее", None, "2025-01-03", None, None, "0", "0", "0"),
+        ("bad", "Лесной", "прочее", None, "2025-01-03", None, None, "0", "1", "0"),
+        ("2003", "Лесной", None, None, "2025-01-03", None, None, "0", "1", "0")]
 
 
 def test_journal_types_and_routing(spark):
     cast = cast_journal(journal(spark, *ROWS), "a.xlsx")
-    newer = cast_journal(journal(spark, ("1001", "Другой", "утечка на ЦТП-1", None, "2025-01-05", None, None, "0", "1", "0")), "b.xlsx")
+    newer = cast_journal(journal(spark, ("1001", "Лесной", "утечка на ЦТП-8", None, "2025-01-05", None, None, "0", "1", "0")), "b.xlsx")
     plant, other = R.route_journal(cast.unionByName(newer))
     rows = {r["id_cds_claim"]: r for r in plant.collect()}
     assert set(rows) == {1001, 1002} and [r["id_cds_claim"] for r in other.collect()] == [2001]
-    assert rows[1001]["name_mr"] == "Другой" and rows[1001]["source_file"] == "b.xlsx" and rows[1002]["t_ov"] is None
+    assert rows[1001]["name_mr"] == "Лесной" and rows[1001]["source_file"] == "b.xlsx" and rows[1002]["t_ov"] is None
     assert {r["t_ov"] for r in cast.where("id_cds_claim = 1001").collect()} == {5.5}
 
 
@@ -110,7 +116,7 @@ def test_journal_without_a_column_is_refused(spark):
 
 def test_label_upload_resumes(spark, tmp_path):
     store = Store(spark, str(tmp_path))
-    objects = [(i, "t", "ЦТП", n, m, None) for i, n, m in CATALOG] + [("900", "t", "Котельная", "ЦТП-777", "Тестовск", None)]
+    objects = [(i, "t", "ЦТП", n, m, None) for i, n, m in CATALOG] + [("900", "t", "Котельная", "ЦТП-345", "Озёрск", None)]
     T.append_rows(spark.createDataFrame(objects, OBJECTS), store.path("objects"))
     first = label_upload(store, {"a.xlsx": journal(spark, *ROWS)}).first()
     assert (first["incidents_ctp"], first["go_events"], first["llm_extracted"], first["resolved"], first["unresolved"],
@@ -118,7 +124,7 @@ def test_label_upload_resumes(spark, tmp_path):
     again = label_upload(store, {"a.xlsx": journal(spark, *ROWS)}, extraction=F.raise_error(F.lit("asked again"))).first()
     assert (again["resolved"], again["published"], again["duplicates"]) == (1, 0, 1)
     row = store.incidents().first()
-    assert (row["incident_id"], row["object_id"], row["incident_ts"], row["close_ts"]) == ("1001", "100", 1735689600, None)
+    assert (row["incident_id"], row["object_id"], row["incident_ts"], row["close_ts"]) == ("1001", "k7", 1735689600, None)
     with pytest.raises(FileNotFoundError):
         label_upload(store, {})
 

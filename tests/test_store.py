@@ -80,7 +80,7 @@ def test_midnight_belongs_to_both_days(spark):
 
 def test_profile_limit_is_cut_before_the_shuffle(spark):
     wanted = spark.createDataFrame([("A", day(0))], "object_id string, date date")
-    plan = S.day_profiles(sensors(spark, [("A", T0)]), wanted)._jdf.queryExecution().executedPlan().toString()
+    plan = S.day_profiles(sensors(spark, [("A", T0)]), wanted, 100)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
 
 
