@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldpulse.functions.text import norm_number
+from fieldpulse.functions.values import first_number, to_epoch
 from fieldpulse.operators import cleaning as C
 from fieldpulse.operators import merge as M
 from fieldpulse.plans import view_sql as V
@@ -225,3 +227,36 @@ def _weather(v: StarViews) -> tuple[DataFrame, DataFrame]:
        count(*) FILTER (date IN (SELECT date FROM old)) AS updated FROM batch""", added="BIGINT", updated="BIGINT")
 def weather_upsert_stats(v):
     return M.upsert_stats(*_weather(v), "date")
+
+
+@query("mixed_dates_all", "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS seconds FROM events",
+       event_id="BIGINT", seconds="BIGINT")
+def mixed_dates_all(v):
+    """Every event's moment in one of seven spellings, read back."""
+    e = v.events().withColumn("at", F.timestamp_seconds("epoch"))
+    spelled = [F.date_format("at", p) for p in (
+        "yyyy-MM-dd HH:mm:ss", "dd.MM.yyyy HH:mm:ss", "d.M.yyyy H:mm:ss", "M/d/yyyy H:mm:ss", "yyyy/M/d H:mm:ss")]
+    spelled += [(F.col("epoch") / 86400.0 + 25569).cast("string"),
+                F.concat(F.lit(" \t"), F.date_format("at", "d.M.yyyy H:mm:ss"), F.lit("\u00a0"))]
+    text = F.element_at(F.array(*spelled), (F.col("event_id") % len(spelled) + 1).cast("int"))
+    return e.select("event_id", to_epoch(text).alias("seconds"))
+
+
+@query("first_number_numeric", """SELECT event_id, value / 100000.0 * 100000.0 AS small, value * 1000000.0 AS large,
+       value AS written FROM events""", event_id="BIGINT", small="d", large="d", written="d")
+def first_number_numeric(v):
+    """Numbers that text spells with an exponent, and numbers inside a text."""
+    written = F.concat(F.lit("about "), F.col("value").cast("string"), F.lit(" h"))
+    return v.events().select(
+        "event_id", (first_number(F.col("value") / 100000.0) * 100000.0).alias("small"),
+        first_number(F.col("value") * 1000000.0).alias("large"), first_number(written).alias("written"))
+
+
+@query("norm_number_spaces", "SELECT o_orderkey, CAST(o_custkey % 120 AS VARCHAR) AS number FROM orders",
+       o_orderkey="BIGINT", number="VARCHAR")
+def norm_number_spaces(v):
+    """Plant names with white space of several kinds around the number."""
+    gap = F.element_at(F.array(*[F.lit(x) for x in (" ", "\t", "\u00a0", "\u2003", "")]),
+                       (F.col("o_orderkey") % 5 + 1).cast("int"))
+    name = F.concat(F.lit("ЦТП"), gap, F.lit("№"), gap, (F.col("o_custkey") % 120).cast("string"), gap)
+    return v.table("orders").select("o_orderkey", norm_number(name).alias("number"))
