@@ -116,9 +116,10 @@ def duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text",
     records = cut_lineage(rows.mapInArrow(_collapse(table_bytes), _RECORDS))
     leaders = _leaders(records, table_bytes)
     members = records.select("row", "id", "n_chars", "head", "digest").join(leaders, "head").drop("head")
-    groups = members.groupBy("leader").agg(
+    # a written table, so that the join on large groups can be split
+    groups = cut_lineage(members.groupBy("leader").agg(
         F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("id").isNull().alias("no_id"), "id", "row")).alias("best"),
-        F.count("*").alias("group_size"))
+        F.count("*").alias("group_size")))
     return members.join(groups, "leader").select(
         F.col("id").alias(key), F.col("best.id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("best.row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
