@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldpulse.llm.words import slices
-from fieldpulse.session import scratch
+from fieldpulse.session import cut_lineage, scratch
 
 LIMIT = 4096
 _CACHE = "digest binary, n_tokens long"
@@ -81,6 +81,6 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, key:
         read_cache(spark, folder).select("digest"), "digest", "left_anti").select(F.col("digest").alias("d"), "one")
     texts = rows.join(misses, (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("one"))).select("digest", "body")
     texts.mapInArrow(_encode(tokenizer, content), _CACHE).write.mode("append").parquet(folder)
-    counted = rows.select("digest", "id", F.octet_length("body").cast("long").alias("n_bytes")).join(
-        read_cache(spark, folder), "digest")
+    stored = cut_lineage(read_cache(spark, folder))  # a written table, so that the join on large groups can be split
+    counted = rows.select("digest", "id", F.octet_length("body").cast("long").alias("n_bytes")).join(stored, "digest")
     return counted.select(F.col("id").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
