@@ -76,13 +76,22 @@ def permutation_draws(scored: DataFrame, threshold: float, replicates: int = 400
 
 
 def _hypergeometric(draw: np.random.Generator, good: int, bad: int, sample: int) -> int:
-    """Good ones among ``sample`` taken without replacement; beyond the generator's range its normal limit."""
-    if good + bad < 10**9:
-        return int(draw.hypergeometric(good, bad, sample)) if sample else 0
+    """Good ones among ``sample`` taken without replacement, exact for any number of rows.
+
+    Taking every row by its own coin gives binomial counts. Given how many were taken, every choice of them is equally
+    likely; rows taken too many or too few (about the root of the sample) are then removed or added one by one.
+    """
     total = good + bad
-    mean = sample * good / total
-    spread = (mean * (bad / total) * ((total - sample) / (total - 1))) ** 0.5
-    return int(np.clip(round(draw.normal(mean, spread)), max(0, sample - bad), min(good, sample)))
+    if 2 * sample > total:
+        return good - _hypergeometric(draw, good, bad, total - sample)
+    taken, other = (int(draw.binomial(n, sample / total)) if n and sample else 0 for n in (good, bad))
+    surplus = taken + other - sample
+    if surplus > 0:
+        return taken - int((draw.choice(taken + other, surplus, replace=False, shuffle=False) < taken).sum())
+    if surplus < 0:
+        left = good - taken
+        return taken + int((draw.choice(total - taken - other, -surplus, replace=False, shuffle=False) < left).sum())
+    return taken
 
 
 def _objects_hit(draw: np.random.Generator, chances: int, objects: int, alerts: int) -> int:

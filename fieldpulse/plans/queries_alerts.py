@@ -11,6 +11,7 @@ from fieldpulse.operators import rules as A
 from fieldpulse.operators import target as T
 from fieldpulse.plans import view_sql as V
 from fieldpulse.plans.catalog import query
+from fieldpulse.schemas import CHRONIC_FRACTIONS
 from fieldpulse.session import cut_lineage
 from fieldpulse.sources.star_views import StarViews
 
@@ -237,24 +238,29 @@ def eval_rule(v):
 
 
 GRID = (0.90, 0.999, 25)
-PROFILES = [A.Profile("baseline"), A.Profile("persist3", "persist", n=3), A.Profile("ewma5", "ewma", span=5),
-            A.Profile("gate_top30", "gate", chronic_top="top30")]
+PROFILES = A.default_profiles(list(CHRONIC_FRACTIONS))
 _SHARES = ", ".join(f"CAST('{q!r}' AS DOUBLE)" for q in A.grid_shares(GRID))
-_SWEEP = f"""{V.SCORED}, {_CHRONIC}, {_recursive_ewm(5, 'scores')},
-       base AS (SELECT s.*, e.ewma5, row_number() OVER (PARTITION BY s.object_id ORDER BY s.date) AS obs
-         FROM scored s JOIN smooth5 e USING (object_id, date)),
+_SWEEP = f"""{V.SCORED}, {_CHRONIC}, {_recursive_ewm(5, 'scores')}, {_recursive_ewm(10, 'scores')},
+       top50 AS (SELECT object_id FROM (
+         SELECT *, row_number() OVER (ORDER BY chronic_rank, md5(object_id)) AS n, count(*) OVER () AS total FROM chronic)
+         WHERE n <= greatest(floor(total * 0.5), 1)),
+       base AS (SELECT s.*, e.ewma5, f.ewma10, row_number() OVER (PARTITION BY s.object_id ORDER BY s.date) AS obs
+         FROM scored s JOIN smooth5 e USING (object_id, date) JOIN smooth10 f USING (object_id, date)),
        steps AS (SELECT unnest(generate_series(0, 24)) AS step),
-       grid AS (SELECT step, a[step + 1] AS raw, b[step + 1] AS smooth FROM steps, (
-         SELECT quantile_cont(score, [{_SHARES}]) AS a, quantile_cont(ewma5, [{_SHARES}]) AS b FROM base)),
-       points AS (SELECT 'baseline' AS profile, step, raw AS threshold FROM grid UNION ALL
-         SELECT 'persist3', step, raw FROM grid UNION ALL SELECT 'gate_top30', step, raw FROM grid UNION ALL
-         SELECT 'ewma5', step, smooth FROM grid),
-       above AS (SELECT p.profile, p.step, b.* FROM base b JOIN points p
-         ON CASE WHEN p.profile = 'ewma5' THEN b.ewma5 ELSE b.score END >= p.threshold
-         WHERE p.profile <> 'gate_top30' OR b.object_id IN (SELECT object_id FROM top30)),
+       grid AS (SELECT step, a[step + 1] AS raw, b[step + 1] AS smooth5, c[step + 1] AS smooth10 FROM steps, (
+         SELECT quantile_cont(score, [{_SHARES}]) AS a, quantile_cont(ewma5, [{_SHARES}]) AS b,
+           quantile_cont(ewma10, [{_SHARES}]) AS c FROM base)),
+       profiles(profile, need) AS (VALUES ('baseline', 1), ('persist3', 3), ('persist5', 5), ('persist7', 7), ('ewma5', 1),
+         ('ewma10', 1), ('gate_top30', 1), ('gate_top50', 1)),
+       points AS (SELECT profile, need, step, CASE profile WHEN 'ewma5' THEN smooth5 WHEN 'ewma10' THEN smooth10 ELSE raw
+         END AS threshold FROM profiles, grid),
+       above AS (SELECT p.profile, p.need, p.step, b.* FROM base b JOIN points p
+         ON CASE p.profile WHEN 'ewma5' THEN b.ewma5 WHEN 'ewma10' THEN b.ewma10 ELSE b.score END >= p.threshold
+         WHERE (p.profile <> 'gate_top30' OR b.object_id IN (SELECT object_id FROM top30))
+           AND (p.profile <> 'gate_top50' OR b.object_id IN (SELECT object_id FROM top50))),
        isl AS (SELECT *, obs - row_number() OVER (PARTITION BY profile, step, object_id ORDER BY date) AS island FROM above),
        fired AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY profile, step, object_id, island ORDER BY date)
-         AS run FROM isl) WHERE profile <> 'persist3' OR run >= 3),
+         AS run FROM isl) WHERE run >= need),
        {_evaluated('profile, step', 'fired')},
        frontier AS (SELECT p.profile, p.step, p.threshold, coalesce(alert_days, 0) AS alert_days,
          coalesce(inspections, 0) AS inspections, (SELECT f FROM failing) AS fail_objects,
@@ -263,8 +269,8 @@ _SWEEP = f"""{V.SCORED}, {_CHRONIC}, {_recursive_ewm(5, 'scores')},
 
 
 def _frontier(v: StarViews) -> DataFrame:
-    members = K.chronic_top(_chronic(v), 0.3)
-    base = cut_lineage(A.sweep_input(v.scored_panel(), PROFILES, {"top30": members}))
+    gates = {name: K.chronic_top(_chronic(v), share) for name, share in CHRONIC_FRACTIONS.items()}
+    base = cut_lineage(A.sweep_input(v.scored_panel(), PROFILES, gates))
     return A.sweep(base, PROFILES, GRID, cooldown_days=COOLDOWN)
 
 

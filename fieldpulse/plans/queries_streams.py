@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldpulse.operators.merge import recorded_days
 from fieldpulse.plans import view_sql as V
 from fieldpulse.plans.catalog import query
 from fieldpulse.plans.queries_store import SENSOR
@@ -32,7 +33,6 @@ def _closed(v: StarViews, result: DataFrame, name: str) -> DataFrame:
     return v.spark.read.parquet(f"{path}/rows")
 
 
-_LAST = "(SELECT max(CAST(ts AS DATE)) FROM events)"
 _CLEAN = f"""{V.SENSORS}, clean AS (SELECT record_id, object_id, ts_measurement,
     CASE WHEN t_supply BETWEEN 0 AND 150 THEN t_supply END AS t_supply,
     CASE WHEN t_return BETWEEN 0 AND 150 THEN t_return END AS t_return,
@@ -62,11 +62,18 @@ def stream_late(v):
 @query("stream_daily", f"""WITH {V.SENSORS}, d AS (SELECT *, {V.DAY} AS date FROM sensors)
        SELECT_FINAL object_id, date, avg(t_supply) AS t_supply_mean, avg(t_return) AS t_return_mean,
          avg(p_supply) AS p_supply_mean, avg(p_return) AS p_return_mean, min(p_supply) AS p_supply_min,
-         max(p_supply) AS p_supply_max, count(*) AS n_samples FROM d WHERE date <= {_LAST} - 2 GROUP BY 1, 2""",
+         max(p_supply) AS p_supply_max, count(*) AS n_samples FROM d GROUP BY 1, 2""",
        object_id="VARCHAR", date="DATE", t_supply_mean="d", t_return_mean="d", p_supply_mean="d", p_return_mean="d",
        p_supply_min="d", p_supply_max="d", n_samples="BIGINT")
 def stream_daily(v):
-    return _closed(v, S.stream_daily(_streamed(v)), "stream-daily")
+    return S.with_open_days(_closed(v, S.stream_daily(_streamed(v)), "stream-daily"), v.sensors(), S.stream_daily)
+
+
+def _alerts(v: StarViews) -> DataFrame:
+    return v.events().where("value > 100").select(
+        F.col("user_id").cast("string").alias("object_id"),
+        F.timestamp_seconds(F.floor(F.col("epoch") / 86400) * 86400).alias("event_time"),
+        (F.col("value") / 500.0).alias("score"))
 
 
 @query("stream_orders", f"""WITH a AS (SELECT CAST(user_id AS VARCHAR) AS object_id, CAST(ts AS DATE) AS date,
@@ -75,17 +82,18 @@ def stream_daily(v):
          FROM a WINDOW w AS (PARTITION BY object_id ORDER BY date)), e AS (
          SELECT *, sum(opens) OVER (PARTITION BY object_id ORDER BY date) AS ep FROM g)
        SELECT_FINAL object_id, min(date) AS opened_at, max(date) AS last_alert_at, sum(n) AS alerts,
-         max(score) AS peak_score FROM e GROUP BY object_id, ep HAVING max(date) + 3 <= (SELECT max(date) FROM a) - 1""",
+         max(score) AS peak_score FROM e GROUP BY object_id, ep""",
        object_id="VARCHAR", opened_at="DATE", last_alert_at="DATE", alerts="BIGINT", peak_score="d")
 def stream_orders(v):
-    e = _StreamViews(v.spark, v.folder).events().where("value > 100")
-    alerts = e.select(F.col("user_id").cast("string").alias("object_id"),
-                      F.timestamp_seconds(F.floor(F.col("epoch") / 86400) * 86400).alias("event_time"),
-                      (F.col("value") / 500.0).alias("score"))
-    return _closed(v, S.stream_orders(alerts, 3), "stream-orders")
+    closed = _closed(v, S.stream_orders(_alerts(_StreamViews(v.spark, v.folder)), 3), "stream-orders")
+    return S.with_open_orders(closed, _alerts(v), 3)
 
 
-@query("stream_coverage")
+@query("stream_coverage", f"""WITH {V.SENSORS} SELECT_FINAL {V.DAY} AS date, count(DISTINCT object_id) AS objects_count,
+       true AS close FROM sensors GROUP BY 1""", date="DATE", objects_count="BIGINT", close="BOOLEAN")
 def stream_coverage(v):
-    """Approximate counts, so only the rows are checked."""
-    return _closed(v, S.stream_coverage(_streamed(v)), "stream-coverage")
+    """Exact objects per day, and whether the approximate count of the stream is within three standard errors (3 %)."""
+    found = S.with_open_days(_closed(v, S.stream_coverage(_streamed(v)), "stream-coverage"), v.sensors(), S.stream_coverage)
+    exact = recorded_days(v.sensors()).groupBy("date").agg(F.count(F.lit(1)).alias("exact"))
+    near = F.coalesce(F.abs(F.col("objects_count") - F.col("exact")) <= 0.03 * F.col("exact"), F.lit(False))
+    return exact.join(found, "date", "full").select("date", F.col("exact").alias("objects_count"), near.alias("close"))

@@ -2,7 +2,8 @@
 
 The ingest has no watermark: history may arrive in any order, and every micro-batch is freed of repeats and compared with
 the store, so one copy of each record is kept whatever its delay. The roll-ups close days and sessions by a watermark and
-leave out rows that come later than it.
+leave out rows that come later than it; what is still open is added from the store by ``with_open_days`` and
+``with_open_orders``.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from fieldpulse.schemas import SENSORS
 from fieldpulse.sources.tables import append_sensors, read_or_empty
 
 
+MIN_SECOND = -(1 << 62)  # before every reading
+
+
 def with_event_time(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     """Event time from the recording seconds, watermarked."""
     return stream.withColumn("event_time", F.timestamp_seconds("ts_recorded")).withWatermark("event_time", delay)
@@ -67,6 +71,23 @@ def stream_coverage(stream: DataFrame, delay: str = "1 day") -> DataFrame:
         F.col("window.start").cast("date").alias("date"), "objects_count")
 
 
+def with_open_days(closed: DataFrame, stored: DataFrame, roll_up: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Closed days of a roll-up and the days after the last of them, computed by the same function from stored readings.
+
+    The days are a range on the stored seconds, so only the newest part of the store is read.
+    """
+    last = closed.agg(F.max("date").alias("d")).select((F.unix_date("d") + 1).cast("bigint") * 86400).scalar()
+    return closed.unionByName(roll_up(stored.where(F.col("ts_recorded") >= F.coalesce(last, F.lit(MIN_SECOND)))))
+
+
+def with_open_orders(closed: DataFrame, alerts: DataFrame, cooldown_days: int) -> DataFrame:
+    """Closed orders and those still open: the alerts of each object after its last closed order, cooldown of a day or more."""
+    last = closed.groupBy("object_id").agg(F.max("last_alert_at").alias("_last"))
+    rest = alerts.join(last, "object_id", "left").where(
+        F.col("_last").isNull() | (F.col("event_time").cast("date") > F.col("_last"))).drop("_last")
+    return closed.unionByName(stream_orders(rest, cooldown_days))
+
+
 def write_table(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append a stream's closed rows to a Parquet table, taking what is available now."""
     return (df.writeStream.format("parquet").outputMode("append").option("path", path)
