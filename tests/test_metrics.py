@@ -158,3 +158,14 @@ def test_hazard_and_residual(spark):
     assert hazard == {1.0: 0.25, 2.0: pytest.approx(0.25 + 1 / 3), 3.0: pytest.approx(0.25 + 1 / 3 + 1)}
     residual = {r["object_id"]: r["residual"] for r in C.event_residual(df).collect()}
     assert residual["b"] == pytest.approx(-(0.25 + 1 / 3)) and sum(residual.values()) == pytest.approx(0)
+
+
+@pytest.mark.parametrize("good, bad, sample", [(30, 70, 20), (30, 70, 90), (3 * 10**9, 7 * 10**9, 10**4), (5, 4 * 10**9, 2 * 10**9),
+                                               (0, 10, 4), (10, 0, 4), (4, 4, 0), (4, 4, 8)])
+def test_draws_without_replacement_at_every_size(good, bad, sample):
+    drawn = np.array([B._hypergeometric(np.random.default_rng([7, i]), good, bad, sample) for i in range(1500)])
+    total = good + bad
+    mean = sample * good / total
+    spread = (mean * (bad / total) * ((total - sample) / max(total - 1, 1))) ** 0.5
+    assert drawn.min() >= max(0, sample - bad) and drawn.max() <= min(good, sample)
+    assert abs(drawn.mean() - mean) <= 4 * spread / 1500 ** 0.5 and abs(drawn.std() - spread) <= 0.1 * spread

@@ -69,3 +69,25 @@ def test_ingest_keeps_readings_of_any_age(spark, tmp_path):
         S.stream_ingest(stream(spark, landing), store, str(tmp_path / "cp")).awaitTermination()
     assert sorted(r["ts_recorded"] for r in spark.read.parquet(store).collect()) == [
         T0 + d * 86400 for d in (0, 0, 1, 2, 40, 41)]
+
+
+def test_open_days_and_orders_complete_the_roll_ups(spark, tmp_path):
+    landing = str(tmp_path / "in")
+    land(spark, landing, [reading(d, T0 + d * 86400, obj=o, t_supply=float(d)) for o, days in (
+        ("A", [0, 1, 20, 21]), ("B", [20]), ("C", [3])) for d in days])
+    stored = spark.read.schema(SENSORS).parquet(landing)
+    days = closed(spark, tmp_path / "days", S.stream_daily(stream(spark, landing)))
+    whole = S.with_open_days(days, stored, S.stream_daily)
+    assert sorted((r["object_id"], r["date"]) for r in whole.collect()) == sorted(
+        (r["object_id"], r["date"]) for r in S.stream_daily(stored).collect())
+    assert days.count() < whole.count() == 6
+
+    def alerts(rows):
+        return rows.select("object_id", F.timestamp_seconds("ts_recorded").alias("event_time"), F.col("t_supply").alias("score"))
+
+    done = closed(spark, tmp_path / "orders", S.stream_orders(alerts(stream(spark, landing)), 3))
+    got = S.with_open_orders(done, alerts(stored), 3).collect()
+    assert sorted((r["object_id"], r["opened_at"], r["last_alert_at"]) for r in got) == [
+        ("A", day(0), day(1)), ("A", day(20), day(21)), ("B", day(20), day(20)), ("C", day(3), day(3))]
+    # a store without any closed day
+    assert S.with_open_days(days.limit(0), stored, S.stream_daily).count() == 6
