@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from fieldpulse.operators import features, labels, merge
-from fieldpulse.schemas import FUZZY_THRESHOLD, INCIDENTS, OBJECTS, RESOLUTION, SENSORS, WEATHER, schema_version
+from fieldpulse.schemas import FUZZY_THRESHOLD, INCIDENTS, MATRIX, OBJECTS, RESOLUTION, SENSORS, WEATHER, schema_version
 from fieldpulse.session import cut_lineage
 from fieldpulse.sources import landing, tables
 
@@ -31,6 +31,10 @@ class Store:
     def weather(self) -> DataFrame:
         return tables.read_or_empty(self.spark, self.path("weather"), WEATHER)
 
+    def matrix(self) -> DataFrame:
+        """The stored feature matrix; empty with all columns of the contract before the first rebuild."""
+        return tables.read_or_empty(self.spark, self.path("matrix"), MATRIX)
+
     def resolutions(self) -> DataFrame:
         return tables.read_or_empty(self.spark, self.path("resolutions"), RESOLUTION)
 
@@ -59,11 +63,11 @@ def add_incidents(store: Store, incidents: DataFrame) -> DataFrame:
 
 
 def rebuild_features(store: Store, min_year: int) -> DataFrame:
-    """Compute the matrix over the full history and store it; one row of statistics."""
-    sensors, weather = tables.export_period(store.sensors()), store.weather()
-    tables.write_matrix(features.build_matrix(sensors, weather, min_year), store.path("matrix"))
-    matrix = store.spark.read.parquet(store.path("matrix"))
-    return features.rebuild_stats(matrix, sensors, weather, schema_version())
+    """Compute the matrix from the first year on and store it; one row of statistics. Earlier months are not read."""
+    sensors, weather = store.sensors(), store.weather()
+    readings = tables.export_period(sensors, f"{min_year:04d}-01-01")
+    tables.write_matrix(features.build_matrix(readings, weather, min_year), store.path("matrix"))
+    return features.rebuild_stats(store.matrix(), sensors, weather, schema_version())
 
 
 def label_upload(store: Store, journals: dict[str, DataFrame], threshold: int = FUZZY_THRESHOLD,
