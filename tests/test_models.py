@@ -9,6 +9,7 @@ from fieldpulse.models import acute
 from fieldpulse.models.contract import ContractError, Manifest, check_contract
 from fieldpulse.operators.metrics import roc_auc
 from fieldpulse.operators.rules import Profile
+from fieldpulse.plans.publish import load, publish
 from fieldpulse.plans.serve import serve
 from fieldpulse.plans.train import TrainSettings, train_run
 
@@ -64,6 +65,28 @@ def test_serving(trained, world):
     assert 0 < gated.select("object_id").distinct().count() <= 18 and everyone >= gated.count()
 
 
+def test_published_set_scores_like_the_live_one(spark, trained, world, tmp_path):
+    folder = str(tmp_path / "set")
+    with pytest.raises(ContractError, match="no finished set"):
+        load(spark, folder)
+    publish(trained, folder)
+    again = load(spark, folder)
+    assert again.manifest == trained.manifest and again.report.count() == 1
+    assert sorted(map(tuple, again.profiles.collect()), key=str) == sorted(map(tuple, trained.profiles.collect()), key=str)
+    live, stored = (serve(t, world[0]) for t in (trained, again))
+    for one, two in ((live.daily, stored.daily), (live.chronic, stored.chronic), (live.cards(), stored.cards())):
+        assert one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
+    with pytest.raises(Exception, match="(?i)exist"):
+        publish(trained, folder)
+
+
+def test_unfit_set_is_refused(spark, trained, tmp_path):
+    folder = str(tmp_path / "set")
+    publish(replace(trained, manifest=replace(trained.manifest, horizon_days=60)), folder)
+    with pytest.raises(ContractError, match="horizon"):
+        load(spark, folder)
+
+
 def test_empty_inputs_are_named(spark, world):
     matrix, incidents = world
     with pytest.raises(ValueError, match="matrix is empty"):
