@@ -18,6 +18,18 @@ def page(df: DataFrame, keys: list[str], offset: int, limit: int) -> tuple[DataF
     return df.orderBy(*keys).offset(offset).limit(limit), df.agg(F.count(F.lit(1)).alias("total"))
 
 
+def page_after(df: DataFrame, keys: list[str], last: tuple, limit: int) -> DataFrame:
+    """The next rows after the last one seen, given by its values of ``keys``, which order the rows and are never NULL.
+
+    However deep the page, every task passes on at most ``limit`` rows, and the bound on the first key reaches the scan.
+    """
+    later, same = F.lit(False), F.lit(True)
+    for key, value in zip(keys, last, strict=True):
+        later = later | (same & (F.col(key) > F.lit(value)))
+        same = same & (F.col(key) == F.lit(value))
+    return df.where(F.col(keys[0]) >= F.lit(last[0])).where(later).orderBy(*keys).limit(limit)
+
+
 def seconds_between(df: DataFrame, moment: str, from_ts: int | None = None, to_ts: int | None = None,
                     object_id: str | None = None) -> DataFrame:
     """Inclusive range on a unix-seconds column, optionally for one object; every predicate reaches the scan."""

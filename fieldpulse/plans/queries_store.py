@@ -104,6 +104,19 @@ def page_sensors(v):
     return rows.withColumn("total", total.scalar())
 
 
+@query("page_after", f"""WITH {V.SENSORS}, seen AS (SELECT ts_recorded AS t, record_id AS r FROM sensors
+       ORDER BY 1, 2 LIMIT 1 OFFSET 1499) SELECT_FINAL sensors.* FROM sensors, seen
+       WHERE ts_recorded > t OR (ts_recorded = t AND record_id > r) ORDER BY ts_recorded, record_id LIMIT 500""", **SENSOR)
+def page_after(v):
+    """The fourth page of 500, reached from the last row of the third."""
+    keys, last = ["ts_recorded", "record_id"], None
+    for _ in range(3):
+        rows = S.page_after(v.sensors(), keys, last, 500) if last else S.page(v.sensors(), keys, 0, 500)[0]
+        end = rows.agg(F.max(F.struct(*keys)).alias("m")).first()["m"]
+        last = (end["ts_recorded"], end["record_id"]) if end else last
+    return S.page_after(v.sensors(), keys, last, 500) if last else v.sensors().limit(0)
+
+
 @query("objects_on_day", f"""WITH {V.SENSORS}, {V.META} SELECT_FINAL a.object_id, m.* EXCLUDE (object_id)
        FROM (SELECT DISTINCT object_id FROM sensors WHERE {V.DAY} = DATE '2024-01-15') a
        LEFT JOIN meta m ON a.object_id = m.object_id""", **META)
