@@ -89,7 +89,19 @@ def test_rebuild_and_slice(spark, tmp_path):
     rows = [(o, T0 + d * 86400 + h * 3600) for o in "AB" for d in range(40) for h in range(3)]
     T.append_sensors(sensors(spark, rows), store.path("sensors"))
     T.append_rows(spark.createDataFrame([(day(0), 1.0, 0.0, 2.0, 17.0)], WEATHER), store.path("weather"))
+    assert store.matrix().columns == ["object_id", "date", *FEATURES] and store.matrix().isEmpty()
     stats = rebuild_features(store, 2025).first()
     assert (stats["object_days"], stats["objects"], stats["sensor_rows"], stats["weather_days"]) == (80, 2, 240, 1)
     out = T.slice_matrix(spark.read.parquet(store.path("matrix")), str(day(2)), str(day(4)), ["A"])
     assert out.columns == ["object_id", "date", *FEATURES] and out.count() == 3
+    assert store.matrix().count() == 80
+    assert rebuild_features(store, 2027).first()["object_days"] == 0 and store.matrix().isEmpty()
+
+
+def test_pages_after_the_last_row_seen(spark):
+    rows = sensors(spark, [("A", T0 + i // 3) for i in range(20)])
+    keys, last, seen = ["ts_recorded", "record_id"], (T0 - 1, ""), []
+    while got := [(r["ts_recorded"], r["record_id"]) for r in S.page_after(rows, keys, last, 6).collect()]:
+        seen += got
+        last = got[-1]
+    assert seen == sorted((r["ts_recorded"], r["record_id"]) for r in rows.collect())
