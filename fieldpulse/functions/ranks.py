@@ -26,18 +26,22 @@ def with_cuts(df: DataFrame, value: str, parts: int | None = None, source: DataF
     parts = parts or default_parts(df)
     shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
     cuts = (source or df).agg(F.array_sort(F.array_distinct(
-        F.percentile_approx(F.col(value).cast("double"), shares, max(10000, 100 * parts)))).alias("_cuts"))
+        F.percentile_approx(F.col(value).cast("double"), shares, max(10000, 10 * parts)))).alias("_cuts"))
     return df.withColumn("_cuts", cuts.scalar())
 
 
 def with_bucket(df: DataFrame, value: str, parts: int | None = None, source: DataFrame | None = None) -> DataFrame:
     """Attach ``_bucket``: even numbers lie strictly between two cuts, odd numbers hold exactly one cut value.
 
-    Bucket order equals value order.
+    Bucket order equals value order. Cuts are found by halving, so a row costs the logarithm of their number.
     """
     v = F.col(value).cast("double")
-    below = F.size(F.filter("_cuts", lambda c: c < v))
-    hit = F.array_contains(F.col("_cuts"), v).cast("int")
+    parts = parts or default_parts(df)
+    strides = F.array(*[F.lit(1 << bit) for bit in reversed(range(parts.bit_length()))])
+    # beyond the last cut get() is NULL, and the stride is not taken
+    below = F.aggregate(strides, F.lit(0), lambda at, stride: F.when(
+        F.get("_cuts", at + stride - 1) < v, at + stride).otherwise(at))
+    hit = F.coalesce(F.get("_cuts", below) == v, F.lit(False)).cast("int")
     cut = with_cuts(df, value, parts, source)
     return cut.withColumn("_bucket", F.coalesce(below * 2 + hit, F.lit(0))).drop("_cuts")
 
@@ -73,8 +77,9 @@ def running_totals(df: DataFrame, value: str, sums: dict[str, str], by: list[str
     keys = [*by, "_bucket", "_slice"]
     inside = Window.partitionBy(*keys).orderBy("_v", "_t").rowsBetween(Window.unboundedPreceding, 0)
     local = work.select("*", *[F.sum(c).over(inside).alias(f"_l_{n}") for n, c in sums.items()])
-    # without groups the other side has a fixed size; with groups the planner decides
-    joined = local.join(offsets if by else F.broadcast(offsets), keys)
+    # the window has already dealt the rows by these keys: only the totals move, or are broadcast if the planner finds
+    # them small
+    joined = local.join(offsets, keys)
     return joined.select(*df.columns,
                          *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums],
                          *[f"{n}_total" for n in sums])

@@ -52,7 +52,7 @@ def sql_rounded(columns: dict[str, str], body: str, digits: int = 6) -> str:
     return f"{head}SELECT {', '.join(out)} FROM ({tail}) AS q"
 
 
-def query(name: str, sql: str | None = None, **columns: str):
+def query(name: str, sql: str | None = None, /, **columns: str):
     """Register a query. ``columns`` are the result's columns with 'd' for rounded doubles or an SQL type."""
     def register(build: Callable[[StarViews], DataFrame]):
         QUERIES[name] = Query(name, build, sql_rounded(columns, sql) if sql else None)
