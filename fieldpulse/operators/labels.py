@@ -181,8 +181,8 @@ def match_catalog(claims: DataFrame, catalog: DataFrame, threshold: int = FUZZY_
     """Best catalogue row per claim: inside its district when any place carries that name, else anywhere.
 
     Adds ``object_id``, ``matched_name``, ``place`` and ``score`` (NULL when nothing reaches the threshold). Of equal
-    scores the smallest object id wins. The distinct pairs and the catalogue's names are written once: every kind of
-    match reads them.
+    scores the smallest object id wins. The distinct pairs, the catalogue's names, the equal matches and what they leave
+    over are written once: every kind of match reads them.
     """
     asked = claims.withColumns({"_query": norm_number(usable_extraction(extracted)),
                                 "_district": F.lower(F.coalesce(clean_district(district), F.lit("")))})
@@ -201,16 +201,23 @@ def match_catalog(claims: DataFrame, catalog: DataFrame, threshold: int = FUZZY_
     inside = pairs.join(places, "district").withColumnRenamed("place", "place_key")
     outside = pairs.join(places.select("district").distinct(), "district", "left_anti")
 
-    similar = similar_pairs(pairs, placed, threshold)
-    equal = pairs.select("query").distinct().select("query", F.col("query").alias("name"), F.lit(100.0).alias("score"))
-    candidates = equal.unionByName(similar)
-
-    def best(asked_pairs: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-        scored = asked_pairs.join(candidates, "query").join(rows, keys)
+    def best(candidates: DataFrame, inner: DataFrame, outer: DataFrame) -> DataFrame:
+        """The best row per pair: ``inner`` pairs look inside their places, ``outer`` ones anywhere."""
         top = F.min(F.struct((-F.col("score")).alias("minus"), F.col("row.object_id").alias("id"), "row"))
-        return scored.groupBy("query", "district").agg(top.alias("top"))
+        local = inner.join(candidates, "query").join(by_place, ["name", "place_key"])
+        wide = outer.join(candidates, "query").join(anywhere, "name")
+        both = local.select("query", "district", "score", "row").unionByName(
+            wide.select("query", "district", "score", "row"))
+        return both.groupBy("query", "district").agg(top.alias("top"))
 
-    found = best(inside, by_place, ["name", "place_key"]).unionByName(best(outside, anywhere, ["name"]))
+    # an equal number is the best there can be: only pairs without one go on to the similar names
+    equal = pairs.select("query").distinct().select("query", F.col("query").alias("name"), F.lit(100.0).alias("score"))
+    found = cut_lineage(best(equal, inside, outside))
+    left = cut_lineage(pairs.join(found, ["query", "district"], "left_anti"))
+    if not left.isEmpty():
+        similar = similar_pairs(left, placed, threshold)
+        found = found.unionByName(best(similar, inside.join(left, ["query", "district"], "left_semi"),
+                                       outside.join(left, ["query", "district"], "left_semi")))
     found = found.select(
         F.col("query").alias("_query"), F.col("district").alias("_district"),
         F.col("top.row.object_id").alias("object_id"), F.col("top.row.facility_name").alias("matched_name"),
