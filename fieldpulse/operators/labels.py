@@ -167,13 +167,20 @@ def _pairs_by_part(queries: DataFrame, names: DataFrame, threshold: int, beyond:
 
 
 def similar_pairs(queries: DataFrame, names: DataFrame, threshold: int = FUZZY_THRESHOLD,
-                  deletions: int = 3) -> DataFrame:
-    """(query, name, score) for all distinct pairs that differ and score at least ``threshold``."""
+                  deletions: int = 3, longest: int | None = None) -> DataFrame:
+    """(query, name, score) for all distinct pairs that differ and score at least ``threshold``.
+
+    A caller that knows the length of its longest query and name together (``longest``) saves the searches for
+    distances that no pair can have.
+    """
     queries = queries.select("query").where(F.col("query").isNotNull()).distinct()
     names = names.select("name").where(F.col("name").isNotNull()).distinct()
-    short = _pairs_by_deletion(queries, names, threshold, deletions)
-    long = _pairs_by_part(queries, names, threshold, deletions)
-    return short.unionByName(long).where(F.col("query") != F.col("name"))
+    farthest = None if longest is None else int(longest * (100 - threshold) / 100 + 1e-9)
+    most = deletions if farthest is None else max(min(deletions, farthest), 1)
+    pairs = _pairs_by_deletion(queries, names, threshold, most)
+    if farthest is None or farthest > deletions:
+        pairs = pairs.unionByName(_pairs_by_part(queries, names, threshold, deletions))
+    return pairs.where(F.col("query") != F.col("name"))
 
 
 def match_catalog(claims: DataFrame, catalog: DataFrame, threshold: int = FUZZY_THRESHOLD,
@@ -214,8 +221,11 @@ def match_catalog(claims: DataFrame, catalog: DataFrame, threshold: int = FUZZY_
     equal = pairs.select("query").distinct().select("query", F.col("query").alias("name"), F.lit(100.0).alias("score"))
     found = cut_lineage(best(equal, inside, outside))
     left = cut_lineage(pairs.join(found, ["query", "district"], "left_anti"))
-    if not left.isEmpty():
-        similar = similar_pairs(left, placed, threshold)
+    # one number per side: NULL when there is nothing to compare
+    longest = left.agg(F.max(F.length("query")).alias("n")).withColumn(
+        "n", F.col("n") + placed.agg(F.max(F.length("name"))).scalar()).first()["n"]
+    if longest is not None and longest * (100 - threshold) >= 100:
+        similar = cut_lineage(similar_pairs(left, placed, threshold, longest=longest))
         found = found.unionByName(best(similar, inside.join(left, ["query", "district"], "left_semi"),
                                        outside.join(left, ["query", "district"], "left_semi")))
     found = found.select(
