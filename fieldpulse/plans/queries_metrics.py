@@ -131,3 +131,45 @@ def bootstrap_detection(v):
 @query("bootstrap_roc")
 def bootstrap_roc(v):
     return B.bootstrap_roc(v.scored_panel())
+
+
+# Draws have no SQL. What they must agree with has: the exact values stand beside the draws' verdict on them.
+@query("permutation_fit", f"""WITH {V.SCORED}, {_OBJ}, b AS (SELECT avg(CAST(score >= {THR} AS INTEGER)) AS share FROM scored)
+       SELECT_FINAL avg(CAST(detected AS INTEGER)) AS detection, avg(1 - pow(1 - share, opportunities)) AS chance,
+       400 AS "B", true AS mean_is_chance, true AS range_holds_mean, true AS lift_is_difference, true AS p_is_share
+       FROM per, b""", detection="d", chance="d", B="INTEGER", mean_is_chance="BOOLEAN", range_holds_mean="BOOLEAN",
+       lift_is_difference="BOOLEAN", p_is_share="BOOLEAN")
+def permutation_fit(v):
+    """The permutation floor beside the chance it estimates: the means differ by less than half the 95 % range."""
+    exact = M.detection(v.scored_panel(), THR).select(
+        "detection", F.col("detection_null").alias("chance"), F.lit(1).alias("_one"))
+    both = exact.join(B.permutation_null(v.scored_panel(), THR).withColumn("_one", F.lit(1)), "_one")
+    mean, low, high = (F.col(f"null_{c}") for c in ("mean", "lo", "hi"))
+    return both.select(
+        "detection", "chance", "B", (F.abs(mean - F.col("chance")) <= (high - low) / 2).alias("mean_is_chance"),
+        mean.between(low, high).alias("range_holds_mean"),
+        (F.abs(F.col("lift") + mean - F.col("detection")) < 1e-9).alias("lift_is_difference"),
+        F.col("p_value").between(0, 1).alias("p_is_share"))
+
+
+@query("bootstrap_fit", f"""WITH {V.SCORED}, {_OBJ}, l AS (SELECT score,
+         CASE WHEN t_to_failure <= 720 THEN 1 ELSE 0 END AS y FROM scored)
+       SELECT_FINAL avg(CAST(detected AS INTEGER)) AS detection, {_auc('l')} AS roc_auc,
+       true AS detection_inside, true AS width_is_binomial, true AS roc_inside FROM per""",
+       detection="d", roc_auc="d", detection_inside="BOOLEAN", width_is_binomial="BOOLEAN", roc_inside="BOOLEAN")
+def bootstrap_fit(v):
+    """Both bootstrap intervals beside the exact values: they hold them, and the width is the binomial one within a third."""
+    panel = v.scored_panel()
+    one = F.lit(1).alias("_one")
+    exact = M.detection(panel, THR).select("detection", "fail_objects", one)
+    area = M.discrimination(panel).select("roc_auc", one)
+    both = exact.join(area, "_one").join(B.bootstrap_detection(panel, THR).withColumn("_one", F.lit(1)), "_one").join(
+        B.bootstrap_roc(panel).withColumn("_one", F.lit(1)), "_one")
+    share, width = F.col("detection"), F.col("detection_hi") - F.col("detection_lo")
+    binomial = 2 * 1.96 * F.sqrt(share * (1 - share) / F.col("fail_objects"))
+    # a count moves in steps of one object
+    slack = binomial / 3 + 2 / F.col("fail_objects")
+    return both.select(
+        "detection", "roc_auc", share.between(F.col("detection_lo"), F.col("detection_hi")).alias("detection_inside"),
+        (F.abs(width - binomial) <= slack).alias("width_is_binomial"),
+        F.col("roc_auc").between(F.col("roc_lo"), F.col("roc_hi")).alias("roc_inside"))

@@ -83,6 +83,20 @@ def test_similar_pairs_against_brute_force(spark):
     assert len(got) == len(expected) and {(r["query"], r["name"]): r["score"] for r in got} == expected
 
 
+def test_known_lengths_leave_the_pairs_as_they_are(spark):
+    names = ["1-2-3", "1-2-34", "1-2-345", "12", "1-2-3-4-5-6-7"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    asked = df.withColumnRenamed("name", "query")
+
+    def pairs(**known):
+        return sorted(map(tuple, R.similar_pairs(asked, df, 70, **known).collect()))
+
+    assert pairs(longest=26) == pairs() and pairs(longest=26)
+    short = df.where("length(name) < 7")  # 12 letters together: at most three edits
+    assert (sorted(map(tuple, R.similar_pairs(asked.where("length(query) < 7"), short, 70, longest=12).collect()))
+            == [r for r in pairs() if max(len(r[0]), len(r[1])) < 7])
+
+
 JOURNAL = ("id_cds_claim string, name_mr string, text_message string, t_ov string, d_create string, d_doklad string, "
            "d_close string, obj_koteln string, obj_ctp string, obj_ts string")
 
