@@ -21,6 +21,11 @@ def default_parts(df: DataFrame) -> int:
     return max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def parts_for(df: DataFrame, rows: int) -> int:
+    """So many cuts that about ``rows`` rows at most lie between two of them; counts the table once."""
+    return max(default_parts(df), df.count() // rows + 1)
+
+
 def with_cuts(df: DataFrame, value: str, parts: int | None = None, source: DataFrame | None = None) -> DataFrame:
     """Attach the cut points of ``value`` (ascending doubles) as column ``_cuts``."""
     parts = parts or default_parts(df)

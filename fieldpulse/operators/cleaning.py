@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldpulse.functions.values import DAY, finite, to_number, within
 from fieldpulse.schemas import CHANNELS, FEATURE_BOUNDS, INGEST_BOUNDS, MIN_YEAR
+from fieldpulse.sources.tables import MONTH
 
 
 def pick_row(df: DataFrame, keys: list[str], order: list[Column | str], last: bool = False) -> DataFrame:
@@ -46,10 +47,13 @@ def clean_features(df: DataFrame, min_year: int = MIN_YEAR,
                    bounds: dict[str, tuple[float, float]] = FEATURE_BOUNDS) -> DataFrame:
     """Feature rules: drop broken clocks, blank out implausible values (zeros included), keep the row.
 
-    The clock rule compares the stored seconds with a constant, so it reaches the scan.
+    The clock rule compares the stored seconds with a constant, so it reaches the scan; a stored table is also pruned to
+    the months from the first year on.
     """
     first_second = F.unix_date(F.make_date(F.lit(min_year), F.lit(1), F.lit(1))).cast("bigint") * DAY
     kept = df.where(F.col("ts_recorded") >= first_second)
+    if MONTH in df.columns:
+        kept = kept.where(F.col(MONTH) >= f"{min_year:04d}")
     return kept.withColumns({c: within(finite(c), *bounds[c]) for c in bounds if c in df.columns})
 
 

@@ -14,13 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldpulse.functions.ranks import with_bucket
+from fieldpulse.functions.ranks import parts_for, with_bucket
 from fieldpulse.operators.metrics import alert_budget, object_detection
 from fieldpulse.operators.target import within_horizon
 from fieldpulse.schemas import HORIZON_DAYS, LEAD_CAP_DAYS
 
 SLICE_OBJECTS = 20000
 CHUNK = 50  # replicates whose weights travel together
+BUCKET_ROWS = 200_000  # rows of one score bucket, which one task holds with the weights of a chunk
 
 
 def _interval(draws: DataFrame, value: str, low: str, high: str) -> DataFrame:
@@ -197,7 +198,8 @@ def bootstrap_roc_draws(scored: DataFrame, horizon_days: int = HORIZON_DAYS, rep
     Buckets holding a single score need totals only and are cut into slices by object.
     """
     rows = scored.where(F.col("score").isNotNull()).withColumn("y", within_horizon("t_to_failure", horizon_days))
-    rows = with_bucket(rows.select("object_id", "score", "y"), "score", parts)
+    rows = rows.select("object_id", "score", "y")
+    rows = with_bucket(rows, "score", parts or parts_for(rows, BUCKET_ROWS))
     rows = rows.groupBy("object_id", "score", "_bucket").agg(
         F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     rows = rows.withColumn("_slice", F.when(F.col("_bucket") % 2 == 1, F.pmod(F.xxhash64("object_id"), F.lit(64)))

@@ -10,7 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldpulse.functions.ranks import with_bucket
+from fieldpulse.functions.ranks import parts_for, with_bucket
+
+
+BUCKET_ROWS = 100_000  # rows of one bucket, which one task sorts
 
 
 def _inner_pairs(rows: pd.DataFrame) -> tuple[float, float]:
@@ -34,11 +37,12 @@ def c_index(objects: DataFrame, score: str = "score", parts: int | None = None)
 
     A pair is comparable when the one observed shorter failed; of equal durations a failure is comparable with one
     that did not fail. No pairs are formed: scores fall into buckets, pairs across buckets come from running counts of
-    a (bucket, duration) table, pairs inside a bucket are counted by sorting that bucket.
+    a (bucket, duration) table, pairs inside a bucket are counted by sorting that bucket. The number of cuts follows the
+    number of rows, so a bucket stays small; a score shared by many has a bucket of its own that nobody sorts.
     """
-    rows = with_bucket(objects.select(
-        "duration", F.col("event").cast("int").alias("event"), F.col(score).cast("double").alias("score"),
-    ).where(F.col("score").isNotNull()), "score", parts)
+    rows = objects.select("duration", F.col("event").cast("int").alias("event"),
+                          F.col(score).cast("double").alias("score")).where(F.col("score").isNotNull())
+    rows = with_bucket(rows, "score", parts or parts_for(rows, BUCKET_ROWS))
 
     cells = rows.groupBy("_bucket", "duration").agg(
         F.sum("event").alias("events"), F.count(F.lit(1)).alias("alive"), F.sum(1 - F.col("event")).alias("quiet"))

@@ -19,17 +19,21 @@ class Store:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def current(self, name: str) -> str:
+        """Path of the newest version of a table that is replaced as a whole."""
+        return tables.current_path(self.spark, self.path(name))
+
     def sensors(self) -> DataFrame:
         return tables.read_or_empty(self.spark, self.path("sensors"), SENSORS)
 
     def objects(self) -> DataFrame:
-        return tables.read_or_empty(self.spark, self.path("objects"), OBJECTS)
+        return tables.read_or_empty(self.spark, self.current("objects"), OBJECTS)
 
     def incidents(self) -> DataFrame:
         return tables.read_or_empty(self.spark, self.path("incidents"), INCIDENTS)
 
     def weather(self) -> DataFrame:
-        return tables.read_or_empty(self.spark, self.path("weather"), WEATHER)
+        return tables.read_or_empty(self.spark, self.current("weather"), WEATHER)
 
     def matrix(self) -> DataFrame:
         """The stored feature matrix; empty with all columns of the contract before the first rebuild."""
@@ -50,7 +54,7 @@ def ingest_upload(store: Store, sources: list[DataFrame]) -> DataFrame:
     fresh = cut_lineage(merge.insert_new(store.sensors(), batch, "record_id"))
     objects = cut_lineage(merge.insert_new(store.objects(), meta, "object_id"))
     tables.append_sensors(fresh, store.path("sensors"))
-    tables.append_rows(objects, store.path("objects"))
+    tables.append_rows(objects, store.current("objects"))
     return merge.ingest_stats(batch, fresh, objects)
 
 
@@ -90,7 +94,7 @@ def label_upload(store: Store, journals: dict[str, DataFrame], threshold: int =
 def upsert_weather(store: Store, rows: DataFrame, order: str) -> DataFrame:
     """Last write wins per day; (added, updated)."""
     rows = cut_lineage(rows)
-    stored = cut_lineage(store.weather())  # the table is replaced below, so it is read before
+    stored = store.weather()  # this version stays when the table is replaced
     stats = merge.upsert_stats(stored, rows, "date")
     tables.replace_table(merge.upsert_latest(stored, rows, "date", order), store.path("weather"))
     return stats
@@ -98,5 +102,4 @@ def upsert_weather(store: Store, rows: DataFrame, order: str) -> DataFrame:
 
 def update_objects(store: Store, updates: DataFrame) -> None:
     """Overwrite the supplied fields of stored objects."""
-    stored = cut_lineage(store.objects())
-    tables.replace_table(merge.apply_updates(stored, updates), store.path("objects"))
+    tables.replace_table(merge.apply_updates(store.objects(), updates), store.path("objects"))

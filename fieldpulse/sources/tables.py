@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,9 +67,25 @@ def append_rows(df: DataFrame, path: str) -> int:
     return rows.get["rows"]
 
 
+VERSIONS = T.StructType([T.StructField("version", T.LongType()), T.StructField("suffix", T.StringType())])
+
+
+def current_path(spark: SparkSession, path: str) -> str:
+    """Where the newest whole version of a replaceable table lies: ``path`` itself until its first replacement."""
+    newest = read_or_empty(spark, f"{path}_versions", VERSIONS).agg(F.max_by("suffix", "version").alias("suffix")).first()
+    return f"{path}-{newest['suffix']}" if newest["suffix"] else path
+
+
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write a new version of a table. ``path`` must not be among the inputs of ``df``."""
-    df.write.mode("overwrite").parquet(path)
+    """Write a new version of a table beside the old one, then make it the current one by a single appended row.
+
+    A job that fails on the way leaves the old version in force, and ``df`` may read it. One writer at a time; old
+    versions stay until someone removes them.
+    """
+    spark, suffix = df.sparkSession, uuid.uuid4().hex
+    df.write.parquet(f"{path}-{suffix}")
+    last = read_or_empty(spark, f"{path}_versions", VERSIONS).agg(F.coalesce(F.max("version"), F.lit(0)).alias("v")).first()
+    append_rows(spark.createDataFrame([(last["v"] + 1, suffix)], VERSIONS).coalesce(1), f"{path}_versions")
 
 
 def between_days(df: DataFrame, first: str | None = None, last: str | None = None,

@@ -161,6 +161,30 @@ def test_update_objects_in_the_store(spark, tmp_path):
     T.append_rows(spark.createDataFrame([("1", "t", "f", "n", "m", "r")], OBJECTS), store.path("objects"))
     update_objects(store, spark.createDataFrame([("1", "x")], "object_id string, municipality string"))
     assert store.objects().first()["municipality"] == "x"
+    before = store.objects()
+    update_objects(store, spark.createDataFrame([("1", "y")], "object_id string, rso string"))
+    assert before.first()["rso"] == "r"  # the version read before the update is still there
+    T.append_rows(spark.createDataFrame([("2", "t", "f", "n", "m", "r")], OBJECTS), store.current("objects"))
+    assert sorted((r["object_id"], r["municipality"], r["rso"]) for r in store.objects().collect()) == [
+        ("1", "x", "y"), ("2", "m", "r")]
+
+
+def test_a_failed_replacement_leaves_the_old_version(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    upsert_weather(store, weather(spark, ("2026-05-01", 5.0)), "seq")
+    broken = store.weather().withColumn("t_out_mean", F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        T.replace_table(broken, store.path("weather"))
+    assert [r["t_out_mean"] for r in store.weather().collect()] == [5.0]
+
+
+def test_feature_rules_prune_the_months_of_a_stored_table(spark, tmp_path):
+    path = str(tmp_path / "sensors")
+    T.append_sensors(sensors(spark, dict(record_id="a", ts_recorded=1700000000), dict(record_id="b", ts_recorded=1764547200)), path)
+    kept = C.clean_features(T.read_or_empty(spark, path, SENSORS), 2025)
+    assert [r["record_id"] for r in kept.collect()] == ["b"]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "event_month" in plan.split("PartitionFilters:")[1].split("]")[0]
 
 
 def test_appends_are_partitioned_by_month_and_prune(spark, tmp_path):
