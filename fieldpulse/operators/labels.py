@@ -115,6 +115,7 @@ def _pairs_by_deletion(queries: DataFrame, names: DataFrame, threshold: int, mos
 
 
 PART_EDITS = 2
+SPREAD = 4096  # tasks that claims without a usable name can keep busy
 
 
 def _pairs_by_part(queries: DataFrame, names: DataFrame, threshold: int, beyond: int) -> DataFrame:
@@ -191,11 +192,15 @@ def match_catalog(claims: DataFrame, catalog: DataFrame, threshold: int = FUZZY_
     scores the smallest object id wins. The distinct pairs, the catalogue's names, the equal matches and what they leave
     over are written once: every kind of match reads them.
     """
-    asked = claims.withColumns({"_query": norm_number(usable_extraction(extracted)),
-                                "_district": F.lower(F.coalesce(clean_district(district), F.lit("")))})
-    pairs = asked.where(F.col("_query").isNotNull()).select(
-        F.col("_query").alias("query"), F.col("_district").alias("district")).distinct()
-    pairs = cut_lineage(pairs)
+    def keys(df: DataFrame) -> DataFrame:
+        return df.withColumns({"_query": norm_number(usable_extraction(extracted)),
+                               "_district": F.lower(F.coalesce(clean_district(district), F.lit("")))})
+
+    # spellings are few: they are collapsed before they are normalised, and names without a number are left out of the
+    # written table only, since a filter would move below and normalise every claim
+    spelled = keys(claims.select(extracted, district).distinct())
+    pairs = cut_lineage(spelled.select(F.col("_query").alias("query"), F.col("_district").alias("district")).distinct())
+    pairs = pairs.where(F.col("query").isNotNull())
     placed = cut_lineage(catalog.select(
         "object_id", "facility_name", "municipality", norm_number("facility_name").alias("name"),
         F.lower("municipality").alias("place_key")))
@@ -232,6 +237,9 @@ def match_catalog(claims: DataFrame, catalog: DataFrame, threshold: int = FUZZY_
         F.col("query").alias("_query"), F.col("district").alias("_district"),
         F.col("top.row.object_id").alias("object_id"), F.col("top.row.facility_name").alias("matched_name"),
         F.col("top.row.municipality").alias("place"), (-F.col("top.minus")).alias("score"))
+    # a claim without a usable name matches nothing; such claims spread over all tasks of the join instead of one
+    spread = F.pmod(F.xxhash64(*claims.columns), F.lit(SPREAD)).cast("string")
+    asked = keys(claims).withColumn("_district", F.when(F.col("_query").isNull(), spread).otherwise(F.col("_district")))
     return asked.join(found, ["_query", "_district"], "left").drop("_query", "_district")
 
 
