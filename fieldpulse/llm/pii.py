@@ -3,8 +3,9 @@
 Patterns find protected entities. How much a term near them discloses is estimated from the corpus: with N documents, n_c
 holding the entity, n_t the term and n_ct both near each other, the pointwise mutual information log2(N n_ct / (n_c n_t)) is
 compared with the information content of the entity, log2(N / n_c). A ratio of one means that the term alone names the
-entity. Terms at or above the threshold are removed from the documents that hold the entity; entities are generalised to
-their kind.
+entity. The counts are those of the whole table and equal texts count once, so no least number of documents is asked for: a
+word found in one document only names the entities of that document. Terms at or above the threshold are removed from the
+documents that hold the entity; entities are generalised to their kind.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ from fieldpulse.session import cut_lineage
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 REACH = 8
-SUPPORT = 3
 DISCLOSURE = 0.95
 MOST_TERMS = 1 << 20
+MOST_COPIES = 1 << 18
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -121,10 +122,10 @@ def _find(reach: int):
                     pairs.append([{"entity": c, "term": t} for c, t in sorted({(c, int(t)) for c, ts in near for t in ts})])
                     kept.append(text if spans else None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row"), batch.column("id"), pa.array(base, _SPAN_TYPE),
+                    [batch.column("row"), batch.column("id"), batch.column("digest"), pa.array(base, _SPAN_TYPE),
                      pa.array(entities, pa.list_(pa.int64())),
                      pa.array(pairs, pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64())]))),
-                     pa.array(kept, pa.string())], names=["row", "id", "base", "entities", "pairs", "text"])
+                     pa.array(kept, pa.string())], names=["row", "id", "digest", "base", "entities", "pairs", "text"])
     return run
 
 
@@ -160,20 +161,30 @@ def _document_frequency(wanted: np.ndarray | None):
     return run
 
 
-def risky_terms(found: DataFrame, docs: DataFrame, support: int, disclosure: float) -> DataFrame:
+def one_of_each(rows: DataFrame, found: DataFrame, most: int) -> DataFrame:
+    """The distinct texts of ``rows``. Only texts that have copies are shuffled, unless more than ``most`` texts have some."""
+    copied = cut_lineage(found.groupBy("digest").count().where("count > 1").select("digest"))
+    if copied.limit(most + 1).count() > most:
+        return rows.dropDuplicates(["digest"]).select("text")
+    once = rows.join(F.broadcast(copied), "digest", "left_semi").dropDuplicates(["digest"])
+    return rows.join(F.broadcast(copied), "digest", "left_anti").select("text").unionByName(once.select("text"))
+
+
+def risky_terms(found: DataFrame, rows: DataFrame, disclosure: float, most_copies: int) -> DataFrame:
     """(entity, term) pairs whose ratio of mutual information to information content reaches ``disclosure``."""
-    total = found.count()
-    near = found.select(F.explode("pairs").alias("p")).groupBy(
-        F.col("p.entity").alias("entity"), F.col("p.term").alias("term")).agg(F.count("*").alias("n_ct")).where(
-        F.col("n_ct") >= support)
+    total = found.select("digest").distinct().count()
+    holding = found.where("text IS NOT NULL")
+    holding = holding.join(holding.groupBy("digest").agg(F.min("row").alias("row")).select("row"), "row", "left_semi")
+    near = holding.select(F.explode("pairs").alias("p")).groupBy(
+        F.col("p.entity").alias("entity"), F.col("p.term").alias("term")).agg(F.count("*").alias("n_ct"))
     near = cut_lineage(near)
-    holding = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_c"))
+    held = holding.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_c"))
     terms = near.select("term").distinct()
     few = terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS  # 8 MB at most go to the tasks; beyond, all terms are counted
     wanted = np.sort(np.array([r[0] for r in terms.collect()], np.int64)) if few else None
-    frequency = docs.select("text").mapInArrow(_document_frequency(wanted), "term long, n long").groupBy("term").agg(
-        F.sum("n").alias("n_t"))
-    rated = near.join(holding, "entity").join(frequency, "term")
+    frequency = one_of_each(rows, found, most_copies).mapInArrow(
+        _document_frequency(wanted), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+    rated = near.join(held, "entity").join(frequency, "term")
     information = F.log2(total / F.col("n_c"))
     mutual = F.log2(total * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
     return rated.where((F.col("n_c") < total) & (mutual >= disclosure * information)).select("entity", "term")
@@ -216,20 +227,20 @@ def sanitised(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = REACH, support: int = SUPPORT,
-             disclosure: float = DISCLOSURE) -> DataFrame:
+def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = REACH,
+             disclosure: float = DISCLOSURE, most_copies: int = MOST_COPIES) -> DataFrame:
     """One row per input row: key, ``base`` (entities), ``spans`` (with the disclosing terms), ``clean`` (the new text).
 
     Spans are (kind, start, end) in code points, end exclusive. ``clean`` is null where nothing changes. Null counts as
-    empty and holds nothing; repeated rows are documents of their own in all counts; a null key is returned as it is. Other
-    columns are ignored. Terms are words in lower case within ``reach`` words of an entity in ``support`` documents or more.
+    empty and holds nothing; equal texts are one document in all counts and are all cleaned; a null key is returned as it
+    is. Other columns are ignored. Terms are words in lower case within ``reach`` words of an entity.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("id"),
-                       F.col(text).alias("text"))
+                       F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("digest"), F.col(text).alias("text"))
     found = cut_lineage(rows.mapInArrow(
-        _find(reach), f"row long, id long, base {_SPANS}, entities array<long>, "
+        _find(reach), f"row long, id long, digest binary, base {_SPANS}, entities array<long>, "
                       "pairs array<struct<entity:long,term:long>>, text string"))
-    risky = risky_terms(found, rows, support, disclosure)
+    risky = risky_terms(found, rows, disclosure, most_copies)
     terms = found.select("row", F.explode("pairs").alias("p")).select("row", "p.entity", "p.term").join(
         risky, ["entity", "term"]).groupBy("row").agg(F.collect_set("term").alias("terms"))
     marked = found.where("text IS NOT NULL").select("row", "base", "text").join(terms, "row", "left").mapInArrow(

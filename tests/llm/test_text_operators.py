@@ -419,6 +419,20 @@ def test_terms_that_name_an_entity_are_removed(spark, clashing, docs):
     assert pii.sanitise(empty(docs)).count() == 0
 
 
+@pytest.mark.parametrize("most_copies", [0, 100])
+def test_terms_of_entities_in_one_and_two_documents_and_copies(spark, most_copies):
+    rows = [(1, "ask zorblax for ann@mail.example.com today"), (2, "call quuxly or bob@mail.example.com today"),
+            (3, "call quuxly or bob@mail.example.com for this"), (4, "ask flimzat for joe@mail.example.com today"),
+            (5, "ask flimzat for joe@mail.example.com today"), (6, "ask flimzat for joe@mail.example.com today"),
+            (7, "flimzat is known for this")]
+    rows += [(10 + i, f"ask or call today for this {i}") for i in range(30)]
+    found = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), most_copies=most_copies)
+    texts = dict(rows)
+    terms = {r.doc_id: [texts[r.doc_id][s.start:s.end] for s in r.spans if s.kind == pii.TERM] for r in found.collect()}
+    # flimzat is in two distinct texts, one of them without the entity, however often the other is copied
+    assert terms == {k: {1: ["zorblax"], 2: ["quuxly"], 3: ["quuxly"]}.get(k, []) for k in texts}
+
+
 # quality ----------------------------------------------------------------------------------------------------------------
 
 
