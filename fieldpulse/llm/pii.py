@@ -1,8 +1,8 @@
 """Personal data and the terms that give it away.
 
-Patterns find protected entities. How much a term near them discloses is estimated from the corpus: with N documents, n_c
-holding the entity, n_t the term and n_ct both near each other, the pointwise mutual information log2(N n_ct / (n_c n_t)) is
-compared with the information content of the entity, log2(N / n_c). A ratio of one means that the term alone names the
+Patterns find protected entities. How much a term discloses of them is estimated from the corpus: with N documents, n_c
+holding the entity, n_t the term and n_ct both, wherever they stand, the pointwise mutual information log2(N n_ct / (n_c n_t))
+is compared with the information content of the entity, log2(N / n_c). A ratio of one means that the term alone names the
 entity. The counts are those of the whole table and equal texts count once, so no least number of documents is asked for: a
 word found in one document only names the entities of that document. Terms at or above the threshold are removed from the
 documents that hold the entity; entities are generalised to their kind.
@@ -24,10 +24,10 @@ from fieldpulse.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-REACH = 8
 DISCLOSURE = 0.95
 MOST_TERMS = 1 << 20
 MOST_COPIES = 1 << 18
+COMMON = 0.002
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -78,54 +78,43 @@ def find_entities(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def _byte_ranges(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    out, at, size = [], 0, 0
-    edges = {}
-    for edge in sorted({e for _, s, t in spans for e in (s, t)}):
-        size += len(text[at:edge].encode())
-        at = edge
-        edges[edge] = size
-    for _, s, t in spans:
-        out.append((edges[s], edges[t]))
-    return out
-
-
-def _neighbours(text: str, spans: list[tuple[str, int, int]], reach: int) -> list[tuple[int, np.ndarray]]:
-    """For each span the hash of its entity and of the words near it that belong to no entity."""
-    words = split_words(pa.array([text], pa.string()), lower=True)
-    hashes = words.hashes().view(np.int64)
-    ranges = _byte_ranges(text, spans)
-    free = np.ones(len(hashes), bool)
-    at = [(int(np.searchsorted(words.ends, s, "right")), int(np.searchsorted(words.starts, e, "left"))) for s, e in ranges]
-    for a, b in at:
-        free[a:b] = False
+def _entities(text: str, spans: list[tuple[str, int, int]]) -> list[int]:
     names = split_words(pa.array([f"{k}:{text[s:e]}".replace(" ", "_") for k, s, e in spans], pa.string()))
-    entities = names.hashes().view(np.int64)
-    out = []
-    for (a, b), entity in zip(at, entities):
-        near = np.r_[max(0, a - reach):a, b:min(len(hashes), b + reach)].astype(int)
-        out.append((int(entity), np.unique(hashes[near[free[near]]])))
-    return out
-
-
-def _find(reach: int):
+    return np.unique(names.hashes().view(np.int64)).tolist()
+
+
+def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            base, entities, kept = [], [], []
+            for text in batch.column("text"):
+                text = text.as_py() or ""
+                spans = find_entities(text)
+                base.append([{"kind": k, "start": s, "end": e} for k, s, e in spans])
+                entities.append(_entities(text, spans) if spans else [])
+                kept.append(text if spans else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), batch.column("id"), batch.column("digest"), pa.array(base, _SPAN_TYPE),
+                 pa.array(entities, pa.list_(pa.int64())), pa.array(kept, pa.string())],
+                names=["row", "id", "digest", "base", "entities", "text"])
+
+
+def _terms(common: np.ndarray):
+    """The distinct words of each text as (row, term), without those in ``common``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                base, entities, pairs, kept = [], [], [], []
-                for text in batch.column("text"):
-                    text = text.as_py() or ""
-                    spans = find_entities(text)
-                    base.append([{"kind": k, "start": s, "end": e} for k, s, e in spans])
-                    near = _neighbours(text, spans, reach) if spans else []
-                    entities.append(sorted({c for c, _ in near}))
-                    pairs.append([{"entity": c, "term": t} for c, t in sorted({(c, int(t)) for c, ts in near for t in ts})])
-                    kept.append(text if spans else None)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("row"), batch.column("id"), batch.column("digest"), pa.array(base, _SPAN_TYPE),
-                     pa.array(entities, pa.list_(pa.int64())),
-                     pa.array(pairs, pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64())]))),
-                     pa.array(kept, pa.string())], names=["row", "id", "digest", "base", "entities", "pairs", "text"])
+                words = split_words(batch.column("text"), lower=True)
+                hashes = words.hashes().view(np.int64)
+                docs = np.repeat(np.arange(batch.num_rows), np.diff(words.first))
+                rest = ~np.isin(hashes, common)
+                hashes, docs = hashes[rest], docs[rest]
+                order = np.lexsort((hashes, docs))
+                hashes, docs = hashes[order], docs[order]
+                new = np.r_[True, (hashes[1:] != hashes[:-1]) | (docs[1:] != docs[:-1])][:len(hashes)]
+                rows = batch.column("row").to_numpy()[docs[new]]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(hashes[new], pa.int64())],
+                                                 names=["row", "term"])
     return run
 
 
@@ -170,24 +159,42 @@ def one_of_each(rows: DataFrame, found: DataFrame, most: int) -> DataFrame:
     return rows.join(F.broadcast(copied), "digest", "left_anti").select("text").unionByName(once.select("text"))
 
 
+def _longs(df: DataFrame) -> np.ndarray:
+    return np.sort(df.toArrow().column(0).to_numpy())
+
+
 def risky_terms(found: DataFrame, rows: DataFrame, disclosure: float, most_copies: int) -> DataFrame:
-    """(entity, term) pairs whose ratio of mutual information to information content reaches ``disclosure``."""
+    """(row, terms): words of the row whose ratio of mutual information to information content reaches ``disclosure``."""
     total = found.select("digest").distinct().count()
     holding = found.where("text IS NOT NULL")
-    holding = holding.join(holding.groupBy("digest").agg(F.min("row").alias("row")).select("row"), "row", "left_semi")
-    near = holding.select(F.explode("pairs").alias("p")).groupBy(
-        F.col("p.entity").alias("entity"), F.col("p.term").alias("term")).agg(F.count("*").alias("n_ct"))
-    near = cut_lineage(near)
-    held = holding.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_c"))
-    terms = near.select("term").distinct()
-    few = terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS  # 8 MB at most go to the tasks; beyond, all terms are counted
-    wanted = np.sort(np.array([r[0] for r in terms.collect()], np.int64)) if few else None
+    first = cut_lineage(holding.groupBy("digest").agg(F.min("row").alias("row")).select("row"))
+    distinct = holding.join(first, "row", "left_semi")
+
+    # entities of the same documents are one: they are known by the digests that hold them
+    held = distinct.select(F.explode("entities").alias("entity"), "digest").groupBy("entity").agg(
+        F.count("*").alias("n_c"), F.bit_xor(F.xxhash64("digest")).alias("holders")).where(F.col("n_c") < total)
+    held = cut_lineage(holding.select("row", F.explode("entities").alias("entity")).join(held, "entity").select(
+        "row", "n_c", "holders").distinct())
+
+    terms = cut_lineage(distinct.select("row", "text").mapInArrow(
+        _terms(np.zeros(0, np.int64)), "row long, term long").select("term").distinct())
+    few = terms.count() <= MOST_TERMS  # 8 MB at most go to the tasks; beyond, all terms are counted
     frequency = one_of_each(rows, found, most_copies).mapInArrow(
-        _document_frequency(wanted), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
-    rated = near.join(held, "entity").join(frequency, "term")
+        _document_frequency(_longs(terms) if few else None), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+    frequency = cut_lineage(frequency if few else frequency.join(terms, "term"))
+
+    # n_ct is at most n_c, so a term in more documents than this gives no entity away
+    limit = total * F.pow(F.col("n_c") / total, F.lit(disclosure)) * (1 + 1e-9)
+    most = held.agg(F.max(limit)).first()[0] or 0.0
+    common = _longs(frequency.where(F.col("n_t") > max(most, COMMON * total)).select("term"))
+    pairs = holding.select("row", "text").mapInArrow(_terms(common), "row long, term long").join(
+        frequency.where(F.col("n_t") <= most), "term").join(held, "row").where(F.col("n_t") <= limit)
+    pairs = cut_lineage(pairs.select("row", "holders", "n_c", "term", "n_t"))
     information = F.log2(total / F.col("n_c"))
     mutual = F.log2(total * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
-    return rated.where((F.col("n_c") < total) & (mutual >= disclosure * information)).select("entity", "term")
+    risky = pairs.join(first, "row", "left_semi").groupBy("holders", "n_c", "term", "n_t").agg(
+        F.count("*").alias("n_ct")).where(mutual >= disclosure * information).select("holders", "term")
+    return pairs.join(risky, ["holders", "term"], "left_semi").groupBy("row").agg(F.collect_set("term").alias("terms"))
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,22 +234,19 @@ def sanitised(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = REACH,
-             disclosure: float = DISCLOSURE, most_copies: int = MOST_COPIES) -> DataFrame:
+def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", disclosure: float = DISCLOSURE,
+             most_copies: int = MOST_COPIES) -> DataFrame:
     """One row per input row: key, ``base`` (entities), ``spans`` (with the disclosing terms), ``clean`` (the new text).
 
     Spans are (kind, start, end) in code points, end exclusive. ``clean`` is null where nothing changes. Null counts as
     empty and holds nothing; equal texts are one document in all counts and are all cleaned; a null key is returned as it
-    is. Other columns are ignored. Terms are words in lower case within ``reach`` words of an entity.
+    is. Other columns are ignored. Terms are words in lower case anywhere in a document that holds the entity.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("id"),
                        F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("digest"), F.col(text).alias("text"))
     found = cut_lineage(rows.mapInArrow(
-        _find(reach), f"row long, id long, digest binary, base {_SPANS}, entities array<long>, "
-                      "pairs array<struct<entity:long,term:long>>, text string"))
-    risky = risky_terms(found, rows, disclosure, most_copies)
-    terms = found.select("row", F.explode("pairs").alias("p")).select("row", "p.entity", "p.term").join(
-        risky, ["entity", "term"]).groupBy("row").agg(F.collect_set("term").alias("terms"))
+        _find, f"row long, id long, digest binary, base {_SPANS}, entities array<long>, text string"))
+    terms = risky_terms(found, rows, disclosure, most_copies)
     marked = found.where("text IS NOT NULL").select("row", "base", "text").join(terms, "row", "left").mapInArrow(
         _mark, f"row long, spans {_SPANS}, clean string")
     return found.select("row", "id", "base").join(marked, "row", "left").select(

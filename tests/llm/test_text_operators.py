@@ -433,6 +433,41 @@ def test_terms_of_entities_in_one_and_two_documents_and_copies(spark, most_copie
     assert terms == {k: {1: ["zorblax"], 2: ["quuxly"], 3: ["quuxly"]}.get(k, []) for k in texts}
 
 
+def test_terms_far_from_their_entity(spark):
+    near, far = "zorblax wrote to ann@mail.example.com", " today and then".join([""] * 9)
+    rows = [(i, f"{near}{far} {i}") for i in range(3)]
+    rows += [(3 + i, f"zorblax{far} wrote to ann@mail.example.com {i}") for i in range(3)]
+    rows += [(10 + i, f"wrote to today and then {i}") for i in range(40)]
+    texts = dict(rows)
+    for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        terms = [texts[r.doc_id][s.start:s.end] for s in r.spans if s.kind == pii.TERM]
+        assert terms == (["zorblax"] if r.doc_id < 6 else []), texts[r.doc_id]
+
+
+def test_terms_match_counting_in_plain_python(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(120):
+        parts = [f"v{int(rng.paretovariate(0.6)) % 150}" for _ in range(rng.randrange(3, 40))]
+        for _ in range(rng.choice((0, 0, 1, 2))):
+            parts.insert(rng.randrange(len(parts)), f"p{int(rng.paretovariate(0.8)) % 40}@mail.example.com")
+        rows.append((i, " ".join(parts)))
+    rows += [(200 + i, rows[i][1]) for i in range(0, 120, 7)]
+    distinct = {t: (set(t.split()), {w for w in t.split() if "@" in w}) for _, t in rows}
+    n_t, n_c = (Counter(w for d in distinct.values() for w in d[k]) for k in (0, 1))
+    n_ct = Counter((c, w) for ws, cs in distinct.values() for c in cs for w in ws)
+    risky = {(c, w) for (c, w), n in n_ct.items()
+             if np.log2(len(distinct) * n / n_c[c] / n_t[w]) >= 0.95 * np.log2(len(distinct) / n_c[c])}
+    seen = 0
+    for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        text = dict(rows)[r.doc_id]
+        words, held = distinct[text]
+        wanted = [w for w in text.split() if "@" not in w and any((c, w) in risky for c in held)]
+        assert [text[s.start:s.end] for s in r.spans if s.kind == pii.TERM] == wanted
+        seen += len(wanted)
+    assert seen > 20
+
+
 # quality ----------------------------------------------------------------------------------------------------------------
 
 
