@@ -13,7 +13,6 @@ from fieldpulse.plans import view_sql as V
 from fieldpulse.plans.catalog import query
 from fieldpulse.plans.serve import score_days
 from fieldpulse.plans.train import TrainSettings, train_run
-from fieldpulse.schemas import FEATURES
 from fieldpulse.session import cut_lineage
 from fieldpulse.sources.star_views import StarViews
 
@@ -30,7 +29,7 @@ def _frame(v: StarViews) -> DataFrame:
 
 def _fit(v: StarViews) -> tuple[DataFrame, object]:
     frame = _frame(v)
-    model = acute.train_acute(frame.where("split = 'train'"), frame.where("split = 'val'"), DAILY, rounds=5)
+    model = acute.train_acute(frame.where("split = 'train'"), frame.where("split = 'val'"), DAILY)
     return frame, model
 
 
@@ -58,8 +57,8 @@ def isotonic(v):
 
 @query("chronic_model")
 def chronic_model(v):
-    objects = cut_lineage(T.object_level(_frame(v), DAILY, 10))
-    model = chronic.train_chronic(objects, DAILY, trees=10, leaf=5)
+    objects = cut_lineage(T.object_level(_frame(v), DAILY))
+    model = chronic.train_chronic(objects, DAILY)
     return chronic.predict_chronic(model, objects).select("object_id", "chronic_score")
 
 
@@ -74,6 +73,4 @@ def aft_median(v):
 def train_report(v):
     """A whole training run on the full feature matrix, reported as one row."""
     matrix = X.build_matrix(v.sensors(), v.weather(), 2024, (0, 6))
-    settings = TrainSettings(features=FEATURES, val_start=VAL, test_start=TEST, rounds=3, trees=5, leaf=5,
-                             replicates=50, baseline_days=10)
-    return train_run(matrix, v.incidents(), settings).report
+    return train_run(matrix, v.incidents(), TrainSettings(val_start=VAL, test_start=TEST)).report

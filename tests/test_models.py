@@ -1,14 +1,17 @@
+import inspect
 from dataclasses import replace
 from datetime import date, timedelta
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldpulse.models import acute
+from fieldpulse.models import acute, chronic
 from fieldpulse.models.contract import ContractError, Manifest, check_contract
 from fieldpulse.operators.metrics import roc_auc
 from fieldpulse.operators.rules import Profile
+from fieldpulse.plans import queries_models
 from fieldpulse.plans.publish import load, publish
 from fieldpulse.plans.serve import serve
 from fieldpulse.plans.train import TrainSettings, train_run
@@ -117,3 +120,35 @@ def test_contract_is_enforced(change, message):
         check_contract(replace(good, **change))
     with pytest.raises(ContractError, match="order"):
         check_contract(good, columns=list(good.columns)[::-1])
+
+
+def test_registered_queries_train_with_the_default_settings(monkeypatch):
+    full, used = TrainSettings(), {}
+
+    def spy(name, real):
+        def call(*args, **named):
+            bound = inspect.signature(real).bind(*args, **named)
+            bound.apply_defaults()
+            used[name] = bound.arguments
+            raise InterruptedError
+        return call
+
+    anything = SimpleNamespace(where=lambda *_: None, sensors=lambda: None, weather=lambda: None, incidents=lambda: None)
+    monkeypatch.setattr(queries_models, "_frame", lambda v: anything)
+    monkeypatch.setattr(queries_models.X, "build_matrix", lambda *_: None)
+    monkeypatch.setattr(queries_models, "train_run", spy("report", train_run))
+    monkeypatch.setattr(queries_models.acute, "train_acute", spy("acute", acute.train_acute))
+    object_level = queries_models.T.object_level
+    monkeypatch.setattr(queries_models.T, "object_level", spy("objects", object_level))
+    for build in (queries_models.train_report, queries_models.acute_scores, queries_models.chronic_model):
+        with pytest.raises(InterruptedError):
+            build(anything)
+    monkeypatch.setattr(queries_models.T, "object_level", lambda *_: None)
+    monkeypatch.setattr(queries_models, "cut_lineage", lambda df: df)
+    monkeypatch.setattr(queries_models.chronic, "train_chronic", spy("chronic", chronic.train_chronic))
+    with pytest.raises(InterruptedError):
+        queries_models.chronic_model(anything)
+    settings = used["report"]["settings"]
+    assert settings == replace(full, val_start=settings.val_start, test_start=settings.test_start)
+    assert used["acute"]["rounds"] == full.rounds and used["objects"]["baseline_days"] == full.baseline_days
+    assert (used["chronic"]["trees"], used["chronic"]["leaf"]) == (full.trees, full.leaf)
