@@ -11,11 +11,12 @@ All arithmetic is on integers; a share is 1 + floor(10^9 * (count + 5) / (total
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,77 +33,102 @@ _PART = "lang string, source string, part string, item string, value long"
 _TERM_BYTES = bytes(b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _STRIPE_KINDS = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
 _STRIPE_NAMES = ["lang", "term", "n_docs", "sources", "counts"]
+_STRIPES = pa.schema(list(zip(_STRIPE_NAMES, _STRIPE_KINDS)))
 
 
-def terms(text: str | None) -> list[bytes]:
+def terms(text: bytes | None) -> list[bytes]:
     """Runs of letters A-Z, a-z and characters beyond ASCII, with A-Z lower-cased; null has none."""
-    return (text or "").encode().translate(_TERM_BYTES).split()
-
-
-def _stripe_batch(stripes: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*stripes)) if stripes else [[]] * len(_STRIPE_NAMES)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _STRIPE_KINDS)], names=_STRIPE_NAMES)
-
-
-def _spilled(table: dict, step: int = 50_000) -> Iterator[pa.RecordBatch]:
-    part = []
-    for (lang, term), (n_docs, by_source) in table.items():
-        part.append((lang, term.decode(), n_docs, list(by_source), list(by_source.values())))
-        if len(part) == step:
-            yield _stripe_batch(part)
-            part = []
-    if part:
-        yield _stripe_batch(part)
+    return (text or b"").translate(_TERM_BYTES).split()
+
+
+class Stripes:
+    """The hash table of a task, held by language: documents by term, and occurrences by source and term."""
+
+    def __init__(self):
+        self.n_docs: dict[str, Counter] = defaultdict(Counter)
+        self.counts: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
+        self.entries = 0
+
+    def add(self, lang: str, source: str, found: list[bytes]) -> None:
+        held = self.counts[lang][source]
+        before = len(held)
+        held.update(found)
+        self.entries += len(held) - before
+        self.n_docs[lang].update(set(found))
+
+    def batches(self, step: int = 50_000) -> Iterator[pa.RecordBatch]:
+        """A stripe per (language, term): documents, and sources with their counts."""
+        for lang, n_docs in self.n_docs.items():
+            sources: dict[bytes, list[str]] = {term: [] for term in n_docs}
+            counts: dict[bytes, list[int]] = {term: [] for term in n_docs}
+            for source, held in self.counts[lang].items():
+                for term, n in held.items():
+                    sources[term].append(source)
+                    counts[term].append(n)
+            names = list(n_docs)
+            for a in range(0, len(names), step):
+                part = names[a:a + step]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(part)), pa.array(part, pa.binary()).cast(pa.string()),
+                     pa.array([n_docs[t] for t in part], pa.int64()), pa.array([sources[t] for t in part], _STRIPE_KINDS[3]),
+                     pa.array([counts[t] for t in part], _STRIPE_KINDS[4])], names=_STRIPE_NAMES)
 
 
 def _fold(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: dict[tuple[str, bytes], list] = {}
-        entries = 0
+        table = Stripes()
         for batch in batches:
-            for text, lang, source in zip(batch.column("text"), batch.column("lang").to_pylist(),
-                                          batch.column("source").to_pylist()):
-                for term, n in Counter(terms(text.as_py())).items():
-                    held = table.get((lang, term))
-                    if held is None:
-                        table[lang, term] = [1, {source: n}]
-                        entries += 1
-                        continue
-                    held[0] += 1
-                    if source in held[1]:
-                        held[1][source] += n
-                    else:
-                        held[1][source] = n
-                        entries += 1
-                if entries >= limit:
-                    yield from _spilled(table)
-                    table, entries = {}, 0
-        yield from _spilled(table)
+            texts = batch.column("text").cast(pa.binary())
+            for text, lang, source in zip(texts, batch.column("lang").to_pylist(), batch.column("source").to_pylist()):
+                table.add(lang, source, terms(text.as_py()))
+                if table.entries >= limit:
+                    yield from table.batches()
+                    table = Stripes()
+        yield from table.batches()
     return run
 
 
+def joined_stripes(rows: pa.Table) -> pa.Table:
+    """One stripe for every run of rows with equal keys: documents added, counts added by source."""
+    rows = rows.combine_chunks()
+    lang, term, n_docs, sources, counts = (rows.column(c).chunk(0) for c in _STRIPE_NAMES)
+    new = np.ones(len(term), bool)
+    if len(term) > 1:
+        new[1:] = pc.or_(pc.not_equal(lang[1:], lang[:-1]), pc.not_equal(term[1:], term[:-1])).to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(new)
+    names = sources.flatten().dictionary_encode()
+    sizes = np.diff(sources.offsets.to_numpy())
+    code = np.repeat(np.cumsum(new) - 1, sizes) * max(len(names.dictionary), 1) + names.indices.to_numpy()
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    cut = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
+    group, name = np.divmod(code[cut], max(len(names.dictionary), 1))
+    totals = np.add.reduceat(counts.flatten().to_numpy()[order], cut) if len(cut) else np.zeros(0, np.int64)
+    edges = pa.array(np.searchsorted(group, np.arange(len(first) + 1)).astype(np.int32))
+    return pa.Table.from_arrays(
+        [lang.take(pa.array(first)), term.take(pa.array(first)), pa.array(np.add.reduceat(n_docs.to_numpy(), first)),
+         pa.ListArray.from_arrays(edges, names.dictionary.take(pa.array(name))), pa.ListArray.from_arrays(edges, pa.array(totals))],
+        schema=_STRIPES)
+
+
 def _merge(least: int):
-    """Neighbours with equal keys become one stripe; stripes of too few documents are left out."""
+    """Neighbours with equal keys become one stripe; stripes of too few documents are left out.
+
+    What a batch ends with is one stripe, kept for the next: a task never holds more than a batch.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n_docs, merged, done = None, 0, {}, []
+        last = _STRIPES.empty_table()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = joined_stripes(pa.concat_tables([last, pa.Table.from_batches([batch]).cast(_STRIPES)]))
+            last = found.slice(found.num_rows - 1)
+            yield from enough(found.slice(0, found.num_rows - 1))
+        yield from enough(last)
 
-        def close():
-            if n_docs >= least:
-                order = sorted(merged)
-                done.append((*key, n_docs, order, [merged[s] for s in order]))
+    def enough(found: pa.Table) -> list[pa.RecordBatch]:
+        return found.filter(pc.greater_equal(found.column("n_docs"), least)).combine_chunks().to_batches()
 
-        for batch in batches:
-            for lang, term, n, sources, counts in zip(*(batch.column(c).to_pylist() for c in _STRIPE_NAMES)):
-                if (lang, term) != key:
-                    close()
-                    key, n_docs, merged = (lang, term), 0, {}
-                n_docs += n
-                for s, c in zip(sources, counts):
-                    merged[s] = merged.get(s, 0) + c
-            yield _stripe_batch(done)
-            done.clear()
-        close()
-        yield _stripe_batch(done)
     return run
 
 
