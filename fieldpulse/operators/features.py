@@ -197,11 +197,21 @@ def select_contract(df: DataFrame) -> DataFrame:
     return df.selectExpr(*KEYS, *[feature(f) for f in FEATURES])
 
 
+def build_days(sensors: DataFrame, min_year: int = MIN_YEAR, night: tuple[int, int] = NIGHT_HOURS,
+               day: tuple[int, int] = DAY_HOURS) -> DataFrame:
+    """Stored readings to one row per object and day."""
+    return intraday(dedup_measurements(clean_features(sensors, min_year)), night, day)
+
+
+def matrix_of_days(days: DataFrame, weather: DataFrame) -> DataFrame:
+    """Rows per object and day and daily weather to the feature matrix."""
+    return select_contract(interday(daily(days, weather), FEATURES))
+
+
 def build_matrix(sensors: DataFrame, weather: DataFrame, min_year: int = MIN_YEAR,
                  night: tuple[int, int] = NIGHT_HOURS, day: tuple[int, int] = DAY_HOURS) -> DataFrame:
     """Stored readings and daily weather to the feature matrix."""
-    readings = dedup_measurements(clean_features(sensors, min_year))
-    return select_contract(interday(daily(intraday(readings, night, day), weather), FEATURES))
+    return matrix_of_days(build_days(sensors, min_year, night, day), weather)
 
 
 def rebuild_stats(matrix: DataFrame, sensors: DataFrame, weather: DataFrame, version: str) -> DataFrame:

@@ -12,9 +12,11 @@ from fieldpulse.operators.weather import heating_degree
 from fieldpulse.plans import sql_parts as P
 from fieldpulse.plans import view_sql as V
 from fieldpulse.plans.catalog import query
+from fieldpulse.plans.jobs import Store, rebuild_features
 from fieldpulse.schemas import FEATURES, SCALE_FLOOR, schema_version
+from fieldpulse.session import scratch
 from fieldpulse.sources.star_views import StarViews
-from fieldpulse.sources.tables import export_period, slice_matrix
+from fieldpulse.sources.tables import MONTH, append_sensors, export_period, slice_matrix
 
 YEAR, NIGHT = 2024, (0, 6)
 KEY = {"object_id": "VARCHAR", "date": "DATE"}
@@ -176,6 +178,18 @@ def feature_matrix(v):
     return X.build_matrix(v.sensors(), v.weather(), YEAR, NIGHT)
 
 
+@query("matrix_incremental", f"WITH {_MATRIX} SELECT_FINAL * FROM matrix", **KEY, **{c: "d" for c in FEATURES})
+def matrix_incremental(v):
+    """The matrix after three builds: some readings of every day, then the rest of the old days, then the new days."""
+    store = Store(v.spark, scratch(v.spark, "incremental"))
+    v.weather().withColumn("heating_degree", F.lit(None).cast("double")).write.parquet(store.path("weather"))
+    late, new = F.col("record_id").cast("long") % 5 == 0, F.col("ts_recorded") >= 1705708800
+    for part in (~late & ~new, late & ~new, new):
+        append_sensors(v.sensors().where(part), store.path("sensors"))
+        rebuild_features(store, YEAR, NIGHT)
+    return store.matrix().drop(MONTH)
+
+
 @query("matrix_slice", f"""WITH {_MATRIX} SELECT_FINAL * FROM matrix
        WHERE date BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'""", **KEY, **{c: "d" for c in FEATURES})
 def matrix_slice(v):

@@ -11,7 +11,10 @@ from fieldpulse.operators import cleaning as C
 from fieldpulse.operators import merge as M
 from fieldpulse.plans import view_sql as V
 from fieldpulse.plans.catalog import query
+from fieldpulse.plans.jobs import Store, ingest_staged
 from fieldpulse.plans.queries_store import META, SENSOR, WEATHER
+from fieldpulse.schemas import SENSORS
+from fieldpulse.session import scratch
 from fieldpulse.sources import landing as L
 from fieldpulse.sources.star_views import StarViews
 
@@ -146,6 +149,16 @@ def insert_new(v):
     return M.insert_new(store, C.dedup_records(upload), "record_id")
 
 
+@query("insert_indexed", f"WITH {V.STORED} SELECT_FINAL * FROM clean", **SENSOR)
+def insert_indexed(v):
+    """Two staged uploads through the index of ids; the store they leave behind."""
+    store = Store(v.spark, scratch(v.spark, "indexed"))
+    for name, part in zip(("first", "second"), _upload(v)):
+        part.write.parquet(f"{store.root}/staged/{name}")
+        ingest_staged(store, [f"{store.root}/staged/{name}"])
+    return store.sensors().select(*SENSORS.names)
+
+
 @query("insert_stats", f"""WITH {_UPLOAD} SELECT_FINAL (SELECT count(*) FROM fresh) AS inserted,
        (SELECT count(*) FROM upload) - (SELECT count(*) FROM fresh) AS skipped_duplicates""", **STATS)
 def insert_stats(v):

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldpulse.operators.merge import recorded_days
+from fieldpulse.operators import coverage as G
 from fieldpulse.plans import view_sql as V
 from fieldpulse.plans.catalog import query
 from fieldpulse.plans.queries_store import SENSOR
 from fieldpulse.schemas import SENSORS
-from fieldpulse.session import scratch
+from fieldpulse.session import cut_lineage, scratch
 from fieldpulse.sources.star_views import StarViews
 from fieldpulse.streaming import ingest as S
+from fieldpulse.streaming import stateful as R
 
 
 class _StreamViews(StarViews):
@@ -27,20 +28,23 @@ def _streamed(v: StarViews) -> DataFrame:
     return _StreamViews(v.spark, v.folder).sensors()
 
 
-def _closed(v: StarViews, result: DataFrame, name: str) -> DataFrame:
+def _halves(v: StarViews, rows: DataFrame, order: str, name: str, run) -> str:
+    """Land the later half of the rows and run, then land the earlier half, all of it late, and run again; the folder."""
     path = scratch(v.spark, name)
-    S.drain(lambda: S.write_table(result, f"{path}/rows", f"{path}/state"), 1)
-    return v.spark.read.parquet(f"{path}/rows")
+    middle = rows.agg(F.percentile_approx(order, 0.5)).first()[0]
+    for half in (F.col(order) > F.lit(middle), F.col(order) <= F.lit(middle)):
+        rows.where(half).write.mode("append").parquet(f"{path}/landing")
+        stream = v.spark.readStream.schema(rows.schema).parquet(f"{path}/landing")
+        run(stream, path).awaitTermination()
+    return path
 
 
-_CLEAN = f"""{V.SENSORS}, clean AS (SELECT record_id, object_id, ts_measurement,
-    CASE WHEN t_supply BETWEEN 0 AND 150 THEN t_supply END AS t_supply,
-    CASE WHEN t_return BETWEEN 0 AND 150 THEN t_return END AS t_return,
-    CASE WHEN p_supply BETWEEN 0 AND 25 THEN p_supply END AS p_supply,
-    CASE WHEN p_return BETWEEN 0 AND 25 THEN p_return END AS p_return, ts_recorded FROM sensors)"""
+def _revisions(v: StarViews, rows: DataFrame, order: str, name: str, revise) -> DataFrame:
+    path = _halves(v, rows, order, name, lambda s, p: S.write_table(revise(s), f"{p}/rows", f"{p}/state"))
+    return v.spark.read.parquet(f"{path}/rows")
 
 
-@query("stream_dedup", f"WITH {_CLEAN} SELECT_FINAL * FROM clean", **SENSOR)
+@query("stream_dedup", f"WITH {V.STORED} SELECT_FINAL * FROM clean", **SENSOR)
 def stream_dedup(v):
     """Two runs over the same upload leave every record once."""
     path = scratch(v.spark, "stream-dedup")
@@ -49,7 +53,7 @@ def stream_dedup(v):
     return v.spark.read.parquet(f"{path}/store").select(*SENSORS.names)
 
 
-@query("stream_late", f"WITH {_CLEAN} SELECT_FINAL * FROM clean", **SENSOR)
+@query("stream_late", f"WITH {V.STORED} SELECT_FINAL * FROM clean", **SENSOR)
 def stream_late(v):
     """The later half of the readings arrives first, the earlier half second; nothing is lost or doubled."""
     path = scratch(v.spark, "stream-late")
@@ -66,7 +70,8 @@ def stream_late(v):
        object_id="VARCHAR", date="DATE", t_supply_mean="d", t_return_mean="d", p_supply_mean="d", p_return_mean="d",
        p_supply_min="d", p_supply_max="d", n_samples="BIGINT")
 def stream_daily(v):
-    return S.with_open_days(_closed(v, S.stream_daily(_streamed(v)), "stream-daily"), v.sensors(), S.stream_daily)
+    """From the stream's revisions alone; the half that arrives second is later than the watermark."""
+    return R.merged_days(_revisions(v, v.sensors(), "ts_recorded", "stream-daily", R.day_revisions))
 
 
 def _alerts(v: StarViews) -> DataFrame:
@@ -81,19 +86,28 @@ def _alerts(v: StarViews) -> DataFrame:
          SELECT *, CASE WHEN date - lag(date) OVER w > 3 OR lag(date) OVER w IS NULL THEN 1 ELSE 0 END AS opens
          FROM a WINDOW w AS (PARTITION BY object_id ORDER BY date)), e AS (
          SELECT *, sum(opens) OVER (PARTITION BY object_id ORDER BY date) AS ep FROM g)
-       SELECT_FINAL object_id, min(date) AS opened_at, max(date) AS last_alert_at, sum(n) AS alerts,
-         max(score) AS peak_score FROM e GROUP BY object_id, ep""",
-       object_id="VARCHAR", opened_at="DATE", last_alert_at="DATE", alerts="BIGINT", peak_score="d")
+       SELECT_FINAL object_id, min(date) AS opened_at, max(date) AS last_alert_at, sum(n) AS alerts, max(score) AS peak_score,
+         (SELECT max(date) FROM a) - max(date) < 5 AS open
+         FROM e GROUP BY object_id, ep""",
+       object_id="VARCHAR", opened_at="DATE", last_alert_at="DATE", alerts="BIGINT", peak_score="d", open="BOOLEAN")
 def stream_orders(v):
-    closed = _closed(v, S.stream_orders(_alerts(_StreamViews(v.spark, v.folder)), 3), "stream-orders")
-    return S.with_open_orders(closed, _alerts(v), 3)
+    """Orders of three days' cooldown from the stream's revisions alone; open are those whose cooldown the watermark, a day
+    behind the last alert, has not passed."""
+    found = _revisions(v, _alerts(v), "event_time", "stream-orders", lambda s: R.order_revisions(s, 3))
+    return R.merged_orders(found)
 
 
-@query("stream_coverage", f"""WITH {V.SENSORS} SELECT_FINAL {V.DAY} AS date, count(DISTINCT object_id) AS objects_count,
-       true AS close FROM sensors GROUP BY 1""", date="DATE", objects_count="BIGINT", close="BOOLEAN")
+@query("stream_coverage", f"""WITH {V.SENSORS} SELECT_FINAL {V.DAY} AS date, count(DISTINCT object_id) AS objects_count
+       FROM sensors GROUP BY 1""", date="DATE", objects_count="BIGINT")
 def stream_coverage(v):
-    """Exact objects per day, and whether the approximate count of the stream is within three standard errors (3 %)."""
-    found = S.with_open_days(_closed(v, S.stream_coverage(_streamed(v)), "stream-coverage"), v.sensors(), S.stream_coverage)
-    exact = recorded_days(v.sensors()).groupBy("date").agg(F.count(F.lit(1)).alias("exact"))
-    near = F.coalesce(F.abs(F.col("objects_count") - F.col("exact")) <= 0.03 * F.col("exact"), F.lit(False))
-    return exact.join(found, "date", "full").select("date", F.col("exact").alias("objects_count"), near.alias("close"))
+    """Exact objects per day from the bitmaps that the stream leaves."""
+    path = _halves(v, v.sensors(), "ts_recorded", "stream-coverage", lambda s, p: S.stream_bitmaps(s, p, f"{p}/state"))
+    return G.count_objects(S.stored_bitmaps(v.spark, path))
+
+
+@query("coverage_weeks", f"""WITH {V.SENSORS} SELECT_FINAL CAST(date_trunc('week', {V.DAY}) AS DATE) AS week,
+       count(DISTINCT object_id) AS objects_count FROM sensors GROUP BY 1""", week="DATE", objects_count="BIGINT")
+def coverage_weeks(v):
+    """Exact objects per week out of daily bitmaps, in a second table of numbers."""
+    numbers = G.number_objects(v.sensors(), scratch(v.spark, "object-numbers"))
+    return G.count_objects(cut_lineage(G.day_bitmaps(v.sensors(), numbers)), F.trunc("date", "week").alias("week"))

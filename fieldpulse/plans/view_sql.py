@@ -9,6 +9,13 @@ SENSORS = """sensors AS (
          CAST(floor(epoch(ts)) AS BIGINT) AS ts_recorded
   FROM events)"""
 
+# readings as they are stored: implausible channels are missing
+STORED = f"""{SENSORS}, clean AS (SELECT record_id, object_id, ts_measurement,
+    CASE WHEN t_supply BETWEEN 0 AND 150 THEN t_supply END AS t_supply,
+    CASE WHEN t_return BETWEEN 0 AND 150 THEN t_return END AS t_return,
+    CASE WHEN p_supply BETWEEN 0 AND 25 THEN p_supply END AS p_supply,
+    CASE WHEN p_return BETWEEN 0 AND 25 THEN p_return END AS p_return, ts_recorded FROM sensors)"""
+
 INCIDENTS = """incidents AS (
   SELECT CAST(event_id AS VARCHAR) AS incident_id, CAST(user_id AS VARCHAR) AS object_id,
          CAST(floor(epoch(ts)) AS BIGINT) AS incident_ts,

@@ -39,21 +39,33 @@ def with_month(df: DataFrame, moment: str = "ts_recorded") -> DataFrame:
     return df.withColumn(MONTH, F.date_format(epoch_date(moment), "yyyy-MM"))
 
 
-def _rebalanced(df: DataFrame, *columns: str) -> DataFrame:
+def rebalanced(df: DataFrame, *columns: str) -> DataFrame:
     """Rows regrouped by columns into evenly sized tasks: small groups share one, a huge group is split."""
     return df.hint("rebalance", *[F.col(c) for c in columns])
 
 
+CHANGES = T.StructType([T.StructField("change", T.StringType()), T.StructField(MONTH, T.StringType()),
+                        T.StructField("first_measured", T.LongType()), T.StructField("last_measured", T.LongType())])
+
+
+def note_changes(df: DataFrame, path: str) -> None:
+    """Note which months an append brings, and from when to when their readings were measured: a row per month."""
+    change = df.groupBy(MONTH).agg(F.min("ts_measurement").alias("first_measured"), F.max("ts_measurement").alias("last_measured"))
+    append_rows(change.select(F.lit(uuid.uuid4().hex).alias("change"), "*").coalesce(1), f"{path}_changes")
+
+
 def append_sensors(df: DataFrame, path: str) -> int:
     """Append readings to month partitions, sorted for object range scans; returns the rows written.
 
     Nothing already stored is rewritten. Rows are routed by month and object group, and adaptive execution sizes the
-    writing tasks by bytes, so neither a decade of history nor one busy object or month ends up in a single task.
+    writing tasks by bytes, so neither a decade of history nor one busy object or month ends up in a single task. The
+    months are noted first: a note without its rows costs a rebuild of those months, rows without a note would be missed.
     """
+    note_changes(with_month(df), path)
     rows = Observation("append_sensors")
     routed = with_month(df).withColumn("_group", F.pmod(F.xxhash64("object_id"), F.lit(1024)))
     # observed in the writing stage itself, where a repeated task counts once
-    (_rebalanced(routed, MONTH, "_group").drop("_group")
+    (rebalanced(routed, MONTH, "_group").drop("_group")
      .sortWithinPartitions(MONTH, "object_id", "ts_recorded")
      .observe(rows, F.count(F.lit(1)).alias("rows"))
      .write.mode("append").partitionBy(MONTH).parquet(path))
@@ -119,13 +131,6 @@ def write_export(df: DataFrame, out: str, first: str | None = None, last: str |
     return rows.get["rows"]
 
 
-def write_matrix(matrix: DataFrame, path: str) -> None:
-    """Store the feature matrix by month, sorted by key inside each file."""
-    (_rebalanced(matrix.withColumn(MONTH, F.date_format("date", "yyyy-MM")), MONTH)
-     .sortWithinPartitions(MONTH, "object_id", "date")
-     .write.mode("overwrite").partitionBy(MONTH).parquet(path))
-
-
 def slice_matrix(matrix: DataFrame, first: str | None = None, last: str | None = None,
                  object_ids: list[str] | None = None) -> DataFrame:
     """Rows of the stored matrix by inclusive dates and, optionally, a list of objects."""

@@ -10,14 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fieldpulse.operators.cleaning import clean_ingest, dedup_records
-from fieldpulse.operators.merge import insert_new
+from fieldpulse.operators.coverage import BITMAPS, day_bitmaps, number_objects
 from fieldpulse.schemas import SENSORS
-from fieldpulse.sources.tables import append_sensors, read_or_empty
+from fieldpulse.session import cut_lineage
+from fieldpulse.sources.key_index import KeyIndex, merge_sensors
+from fieldpulse.sources.tables import append_rows, read_or_empty
 
 
 MIN_SECOND = -(1 << 62)  # before every reading
@@ -31,12 +33,12 @@ def with_event_time(stream: DataFrame, delay: str = "1 day") -> DataFrame:
 def stream_ingest(stream: DataFrame, store: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Clean a stream of normalised readings and append unseen records to the partitioned store.
 
-    Each micro-batch keeps one row per record id and is compared with the store, so a replayed batch appends nothing twice
-    and a reading is kept however late it comes.
+    Each micro-batch keeps one row per record id and is compared with the ids of its buckets, so a replayed batch appends
+    nothing twice and a reading is kept however late it comes.
     """
     def merge(batch: DataFrame, _: int) -> None:
-        stored = read_or_empty(batch.sparkSession, store, SENSORS)
-        append_sensors(insert_new(stored, dedup_records(batch.select(*SENSORS.names)), "record_id"), store)
+        spark = batch.sparkSession
+        merge_sensors(KeyIndex(spark, f"{store}_ids", "record_id"), store, cut_lineage(dedup_records(batch.select(*SENSORS.names))))
 
     return (clean_ingest(stream).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
@@ -71,6 +73,20 @@ def stream_coverage(stream: DataFrame, delay: str = "1 day") -> DataFrame:
         F.col("window.start").cast("date").alias("date"), "objects_count")
 
 
+def stream_bitmaps(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Keep the exact coverage of a stream: every micro-batch adds the bits of its days. Bits that come twice change nothing,
+    so neither late readings nor a repeated batch do harm."""
+    def add(batch: DataFrame, _: int) -> None:
+        rows = cut_lineage(batch.select("object_id", "ts_recorded"))
+        append_rows(day_bitmaps(rows, number_objects(rows, f"{folder}/numbers")), f"{folder}/bitmaps")
+
+    return (stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def stored_bitmaps(spark: SparkSession, folder: str) -> DataFrame:
+    return read_or_empty(spark, f"{folder}/bitmaps", BITMAPS)
+
+
 def with_open_days(closed: DataFrame, stored: DataFrame, roll_up: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Closed days of a roll-up and the days after the last of them, computed by the same function from stored readings.
 

@@ -92,7 +92,7 @@ def test_rebuild_and_slice(spark, tmp_path):
     assert store.matrix().columns == ["object_id", "date", *FEATURES] and store.matrix().isEmpty()
     stats = rebuild_features(store, 2025).first()
     assert (stats["object_days"], stats["objects"], stats["sensor_rows"], stats["weather_days"]) == (80, 2, 240, 1)
-    out = T.slice_matrix(spark.read.parquet(store.path("matrix")), str(day(2)), str(day(4)), ["A"])
+    out = T.slice_matrix(store.matrix(), str(day(2)), str(day(4)), ["A"])
     assert out.columns == ["object_id", "date", *FEATURES] and out.count() == 3
     assert store.matrix().count() == 80
     assert rebuild_features(store, 2027).first()["object_days"] == 0 and store.matrix().isEmpty()
