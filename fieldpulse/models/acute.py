@@ -2,41 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldpulse.models.prep import medians, vector_stages, without_helpers
+from fieldpulse.models.boosting import BoostedTrees, train_boosted
 
 SEED = 42
 
 
 def train_acute(train: DataFrame, val: DataFrame, features: list[str], rounds: int = 1000, depth: int = 4,
-                step: float = 0.05, sample: float = 0.8) -> PipelineModel:
-    """Boosted trees on train, stopped early on val, positives weighted by the class ratio of train.
-
-    Missing values get the median plus a flag column. The trees need a label both ways, which is checked first.
+                step: float = 0.05, sample: float = 0.8, patience: int = 50) -> BoostedTrees:
+    """Boosted trees on train, positives weighted by the class ratio of train, stopped after ``patience`` rounds without
+    gain on val. Missing values take a learned side in every split. The trees need a label both ways, which is checked first.
     """
     counts = train.agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n")).first()
     if not counts["p"] or not counts["n"]:
         raise ValueError("training days need both failing and healthy examples")
-    weight = counts["n"] / max(counts["p"], 1)
-    both = train.withColumn("_val", F.lit(False)).unionByName(val.withColumn("_val", F.lit(True)))
-    both = both.withColumns({"_weight": F.when(F.col("y") == 1, F.lit(weight)).otherwise(F.lit(1.0)),
-                             "_label": F.col("y").cast("double")})
-    trees = GBTClassifier(featuresCol="features", labelCol="_label", weightCol="_weight", validationIndicatorCol="_val",
-                          maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=sample,
-                          featureSubsetStrategy="0.8", minInstancesPerNode=5, checkpointInterval=10, seed=SEED)
-    return Pipeline(stages=[*vector_stages(medians(train, features), flags=True), trees]).fit(both)
+    return train_boosted(train, val, features, weight=counts["n"] / counts["p"], rounds=rounds, patience=patience, depth=depth,
+                         step=step, sample=sample, seed=SEED)
 
 
-def predict_acute(model: PipelineModel, df: DataFrame) -> DataFrame:
+def predict_acute(model: BoostedTrees, df: DataFrame) -> DataFrame:
     """Adds the raw ``score``."""
-    scored = model.transform(df).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
-    return without_helpers(scored, "features", "rawPrediction", "probability", "prediction")
+    return model.transform(df)
 
 
 def fit_calibrator(scored: DataFrame, label: str = "y") -> IsotonicRegressionModel:

@@ -1,36 +1,24 @@
-"""Object-level risk: a forest on how much earlier than expected an object failed."""
+"""Object-level risk: a survival forest on the time to an object's first failure."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StandardScaler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldpulse.models.prep import medians, vector_stages, without_helpers
-from fieldpulse.operators.survival import c_index, event_residual
+from fieldpulse.models.survival_trees import SurvivalForest, train_forest
+from fieldpulse.operators.survival import c_index
 
 SEED = 42
 
 
-def train_chronic(objects: DataFrame, features: list[str], trees: int = 200, leaf: int = 20) -> PipelineModel:
-    """Medians, scaling and a forest on the residual of the cumulative hazard.
+def train_chronic(objects: DataFrame, features: list[str], trees: int = 200, leaf: int = 20) -> SurvivalForest:
+    """Survival trees with log-rank splits; missing values become the median."""
+    return train_forest(objects, features, trees, leaf, SEED)
 
-    The residual (failed or not, minus the hazard expected by the time observed) is high for early failures and low
-    for long survivors, so ordering by the forest's prediction orders by risk under censoring.
-    """
-    rows = event_residual(objects)
-    stages = [*vector_stages(medians(objects, [c for c in features if c in objects.columns]), flags=False, out="_raw"),
-              StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True),
-              RandomForestRegressor(featuresCol="_scaled", labelCol="residual", predictionCol="chronic_score",
-                                    numTrees=trees, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", seed=SEED)]
-    return Pipeline(stages=stages).fit(rows)
 
-
-def predict_chronic(model: PipelineModel, objects: DataFrame) -> DataFrame:
+def predict_chronic(model: SurvivalForest, objects: DataFrame) -> DataFrame:
     """Adds ``chronic_score``: higher means a failure is expected earlier."""
-    return without_helpers(model.transform(objects), "_raw", "_scaled")
+    return model.transform(objects)
 
 
 def holdout_c_index(objects: DataFrame, features: list[str], share: float = 0.25, seed: int = SEED,

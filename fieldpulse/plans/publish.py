@@ -6,14 +6,16 @@ import json
 from dataclasses import asdict
 
 from pyspark.errors import AnalysisException
-from pyspark.ml import PipelineModel
 from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import SparkSession
 
+from fieldpulse.models.boosting import BoostedTrees
 from fieldpulse.models.contract import ContractError, Manifest, check_contract
+from fieldpulse.models.lifetime import LogNormalLifetime
+from fieldpulse.models.survival_trees import SurvivalForest
 from fieldpulse.plans.train import TrainResult
 
-PIPELINES = ("acute", "chronic", "lifetime")
+MODELS = {"acute": BoostedTrees, "chronic": SurvivalForest, "lifetime": LogNormalLifetime}
 TABLES = ("scored_test", "frontier", "profiles", "windows", "report")
 
 
@@ -24,7 +26,7 @@ def publish(trained: TrainResult, folder: str) -> None:
     being served stays as it is.
     """
     spark = trained.report.sparkSession
-    for name in PIPELINES:
+    for name in MODELS:
         getattr(trained, name).save(f"{folder}/{name}")
     trained.calibrator.save(f"{folder}/calibrator")
     for name in TABLES:
@@ -51,6 +53,6 @@ def load(spark: SparkSession, folder: str) -> TrainResult:
     manifest = read_manifest(spark, folder)
     check_contract(manifest)
     return TrainResult(
-        **{name: PipelineModel.load(f"{folder}/{name}") for name in PIPELINES},
+        **{name: kind.load(f"{folder}/{name}") for name, kind in MODELS.items()},
         calibrator=IsotonicRegressionModel.load(f"{folder}/calibrator"), manifest=manifest,
         **{name: spark.read.parquet(f"{folder}/{name}") for name in TABLES})

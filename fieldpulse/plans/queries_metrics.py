@@ -84,7 +84,7 @@ def detection_report(v):
     return M.detection(v.scored_panel(), THR)
 
 
-def _customers(v: StarViews) -> DataFrame:
+def customers(v: StarViews) -> DataFrame:
     """Customers as objects: how long they kept ordering, whether the last order is finished, balance as score."""
     o = v.table("orders").groupBy(F.col("o_custkey").alias("object_id")).agg(
         F.datediff(F.max(F.col("o_orderdate").cast("date")), F.min(F.col("o_orderdate").cast("date"))).alias("d"),
@@ -95,7 +95,7 @@ def _customers(v: StarViews) -> DataFrame:
         (F.col("l.o_orderstatus") == "F").cast("int").alias("event"), "score")
 
 
-_CUSTOMERS = """last AS (SELECT o_custkey, o_orderstatus FROM orders QUALIFY row_number() OVER (
+CUSTOMERS = """last AS (SELECT o_custkey, o_orderstatus FROM orders QUALIFY row_number() OVER (
          PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1),
        objects AS (SELECT o.o_custkey AS object_id,
          greatest(CAST(max(CAST(o.o_orderdate AS DATE)) - min(CAST(o.o_orderdate AS DATE)) AS DOUBLE), 1) AS duration,
@@ -103,19 +103,19 @@ _CUSTOMERS = """last AS (SELECT o_custkey, o_orderstatus FROM orders QUALIFY row
          FROM orders o JOIN customer ON o.o_custkey = c_custkey JOIN last l ON l.o_custkey = o.o_custkey GROUP BY 1)"""
 
 
-@query("c_index", f"""WITH {_CUSTOMERS} SELECT_FINAL sum(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5
+@query("c_index", f"""WITH {CUSTOMERS} SELECT_FINAL sum(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5
        ELSE 0.0 END) / count(*) AS c_index FROM objects a JOIN objects b
        ON a.event = 1 AND (a.duration < b.duration OR (a.duration = b.duration AND b.event = 0))""", c_index="d")
 def c_index(v):
-    return C.c_index(_customers(v))
+    return C.c_index(customers(v))
 
 
-@query("cumulative_hazard", f"""WITH {_CUSTOMERS}, d AS (SELECT duration, sum(event) AS events, count(*) AS n FROM objects GROUP BY 1),
+@query("cumulative_hazard", f"""WITH {CUSTOMERS}, d AS (SELECT duration, sum(event) AS events, count(*) AS n FROM objects GROUP BY 1),
        r AS (SELECT *, sum(n) OVER (ORDER BY duration DESC) AS at_risk FROM d)
        SELECT_FINAL duration, events, at_risk, sum(events / at_risk) OVER (ORDER BY duration) AS hazard FROM r""",
        duration="d", events="BIGINT", at_risk="BIGINT", hazard="d")
 def cumulative_hazard(v):
-    return C.cumulative_hazard(_customers(v))
+    return C.cumulative_hazard(customers(v))
 
 
 @query("permutation_null")

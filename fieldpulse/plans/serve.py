@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldpulse.models import acute, chronic, lifetime
+from fieldpulse.models.boosting import BoostedTrees
 from fieldpulse.models.contract import check_contract
 from fieldpulse.operators import orders, risk
 from fieldpulse.operators.rules import Profile
@@ -18,7 +18,7 @@ from fieldpulse.schemas import CHRONIC_FRACTIONS, COOLDOWN_DAYS, OBJECTS
 from fieldpulse.session import cut_lineage
 
 
-def score_days(model: PipelineModel, calibrator: IsotonicRegressionModel, features: DataFrame) -> DataFrame:
+def score_days(model: BoostedTrees, calibrator: IsotonicRegressionModel, features: DataFrame) -> DataFrame:
     """(object_id, date, score, calibrated, rank) for every object-day."""
     scored = acute.calibrate(calibrator, acute.predict_acute(model, features))
     return risk.rank_in_day(scored.select("object_id", "date", "score", "calibrated"))

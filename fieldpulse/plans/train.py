@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldpulse.models import acute, chronic, lifetime
+from fieldpulse.models.boosting import BoostedTrees
 from fieldpulse.models.contract import Manifest
+from fieldpulse.models.lifetime import LogNormalLifetime
+from fieldpulse.models.survival_trees import SurvivalForest
 from fieldpulse.operators import metrics, resampling, rules, target
 from fieldpulse.operators.risk import chronic_top_by_score
 from fieldpulse.schemas import (
@@ -28,6 +30,7 @@ class TrainSettings:
     baseline_days: int = BASELINE_DAYS
     cooldown_days: int = COOLDOWN_DAYS
     rounds: int = 1000
+    patience: int = 50
     trees: int = 200
     leaf: int = 20
     replicates: int | None = None  # None: 400 permutations, 500 bootstrap draws
@@ -36,10 +39,10 @@ class TrainSettings:
 
 @dataclass(frozen=True)
 class TrainResult:
-    acute: PipelineModel
+    acute: BoostedTrees
     calibrator: IsotonicRegressionModel
-    chronic: PipelineModel
-    lifetime: PipelineModel
+    chronic: SurvivalForest
+    lifetime: LogNormalLifetime
     manifest: Manifest
     scored_test: DataFrame
     frontier: DataFrame
@@ -69,7 +72,7 @@ def train_run(matrix: DataFrame, incidents: DataFrame, settings: TrainSettings =
     frame = labelled_frame(matrix, incidents, settings)
     train, val, test = (frame.where(F.col("split") == s) for s in target.SPLITS)
 
-    model = acute.train_acute(train, val, cols, settings.rounds)
+    model = acute.train_acute(train, val, cols, settings.rounds, patience=settings.patience)
     scored_val = cut_lineage(acute.predict_acute(model, val).select("object_id", "date", "y", "score"))
     calibrator = acute.fit_calibrator(scored_val)
     threshold = metrics.budget_threshold(scored_val, settings.alert_rate).first()["threshold"]
