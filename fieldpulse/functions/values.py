@@ -11,11 +11,13 @@ from fieldpulse.schemas import MISSING_WORDS
 DAY = 86400
 _SERIAL_EPOCH_DAYS = 25569  # 1899-12-30 to 1970-01-01
 _BLANK = r"[\s\p{Z}\x{FEFF}]+"  # every kind of white space, no-break spaces too
+_BLANKS = "".join(map(chr, (*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 
-# ---- fixed values: spellings of a moment beside ISO ones, each with optional time; the first that reads a text counts
-MOMENT_DATES = ("d.M.yyyy", "M/d/yyyy", "yyyy/M/d")
-MOMENT_TIMES = ("", " H:mm", " H:mm:ss")
+# ---- fixed values: spellings of a moment beside ISO ones, each with optional time, and how such a text starts
+MOMENT_DATES = {r"^\d{1,2}\.": "d.M.yyyy", r"^\d{1,2}/": "M/d/yyyy", r"^\d{3,}/": "yyyy/M/d"}
+MOMENT_TIMES = {r":.*:": " H:mm:ss", r":": " H:mm", r"": ""}
 # ---- end of fixed values
+_SERIAL = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?[dDfF]?$"
 
 
 def col(c: Column | str) -> Column:
@@ -42,7 +44,7 @@ def json_rows(df: DataFrame) -> DataFrame:
 
 def trimmed(c: Column | str) -> Column:
     """Text without white space of any kind at its ends."""
-    return F.regexp_replace(col(c).cast("string"), f"^{_BLANK}|{_BLANK}$", "")
+    return F.btrim(col(c).cast("string"), F.lit(_BLANKS))
 
 
 def clean_string(c: Column | str) -> Column:
@@ -71,14 +73,22 @@ def parse_moment(c: Column | str) -> Column:
     Besides ISO spellings, day.month.year, month/day/year and year/month/day are read, with or without a time. Years a
     nanosecond clock cannot hold (before 1678, after 2261) count as unreadable.
     """
-    text = trimmed(c)
-    serial = text.try_cast("double")
-    seconds = F.floor((serial - F.lit(_SERIAL_EPOCH_DAYS)) * F.lit(DAY) + F.lit(1e-4))
-    from_serial = F.when(F.abs(serial) < 200000, F.timestamp_seconds(seconds))
-    single = F.regexp_replace(text, _BLANK, " ")
-    spelled = [F.try_to_timestamp(single, F.lit(d + t)) for d in MOMENT_DATES for t in MOMENT_TIMES]
-    parsed = F.when(serial.isNotNull(), from_serial).otherwise(F.coalesce(text.try_cast("timestamp"), *spelled))
-    return F.when(F.year(parsed).between(1678, 2261), parsed)
+    def read(text: Column) -> Column:
+        serial = text.try_cast("double")
+        seconds = F.floor((serial - F.lit(_SERIAL_EPOCH_DAYS)) * F.lit(DAY) + F.lit(1e-4))
+        single = F.regexp_replace(text, _BLANK, " ")
+        spelled = F.lit(None).cast("timestamp")
+        for start, date in reversed(MOMENT_DATES.items()):
+            timed = F.lit(None).cast("timestamp")
+            for part, time in reversed(MOMENT_TIMES.items()):
+                timed = F.when(text.rlike(part), F.try_to_timestamp(single, F.lit(date + time))).otherwise(timed)
+            spelled = F.when(text.rlike(start), timed).otherwise(spelled)
+        return F.when(text.rlike(_SERIAL), F.when(F.abs(serial) < 200000, F.timestamp_seconds(seconds))).otherwise(
+            F.coalesce(text.try_cast("timestamp"), spelled))
+
+    # the text is trimmed once and the moment read once, however often the formulas name them
+    moments = F.transform(F.array(trimmed(c)), read)
+    return F.get(F.filter(moments, lambda m: F.year(m).between(1678, 2261)), F.lit(0))
 
 
 def to_epoch(c: Column | str) -> Column:
