@@ -1,12 +1,13 @@
 """Permutation floor and bootstrap intervals.
 
 None of them copies the panel once per replicate. The permutation needs only how many failing objects have how many
-chances; the detection bootstrap only two counts; the ROC bootstrap one pass over score buckets with a small array of
-object weights per row. Draws come from generators seeded by (seed, replicate, slice), so lost tasks repeat exactly.
+chances; the detection bootstrap only two counts; the ROC bootstrap one pass over score buckets, with object weights made from
+a hash. Other draws come from generators seeded by (seed, replicate, slice), so lost tasks repeat exactly.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -190,12 +191,30 @@ def _bucket_wins(score: np.ndarray, pos: np.ndarray, neg: np.ndarray, weights: n
     return (p * (np.cumsum(n, axis=0) - n / 2)).sum(axis=0)
 
 
+_SPREAD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(14)])
+
+
+def poisson_weights(objects: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:
+    """How often each object (a 64-bit hash) is drawn in each replicate: Poisson counts of mean one from a hash of both.
+
+    The same object gets the same counts wherever its rows lie, so nobody has to hand them out.
+    """
+    h = objects.view(np.uint64)[:, None] + (replicates.astype(np.uint64) + np.uint64(seed) * np.uint64(1 << 32)) * _SPREAD[0]
+    for factor in _SPREAD[1:]:
+        h = (h ^ (h >> np.uint64(33))) * factor
+    uniform = ((h ^ (h >> np.uint64(33))) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+    return np.searchsorted(_POISSON, uniform, side="right").astype(np.int32)
+
+
 def bootstrap_roc_draws(scored: DataFrame, horizon_days: int = HORIZON_DAYS, replicates: int = 500, seed: int = 0,
-                        parts: int | None = None) -> DataFrame:
+                        parts: int | None = None, multinomial: bool = False) -> DataFrame:
     """(replicate, roc_auc) with objects, not rows, resampled; draws with a single class are left out.
 
     Pairs across score buckets follow from weighted totals per bucket, pairs inside a bucket are counted there.
-    Buckets holding a single score need totals only and are cut into slices by object.
+    Buckets holding a single score need totals only and are cut into slices by object. Weights are Poisson counts made from
+    a hash where a row lies; with ``multinomial`` every replicate draws exactly as many objects as there are, and the weights
+    are handed out by a join.
     """
     rows = scored.where(F.col("score").isNotNull()).withColumn("y", within_horizon("t_to_failure", horizon_days))
     rows = rows.select("object_id", "score", "y")
@@ -204,18 +223,28 @@ def bootstrap_roc_draws(scored: DataFrame, horizon_days: int = HORIZON_DAYS, rep
         F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     rows = rows.withColumn("_slice", F.when(F.col("_bucket") % 2 == 1, F.pmod(F.xxhash64("object_id"), F.lit(64)))
                            .otherwise(F.lit(0)))
-    weighted = rows.join(object_weights(scored, replicates, seed), "object_id")
+    kind = "_bucket int, replicate bigint, pos double, neg double, wins double"
 
-    def sum_bucket(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        w = np.stack(part["weights"].to_numpy())
+    def weighted_sums(bucket: int, part: pd.DataFrame, first: int, w: np.ndarray) -> pd.DataFrame:
         pos, neg = part["pos"].to_numpy(float), part["neg"].to_numpy(float)
-        single = int(key[0]) % 2 == 1
-        wins = np.zeros(w.shape[1]) if single else _bucket_wins(part["score"].to_numpy(), pos, neg, w)
-        return pd.DataFrame({"_bucket": key[0], "replicate": int(key[2]) * CHUNK + np.arange(w.shape[1]),
-                             "pos": pos @ w, "neg": neg @ w, "wins": wins})
-
-    sums = weighted.groupBy("_bucket", "_slice", "chunk").applyInPandas(
-        sum_bucket, "_bucket int, replicate bigint, pos double, neg double, wins double")
+        wins = np.zeros(w.shape[1]) if bucket % 2 == 1 else _bucket_wins(part["score"].to_numpy(), pos, neg, w)
+        return pd.DataFrame({"_bucket": bucket, "replicate": first + np.arange(w.shape[1]), "pos": pos @ w, "neg": neg @ w,
+                             "wins": wins})
+
+    def sum_given(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        return weighted_sums(int(key[0]), part, int(key[2]) * CHUNK, np.stack(part["weights"].to_numpy()))
+
+    def sum_hashed(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        runs = [np.arange(a, min(a + CHUNK, replicates)) for a in range(0, replicates, CHUNK)]
+        return pd.concat([weighted_sums(int(key[0]), part, int(r[0]), poisson_weights(part["_hash"].to_numpy(), r, seed))
+                          for r in runs])
+
+    if multinomial:
+        given = rows.join(object_weights(scored, replicates, seed), "object_id")
+        sums = given.groupBy("_bucket", "_slice", "chunk").applyInPandas(sum_given, kind)
+    else:
+        hashed = rows.select("_bucket", "_slice", "score", "pos", "neg", F.xxhash64("object_id").alias("_hash"))
+        sums = hashed.groupBy("_bucket", "_slice").applyInPandas(sum_hashed, kind)
     sums = sums.groupBy("_bucket", "replicate").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"),
                                                     F.sum("wins").alias("wins"))
     lower = Window.partitionBy("replicate").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

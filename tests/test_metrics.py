@@ -115,13 +115,45 @@ def weights_of(panel, replicates, seed):
 def test_roc_draws_against_weighted_brute_force(panel, rows):
     weights = weights_of(panel, 5, 9)
     assert all(sum(w[b] for w in weights.values()) == 40 for b in range(5))
-    draws = {r["replicate"]: r["roc_auc"] for r in B.bootstrap_roc_draws(panel, 30, 5, 9, parts=16).collect()}
+    draws = {r["replicate"]: r["roc_auc"] for r in B.bootstrap_roc_draws(panel, 30, 5, 9, parts=16, multinomial=True).collect()}
     y, s = arrays(rows)
     for b, value in draws.items():
         repeat = np.array([weights[r[0]][b] for r in rows])
         assert value == pytest.approx(auc(np.repeat(y, repeat), np.repeat(s, repeat)))
 
 
+@pytest.mark.parametrize("parts", [2, 16])
+def test_hashed_draws_against_weighted_brute_force(panel, rows, parts, monkeypatch):
+    monkeypatch.setattr(B, "CHUNK", 2)
+    hashes = {r[0]: r[1] for r in panel.select("object_id", F.xxhash64("object_id")).distinct().collect()}
+    weights = dict(zip(hashes, B.poisson_weights(np.array(list(hashes.values())), np.arange(5), 9)))
+    found = B.bootstrap_roc_draws(panel, 30, 5, 9, parts=parts)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    draws = {r["replicate"]: r["roc_auc"] for r in found.collect()}
+    y, s = arrays(rows)
+    assert len(draws) == 5
+    for b, value in draws.items():
+        repeat = np.array([weights[r[0]][b] for r in rows])
+        assert value == pytest.approx(auc(np.repeat(y, repeat), np.repeat(s, repeat)))
+
+
+def test_hashed_weights_are_poisson_counts_of_object_and_replicate():
+    ids = np.random.default_rng(2).integers(-(1 << 62), 1 << 62, 4000)
+    w = B.poisson_weights(ids, np.arange(60), 3)
+    for k in range(4):
+        assert (w == k).mean() == pytest.approx(np.exp(-1) / [1, 1, 2, 6][k], abs=0.004)
+    assert w.mean(axis=0).std() < 0.03 and abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.06
+    assert (w[:, 7:9] == B.poisson_weights(ids, np.arange(7, 9), 3)).all() and (w != B.poisson_weights(ids, np.arange(60), 4)).any()
+
+
+def test_hashed_interval_is_near_the_exact_one(panel):
+    def interval(multinomial):
+        return B._interval(B.bootstrap_roc_draws(panel, 30, 400, 1, multinomial=multinomial), "roc_auc", "low", "high").first()
+    own, exact = interval(False), interval(True)
+    width = exact["high"] - exact["low"]
+    assert abs(own["low"] - exact["low"]) < 0.25 * width and abs(own["high"] - exact["high"]) < 0.25 * width
+
+
 def test_weights_over_many_slices(monkeypatch, panel):
     monkeypatch.setattr(B, "SLICE_OBJECTS", 7)
     monkeypatch.setattr(B, "CHUNK", 20)
