@@ -8,10 +8,18 @@ totals (a few rows per cut) pass through a single window.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from fieldpulse.session import cut_lineage
 
 TIE_SLICES = 64
 
@@ -112,12 +120,53 @@ def quantiles(df: DataFrame, value: str, shares: list[float], parts: int | None
         + (s * (_total - 1) - floor(s * (_total - 1))) * (_m[2 * i + 1] - _m[2 * i])) AS q""")
 
 
+def _counted_before(by: list[str]):
+    """Rows of the same group before each row, within a task that holds the rows in order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, last, carried = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            counts = batch.column("_n").to_numpy()
+            new = np.zeros(n, bool)
+            for c in by:
+                column = batch.column(c)
+                differs = pc.fill_null(pc.not_equal(column[1:], column[:-1]), True).to_numpy(zero_copy_only=False)
+                both_null = (column[1:].is_null().to_numpy(zero_copy_only=False) & column[:-1].is_null().to_numpy(zero_copy_only=False))
+                new[1:] |= differs & ~both_null
+            first = tuple(batch.column(c)[0].as_py() for c in by)
+            new[0] = last is None or first != last
+            before = np.cumsum(counts) - counts
+            starts = np.flatnonzero(new)
+            base = np.where(np.cumsum(new) == 0, -carried, before[starts[np.maximum(np.cumsum(new) - 1, 0)]] if len(starts) else 0)
+            before = before - base
+            last, carried = tuple(batch.column(c)[n - 1].as_py() for c in by), int(before[-1] + counts[-1])
+            out = batch.append_column("_before", pa.array(before, pa.int64()))
+            yield out.append_column("_task", pa.array(np.full(n, task, np.int32)))
+    return run
+
+
 def min_rank(df: DataFrame, value: str, name: str, by: list[str] | None = None, descending: bool = True) -> DataFrame:
-    """Minimum rank of every row over the whole table or inside each group; equal values share a rank."""
-    keys = [*(by or []), value]
+    """Minimum rank of every row over the whole table or inside each group; equal values share a rank.
+
+    Distinct values are dealt once by range, so a task holds a stretch of the order and counts within it. A group that spans
+    several tasks gets the counts of the tasks before as an offset: a row per task and group, not per value.
+    """
+    by = by or []
+    keys = [*by, value]
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_totals(counted, value, {"_cum": "_n"}, by=by, descending=descending)
-    places = ranked.select(*keys, (F.col("_cum") - F.col("_n") + 1).cast("int").alias(name))
+    order = [*by, F.col(value).desc() if descending else F.col(value).asc()]
+    dealt = counted.repartitionByRange(default_parts(df), *order).sortWithinPartitions(*order)
+    kind = T.StructType([*dealt.schema.fields, T.StructField("_before", T.LongType()), T.StructField("_task", T.IntegerType())])
+    local = cut_lineage(dealt.mapInArrow(_counted_before(by), kind))
+    held = local.groupBy("_task", *by).agg(F.sum("_n").alias("_held"))
+    earlier = Window.partitionBy(*(by or [F.lit(1)])).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = held.withColumn("_offset", F.coalesce(F.sum("_held").over(earlier), F.lit(0))).where("_offset > 0").select(
+        F.col("_task").alias("_at"), *[F.col(c).alias(f"_b_{c}") for c in by], "_offset")
+    same = reduce(lambda a, b: a & b, [F.col("_task") == F.col("_at"), *[F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by]])
+    places = local.join(offsets, same, "left").select(
+        *keys, (F.col("_before") + F.coalesce("_offset", F.lit(0)) + 1).cast("int").alias(name))
     return df.join(places, keys, "left").select(*df.columns, name)
 
 
