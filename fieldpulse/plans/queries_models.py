@@ -24,7 +24,7 @@ VAL, TEST = "2024-01-16", "2024-01-23"
 def _frame(v: StarViews) -> DataFrame:
     """Intraday features with target and split, written once: the fits read it repeatedly."""
     days = X.intraday(dedup_measurements(clean_features(v.sensors(), 2024)), (0, 6))
-    labelled = T.add_target(days.select("object_id", "date", *DAILY), v.incidents())
+    labelled = T.add_target(days.select("object_id", "date", *DAILY), v.severe_incidents())
     return cut_lineage(T.temporal_split(labelled, VAL, TEST))
 
 
@@ -136,4 +136,4 @@ def boost_splits(v):
 def train_report(v):
     """A whole training run on the full feature matrix, reported as one row."""
     matrix = X.build_matrix(v.sensors(), v.weather(), 2024, (0, 6))
-    return train_run(matrix, v.incidents(), TrainSettings(val_start=VAL, test_start=TEST)).report
+    return train_run(matrix, v.severe_incidents(), TrainSettings(val_start=VAL, test_start=TEST)).report

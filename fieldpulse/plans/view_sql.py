@@ -21,7 +21,10 @@ INCIDENTS = """incidents AS (
          CAST(floor(epoch(ts)) AS BIGINT) AS incident_ts,
          CASE WHEN event_id % 3 <> 0 THEN CAST(floor(epoch(ts)) AS BIGINT) + 3600 END AS close_ts,
          event_type AS source
-  FROM events WHERE event_type = 'error' AND value > 150)"""
+  FROM events WHERE event_type = 'error')"""
+
+# what the models learn from
+SEVERE_INCIDENTS = INCIDENTS.replace("event_type = 'error')", "event_type = 'error' AND value > 150)")
 
 WEATHER = """weather AS (
   SELECT CAST(ts AS DATE) AS date, avg(value) - 60.0 AS t_out_mean, min(value) - 60.0 AS t_out_min,
@@ -57,7 +60,7 @@ SCORES = """scores AS (
   FROM events GROUP BY user_id, CAST(ts AS DATE))"""
 
 # the next incident at or after the start of the day, hours counted from the end of the day
-SCORED = f"""{SCORES}, {INCIDENTS}, scored AS (
+SCORED = f"""{SCORES}, {SEVERE_INCIDENTS}, scored AS (
   SELECT s.object_id, s.date, s.score,
          CASE WHEN n.nxt IS NULL THEN NULL
               WHEN (n.nxt - epoch(CAST(s.date AS TIMESTAMP)) - 86400) / 3600.0 > 0

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from fieldpulse.operators.target import add_target
 
+SEVERE = 150.0
+
 
 class StarViews:
     """Views over one folder of Parquet tables."""
@@ -35,14 +37,21 @@ class StarViews:
             (F.col("value") / 10.0).alias("p_supply"), (F.col("value") / 20.0).alias("p_return"),
             F.col("epoch").alias("ts_recorded"))
 
-    def incidents(self) -> DataFrame:
-        e = self.events().where((F.col("event_type") == "error") & (F.col("value") > 150))
+    def incidents(self, least: float | None = None) -> DataFrame:
+        """Errors, all of them or those of a value above ``least``."""
+        e = self.events().where(F.col("event_type") == "error")
+        if least is not None:
+            e = e.where(F.col("value") > least)
         return e.select(
             F.col("event_id").cast("string").alias("incident_id"), F.col("user_id").cast("string").alias("object_id"),
             F.col("epoch").alias("incident_ts"),
             F.when(F.col("event_id") % 3 != 0, F.col("epoch") + 3600).alias("close_ts"),
             F.col("event_type").alias("source"))
 
+    def severe_incidents(self) -> DataFrame:
+        """The incidents that the models learn from: with all errors no object-day would be healthy."""
+        return self.incidents(SEVERE)
+
     def weather(self) -> DataFrame:
         return self.table("events").groupBy(F.col("ts").cast("date").alias("date")).agg(
             (F.avg("value") - 60.0).alias("t_out_mean"), (F.min("value") - 60.0).alias("t_out_min"),
@@ -93,4 +102,4 @@ class StarViews:
 
     def scored_panel(self) -> DataFrame:
         """Scored object-days with the hours to the next incident."""
-        return add_target(self.scores(), self.incidents())
+        return add_target(self.scores(), self.severe_incidents())

@@ -133,7 +133,7 @@ def test_registered_queries_train_with_the_default_settings(monkeypatch):
             raise InterruptedError
         return call
 
-    anything = SimpleNamespace(where=lambda *_: None, sensors=lambda: None, weather=lambda: None, incidents=lambda: None)
+    anything = SimpleNamespace(where=lambda *_: None, sensors=lambda: None, weather=lambda: None, incidents=lambda: None, severe_incidents=lambda: None)
     monkeypatch.setattr(queries_models, "_frame", lambda v: anything)
     monkeypatch.setattr(queries_models.X, "build_matrix", lambda *_: None)
     monkeypatch.setattr(queries_models, "train_run", spy("report", train_run))
