@@ -5,11 +5,14 @@ the first few of each in one common order; frequent tokens come last in it, so s
 alike as a whole. In a block the sets are the leaves of a signature tree: nodes hold the OR of the bitmaps below them and
 the range of sizes. The tree is traversed against itself; a pair of nodes is dropped when sizes cannot fit, when the largest
 possible overlap (common bits plus tokens beyond one per bit) is too small, or when all sets below both are known to be
-linked. Pairs of sets that survive are verified on the exact sets.
-
-Traversals run twice. The first proposes one partner per set and block, which joins a group of n near copies by n links.
-The second proposes all pairs that lie in different components, so no link between components is lost and no group is
-expanded into its pairs. Blocks beyond ``BLOCK_ROWS`` are cut into parts that meet pairwise in different tasks.
+linked. A pair of sets is left to the block of the first token that both share: members know some of the shared tokens before
+their block's, and a pair that has one in common is judged there.
+
+Traversals run twice. The first proposes one partner per set and block; verified, these pairs join a group of n near copies by
+n links. The second, in blocks that still hold several components, only finds out which sets have any partner left. They meet
+again in their block with their exact sets: shared tokens are counted there, and what is linked is joined there by links that
+span the block, at most one per set. So no group is expanded into its pairs, whether they are linked or not, and no link
+between components is lost. Blocks beyond ``BLOCK_ROWS`` are cut into parts that meet pairwise in different tasks.
 """
 
 from __future__ import annotations
@@ -33,6 +36,9 @@ FREQUENT = 48
 MOST_FREQUENT = 1 << 16
 LEAF = 16
 FAN = 8
+KNOWN = 4  # shared tokens before the block's that a member carries
+NONE = -(1 << 63)
+INDEXED = 1 << 21  # entries of the index that a task looks at in one step
 _SET = "row long, id long, text_sha binary, n long, digest binary, prefix array<long>, bitmap binary"
 
 
@@ -111,12 +117,13 @@ def _sets(size: int, percent: int, frequent: np.ndarray):
 
 
 class Leaves:
-    """Sets of one block: node numbers, sizes, bitmaps as 64-bit words, components, and side (0, 1; 2 meets all)."""
+    """Sets of one block: node numbers, sizes, bitmaps as 64-bit words, components, side (0, 1; 2 meets all), known tokens."""
 
-    def __init__(self, ids, sizes, maps, roots, sides):
+    def __init__(self, ids, sizes, maps, roots, sides, known=None):
+        known = np.full((len(ids), 1), NONE) if known is None else known
         order = np.lexsort((maps[:, 0], sizes))
         self.ids, self.sizes, self.maps = ids[order], sizes[order], maps[order]
-        self.roots, self.sides = roots[order], sides[order]
+        self.roots, self.sides, self.known = roots[order], sides[order], known[order]
         self.extra = self.sizes - np.bitwise_count(self.maps).sum(1, dtype=np.int64)
 
 
@@ -154,6 +161,8 @@ class Tree:
             i, j = a[at:at + (1 << 16)], b[at:at + (1 << 16)]
             keep = (i < j) & (x.roots[i] != x.roots[j]) & ((x.sides[i] != x.sides[j]) | (x.sides[i] == 2))
             i, j = i[keep], j[keep]
+            keep = judged_here(x.known[i], x.known[j])
+            i, j = i[keep], j[keep]
             keep = fits(x.maps[i], x.maps[j], x.sizes[i], x.sizes[i], x.sizes[j], x.sizes[j],
                         np.minimum(x.extra[i], x.extra[j]), percent)
             out_a.append(i[keep])
@@ -170,6 +179,11 @@ def descend(a: np.ndarray, b: np.ndarray, fan: int, below: int) -> tuple[np.ndar
     return left[keep], right[keep]
 
 
+def judged_here(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether two members share no token that comes before their block's (of those they know)."""
+    return ~((a[:, :, None] == b[:, None, :]) & (a[:, :, None] != NONE)).any(axis=(1, 2))
+
+
 def fits(maps_a, maps_b, low_a, high_a, low_b, high_b, extra, percent: int) -> np.ndarray:
     """Whether some sets with these bitmaps and sizes can reach the threshold."""
     keep = (100 * high_a >= percent * low_b) & (100 * high_b >= percent * low_a)
@@ -202,45 +216,130 @@ def leaf_pairs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
+def _grouped(batches: Iterator[pa.RecordBatch], names: list[str]):
+    """Columns of whole groups (block, part) and the cuts between the groups; batches come sorted by group.
+
+    Fixed-size lists of numbers become matrices.
+    """
+    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+        out = []
+        for name in names:
+            column = batch.column(name)
+            if pa.types.is_binary(column.type):
+                out.append(np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(batch.num_rows, -1))
+            elif name in ("known", "bitmap"):
+                out.append(column.flatten().to_numpy().reshape(batch.num_rows, -1).view(np.uint64 if name == "bitmap" else np.int64))
+            elif name == "tokens":
+                parts = np.empty(batch.num_rows, object)
+                edges = column.offsets.to_numpy() - column.offsets[0].as_py()
+                flat = column.flatten().to_numpy()
+                parts[:] = [flat[x:y] for x, y in zip(edges, edges[1:])]
+                out.append(parts)
+            else:
+                out.append(column.to_numpy())
+        return out
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        found = columns(batch)
+        if held is not None:
+            found = [np.concatenate([h, c]) for h, c in zip(held, found)]
+        block, part = found[0], found[1]
+        cut = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (part[1:] != part[:-1])])
+        if len(cut) > 1:
+            yield [c[:cut[-1]] for c in found], cut
+        held = [c[cut[-1]:] for c in found]
+    if held is not None:
+        yield held, np.array([0, len(held[0])])
+
+
 def _propose(percent: int, single: bool):
+    """With ``single`` pairs (a, b), one per set and group; else the members (block, part, node) that have any partner."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def whole(ids, sizes, maps, roots, sides):
-            tree = Tree(Leaves(ids, sizes, maps, roots, sides))
-            a, b = tree.pairs(percent)
-            if single:
-                a, b = one_partner(a, b)
-            return tree.leaves.ids[a], tree.leaves.ids[b]
-
         def solve(columns, cut):
-            _, _, ids, sizes, roots, sides, maps = columns
+            blocks, groups, ids, sizes, roots, sides, maps, known = columns
             many = cut[1:] - cut[:-1]
             small = (many > 1) & (many <= LEAF)
             a, b = leaf_pairs(cut[:-1][small], many[small])
             keep = (roots[a] != roots[b]) & ((sides[a] != sides[b]) | (sides[a] == 2))
             a, b = a[keep], b[keep]
+            keep = judged_here(known[a], known[b])
+            a, b = a[keep], b[keep]
             extra = sizes - np.bitwise_count(maps).sum(1, dtype=np.int64)
             keep = fits(maps[a], maps[b], sizes[a], sizes[a], sizes[b], sizes[b], np.minimum(extra[a], extra[b]), percent)
             a, b = a[keep], b[keep]
             if single:
                 a, b = one_partner(a, b)
-            found = [(ids[a], ids[b])]
-            for s, e in zip(cut[:-1][many > LEAF], cut[1:][many > LEAF]):
-                found.append(whole(ids[s:e], sizes[s:e], maps[s:e], roots[s:e], sides[s:e]))
-            return pairs_batch(found)
-
-        held = None
-        for batch in batches:
-            columns = [batch.column(c).to_numpy() for c in ("block", "part", "node", "n", "root", "side")]
-            maps = np.frombuffer(b"".join(batch.column("bitmap").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-            columns.append(maps)
-            if held is not None:
-                columns = [np.concatenate([h, c]) for h, c in zip(held, columns)]
-            block, part = columns[0], columns[1]
-            cut = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (part[1:] != part[:-1])])
-            yield solve([c[:cut[-1]] for c in columns], cut)
-            held = [c[cut[-1]:] for c in columns]
-        if held is not None:
-            yield solve(held, np.array([0, len(held[0])]))
+                found = [(ids[a], ids[b])]
+            else:
+                found = [np.unique(np.r_[a, b])]
+            for s, e in zip(cut[:-1][many > LEAF].tolist(), cut[1:][many > LEAF].tolist()):
+                # rows stand for themselves here, so that proposals name rows
+                tree = Tree(Leaves(np.arange(s, e), sizes[s:e], maps[s:e], roots[s:e], sides[s:e], known[s:e]))
+                a, b = tree.pairs(percent)
+                if single:
+                    a, b = one_partner(a, b)
+                    found.append((ids[tree.leaves.ids[a]], ids[tree.leaves.ids[b]]))
+                else:
+                    found.append(tree.leaves.ids[np.unique(np.r_[a, b])])
+            if single:
+                return pairs_batch(found)
+            rows = np.concatenate(found)
+            return pa.RecordBatch.from_arrays([pa.array(blocks[rows]), pa.array(groups[rows]), pa.array(ids[rows])],
+                                              names=["block", "part", "node"])
+
+        for columns, cut in _grouped(batches, ["block", "part", "node", "n", "root", "side", "bitmap", "known"]):
+            yield solve(columns, cut)
+    return run
+
+
+def exact_links(tokens: list[np.ndarray], roots: np.ndarray, sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between rows that join what the sets link, at most one less than rows; rows with equal roots are joined already.
+
+    Shared tokens are counted by an index from token to rows, row by row, so that every overlap is exact.
+    """
+    n = len(tokens)
+    sizes = np.array(list(map(len, tokens)))
+    flat, row = np.concatenate(tokens), np.repeat(np.arange(n), sizes)
+    _, flat = np.unique(flat, return_inverse=True)
+    order = np.argsort(flat, kind="stable")
+    holders = row[order]
+    begin = np.searchsorted(flat[order], np.arange(flat.max() + 2 if len(flat) else 1))
+    edges = np.cumsum(np.r_[0, sizes])
+    _, group = np.unique(roots, return_inverse=True)
+    found = []
+    for i in range(n - 1):
+        if (group == group[0]).all():
+            break
+        mine = flat[edges[i]:edges[i + 1]]
+        low, many = begin[mine], begin[mine + 1] - begin[mine]
+        shared, steps = np.zeros(n, np.int64), np.cumsum(many) // INDEXED
+        for step in np.unique(steps):
+            a, m = low[steps == step], many[steps == step]
+            shared += np.bincount(holders[np.repeat(a - np.cumsum(m) + m, m) + np.arange(m.sum())], minlength=n)
+        linked = (100 + percent) * shared >= percent * (sizes + sizes[i])
+        linked[:i + 1] = False
+        linked &= (group != group[i]) & ((sides != sides[i]) | (sides == 2))
+        partners = np.flatnonzero(linked)
+        labels, one = np.unique(group[partners], return_index=True)
+        found += [(i, int(j)) for j in partners[one]]
+        if len(labels):
+            group[np.isin(group, labels)] = group[i]
+    return found
+
+
+def _settle(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns, cut in _grouped(batches, ["block", "part", "node", "root", "side", "tokens"]):
+            _, _, ids, roots, sides, tokens = columns
+            found = []
+            for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(ids)]):
+                if e - s > 1:
+                    found += [(s + i, s + j) for i, j in exact_links(list(tokens[s:e]), roots[s:e], sides[s:e], percent)]
+            a, b = (np.array([f[k] for f in found], np.int64) for k in (0, 1))
+            yield pairs_batch([(ids[a], ids[b])])
     return run
 
 
@@ -250,14 +349,12 @@ def pairs_batch(found) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
-def candidates(members: DataFrame, percent: int, single: bool, block_rows: int) -> DataFrame:
-    """Distinct pairs (a, b) from members (block, node, n, root, bitmap), each block counted in ``rows``.
+def dealt(members: DataFrame, single: bool, block_rows: int) -> DataFrame:
+    """Members (block, node, n, root, bitmap, known), each block counted in ``rows``, with part and side.
 
     Larger blocks are cut by component, components larger than a part once more by set, and the parts meet pairwise, but
     not those of one component. With ``single`` only the parts themselves are searched.
     """
-    spark = members.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     usual = members.where(F.col("rows") <= block_rows).withColumn("part", F.lit(0)).withColumn("side", F.lit(2))
     large = members.where(F.col("rows") > block_rows)
     parts = F.ceil(2 * F.col("rows") / block_rows).cast("int")
@@ -272,10 +369,13 @@ def candidates(members: DataFrame, percent: int, single: bool, block_rows: int)
         low, high = F.least("mine", "other"), F.greatest("mine", "other")
         large = large.withColumn("part", low * F.col("parts") + high + 1).withColumn(
             "side", F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1))
-    columns = ["block", "part", "node", "n", "root", "side", "bitmap"]
-    rows = usual.select(*columns).unionByName(large.select(*columns))
-    return rows.repartition(width, "block", "part").sortWithinPartitions("block", "part").mapInArrow(
-        _propose(percent, single), "a long, b long").distinct()
+    columns = ["block", "part", "node", "n", "root", "side", "bitmap", "known"]
+    return usual.select(*columns).unionByName(large.select(*columns))
+
+
+def by_group(members: DataFrame) -> DataFrame:
+    width = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return members.repartition(width, "block", "part").sortWithinPartitions("block", "part")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -357,14 +457,25 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"), "text_sha")
 
 
+def _postings(nodes: DataFrame) -> DataFrame:
+    """Members of every block of two or more: node, block, rows of the block, and known tokens before the block's."""
+    spread = nodes.select("node", F.posexplode("prefix").alias("at", "block"))
+    shared = cut_lineage(spread.groupBy("block").agg(F.count("*").alias("rows")).where("rows > 1"))
+    ordered = spread.join(shared, "block").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("at", "block", "rows"))).alias("l"))
+    first = F.transform(F.slice("l", 1, KNOWN), lambda x: x["block"])
+    each = ordered.select("node", first.alias("first"), F.posexplode("l").alias("k", "m"))
+    before = F.slice("first", F.lit(1), F.least("k", F.lit(KNOWN)))
+    known = F.slice(F.concat(before, F.array_repeat(F.lit(NONE), KNOWN)), 1, KNOWN)
+    return cut_lineage(each.select("node", "m.block", "m.rows", known.alias("known")))
+
+
 def _links(nodes: DataFrame, rows: DataFrame, size: int, percent: int, block_rows: int) -> DataFrame | None:
     """Verified links that join every component; None if no pair was proposed."""
-    postings = nodes.select("node", F.explode("prefix").alias("block"))
-    shared = cut_lineage(postings.groupBy("block").agg(F.count("*").alias("rows")).where("rows > 1"))
-    postings = cut_lineage(postings.join(shared, "block"))
+    postings = _postings(nodes)
     light = nodes.select("node", "n", "bitmap")
     members = postings.join(light, "node").withColumn("root", F.col("node"))
-    seeds = cut_lineage(candidates(members, percent, True, block_rows))
+    seeds = cut_lineage(by_group(dealt(members, True, block_rows)).mapInArrow(
+        _propose(percent, True), "a long, b long").distinct())
     active = seeds.select(F.col("a").alias("node")).union(seeds.select("b")).union(
         postings.where(F.col("rows") > block_rows).select("node")).distinct()
     active = cut_lineage(active)
@@ -378,9 +489,18 @@ def _links(nodes: DataFrame, rows: DataFrame, size: int, percent: int, block_row
     again = cut_lineage(postings.join(known, "node"))
     mixed = cut_lineage(again.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(
         "low < high").select("block"))
-    rest = candidates(again.join(mixed, "block"), percent, False, block_rows).join(seeds, ["a", "b"], "left_anti")
-    second = cut_lineage(verified(rest, sets, percent))
-    return first.unionByName(second)
+    meeting = cut_lineage(dealt(again.join(mixed, "block"), False, block_rows))
+    group = ["block", "part", "node"]
+
+    def suspects(members: DataFrame) -> DataFrame:
+        return cut_lineage(by_group(members).mapInArrow(_propose(percent, False), "block long, part int, node long"))
+
+    # long texts fill a small bitmap: who is left meets again with a wide one, and only then with whole sets
+    few = suspects(meeting).join(meeting.drop("bitmap"), group).join(
+        sets.select("node", F.col("wide").alias("bitmap")), "node")
+    there = suspects(few).join(meeting.select(*group, "root", "side"), group)
+    second = by_group(there.join(sets.select("node", "tokens"), "node")).mapInArrow(_settle(percent), "a long, b long")
+    return first.unionByName(cut_lineage(second))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:

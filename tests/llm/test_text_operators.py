@@ -181,6 +181,48 @@ def test_tree_proposes_every_pair_above_the_threshold():
     assert wanted and wanted <= proposed and len(proposed) < len(sets) * (len(sets) - 1) / 4
 
 
+def test_pairs_are_judged_in_the_block_of_their_first_shared_token():
+    none = ngram_join.NONE
+    known = np.array([[none, none], [7, none], [7, 8], [9, 8], [none, none]])
+    a, b = (np.array(x) for x in zip(*[(i, j) for i in range(5) for j in range(i)]))
+    apart = {(int(i), int(j)) for i, j, here in zip(a, b, ngram_join.judged_here(known[a], known[b])) if not here}
+    assert apart == {(2, 1), (3, 2)}
+
+
+def test_exact_links_join_what_pairs_join():
+    rng = np.random.default_rng(7)
+    base = np.sort(rng.choice(1 << 40, 300, replace=False))
+    sets = [np.unique(np.r_[rng.choice(base, rng.integers(200, 290), replace=False), rng.integers(0, 1 << 40, rng.integers(0, 30))])
+            for _ in range(60)]
+    for percent in (60, 75, 85):
+        for sides in (np.full(60, 2), rng.integers(0, 2, 60)):
+            roots = rng.integers(0, 50, 60)
+            real = [(i, j) for i in range(60) for j in range(i + 1, 60) if (sides[i] != sides[j] or sides[i] == 2)
+                    and 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))]
+            links = ngram_join.exact_links(sets, roots, sides, percent)
+
+            def joined(pairs):
+                group = roots.copy()
+                for i, j in pairs:
+                    group[group == group[j]] = group[i]
+                return {tuple(np.flatnonzero(group == g)) for g in group}
+
+            assert set(links) <= set(real) and joined(links) == joined(real) and len(links) < 60
+
+
+@pytest.mark.parametrize("n", [60, 120])
+def test_near_copies_below_the_threshold_make_no_rows(spark, monkeypatch, n):
+    """Copies of a text with so many other words that no two are similar enough: what is written grows with their number."""
+    rng, base = random.Random(4), prose(21, 400, 100000).split(" ")
+    texts = [" ".join(f"x{i}_{k}" if rng.random() < 0.024 else w for k, w in enumerate(base)) for i in range(n)]
+    rows = [(i, t, "en", "s", None) for i, t in enumerate(texts)]
+    written, real = [], ngram_join.cut_lineage
+    monkeypatch.setattr(ngram_join, "cut_lineage", lambda df: written.append(out := real(df)) or out)
+    found = ngram_join.similar_components(spark.createDataFrame(rows, SCHEMA), size=4, percent=85, frequent_from=4)
+    assert rows_of(found, "doc_id", "n_shingles", "component_id") == similar_brute(rows, 4, 85)
+    assert max(df.count() for df in written) <= 120 * n
+
+
 def test_components_of_star_chain_and_nothing(spark):
     links = [(0, i) for i in range(1, 200)] + [(i, i + 1) for i in range(300, 340)] + [(500, 501)]
     found = dict(rows_of(components.components(spark.createDataFrame(links, "a long, b long")), "node", "root"))
