@@ -155,7 +155,8 @@ def min_rank(df: DataFrame, value: str, name: str, by: list[str] | None = None,
     """
     by = by or []
     keys = [*by, value]
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    # written, since dealing by range looks at its input twice
+    counted = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
     order = [*by, F.col(value).desc() if descending else F.col(value).asc()]
     dealt = counted.repartitionByRange(default_parts(df), *order).sortWithinPartitions(*order)
     kind = T.StructType([*dealt.schema.fields, T.StructField("_before", T.LongType()), T.StructField("_task", T.IntegerType())])

@@ -28,10 +28,10 @@ def current_months(spark: SparkSession, path: str) -> dict[str, str]:
 
 
 def read_months(spark: SparkSession, path: str, schema: T.StructType, months: list[str] | None = None) -> DataFrame:
-    """The current rows with their month, of all months or of some; only their files are read."""
+    """The current rows with their month, of all months or of some; only their files are read. Without any, the plain schema."""
     current = {m: b for m, b in current_months(spark, path).items() if months is None or m in months}
     if not current:
-        return spark.createDataFrame([], T.StructType([*schema.fields, _PARTS[1]]))
+        return spark.createDataFrame([], schema)
     by_build: dict[str, list[str]] = {}
     for month, build in sorted(current.items()):
         by_build.setdefault(build, []).append(month)
