@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldpulse.functions.deletions import Kind, mark_filters, with_marks
 from fieldpulse.functions.text import clean_district, extract_plant, indel_ratio, norm_number, usable_extraction
 from fieldpulse.functions.values import finite
 from fieldpulse.operators.cleaning import pick_row
@@ -87,31 +88,39 @@ def _lengths(df: DataFrame, c: str) -> DataFrame:
     return df.agg(F.array_sort(F.collect_set(F.length(c))))
 
 
-def _pairs_by_deletion(queries: DataFrame, names: DataFrame, threshold: int, most: int) -> DataFrame:
-    """Pairs whose allowed distance is 1 to ``most``.
+def _length_pairs(queries: DataFrame, names: DataFrame, threshold: int) -> list[tuple[int, int, int]]:
+    """(query's length, name's length, allowed distance) of all that occur and may be near enough: no rows, only lengths."""
+    mine, theirs = (_lengths(df, c).first()[0] for df, c in ((queries, "query"), (names, "name")))
+    pairs = ((q, n, int((q + n) * (100 - threshold) / 100 + 1e-9)) for q in mine for n in theirs)
+    return [(q, n, limit) for q, n, limit in pairs if limit >= max(1, abs(q - n))]
 
-    Of d edits between lengths q and n exactly (d + q - n) / 2 delete from the query, so every string only offers the
-    deletions some length on the other side can call for.
-    """
-    def offered(df: DataFrame, c: str, other: DataFrame, o: str, cut: str) -> DataFrame:
-        mine = F.length(c)
 
-        def need(n: Column) -> Column:
-            limit = allowed_distance(mine + n, threshold)
-            fits = (limit >= 1) & (limit <= most) & (F.abs(mine - n) <= limit)
-            return F.when(fits, F.floor((limit + mine - n) / 2).cast("int")).otherwise(F.lit(-1))
-
-        rows = df.withColumn("_lens", _lengths(other, o).scalar())
-        rows = rows.withColumn("_need", F.array_max(F.transform("_lens", need))).where("_need >= 0")
-        return rows.select(c, F.explode(_remainders(F.col(c), most, F.col("_need"))).alias("_v")).select(
-            c, F.col("_v.rest").alias("rest"), F.col("_v.cut").alias(cut))
+def _pairs_by_deletion(queries: DataFrame, names: DataFrame, threshold: int, lengths: list[tuple[int, int, int]]) -> DataFrame:
+    """Pairs of the given lengths.
 
-    total = F.length("query") + F.length("name")
-    edits = F.col("_i") + F.col("_j")
-    met = offered(queries, "query", names, "name", "_i").join(offered(names, "name", queries, "query", "_j"), "rest")
-    limit = allowed_distance(total, threshold)
-    distance = met.where((limit <= most) & (edits <= limit)).groupBy("query", "name").agg(F.min(edits).alias("_d"))
-    return distance.select("query", "name", (100.0 * (total - F.col("_d")) / total).alias("score"))
+    Of d edits between lengths q and n exactly (d + q - n) / 2 delete from the query, and two strings that share a rest
+    share shorter ones too: for each pair of lengths both sides offer the rests of one length, that of the farthest pair.
+    Rests go as marks; a query's marks that no name has are mostly left out by a filter of fixed size before they are
+    shuffled. Neither side is broadcast: the marks are many times the strings, which the planner does not know.
+    """
+    asked, offered = [], []
+    for number, (q, n, limit) in enumerate(lengths):
+        d = limit - (limit - q + n) % 2
+        if d >= 1:
+            asked.append(Kind(number, q, (d + q - n) // 2))
+            offered.append(Kind(number, n, (d - q + n) // 2))
+    named = with_marks(names, "name", offered)
+    asking = with_marks(queries, "query", asked, mark_filters(named))
+    met = asking.select(F.col("text").alias("query"), "mark").hint("merge").join(
+        named.select(F.col("text").alias("name"), "mark"), "mark").select("query", "name").distinct()
+    return _measured(met, threshold)
+
+
+def _measured(met: DataFrame, threshold: int) -> DataFrame:
+    """Candidates that are similar enough; the ordinary edit distance, which is never larger, sorts out most others."""
+    limit = allowed_distance(F.length("query") + F.length("name"), threshold)
+    near = met.where(F.levenshtein("query", "name") <= limit)
+    return near.withColumn("score", indel_ratio("query", "name")).where(F.col("score") >= threshold)
 
 
 PART_EDITS = 2
@@ -160,15 +169,15 @@ def _pairs_by_part(queries: DataFrame, names: DataFrame, threshold: int, beyond:
         "query", "_from", F.col("_v.rest").alias("rest"), F.col("_v.cut").alias("_i"))
 
     limit = allowed_distance(m + n, threshold)
-    met = query_keys.join(name_keys, "rest").where(
+    # merged: the planner takes the keys for as small as the strings they were made of, and would broadcast them
+    met = query_keys.hint("merge").join(name_keys, "rest").where(
         (F.col("_i") + F.col("_j") <= PART_EDITS) & (limit > beyond) & (F.abs(m - n) <= limit)
         & (F.abs(F.col("_from") - F.col("_at")) <= limit)).select("query", "name").distinct()
-    near = met.where(F.levenshtein("query", "name") <= limit)
-    return near.withColumn("score", indel_ratio("query", "name")).where(F.col("score") >= threshold)
+    return _measured(met, threshold)
 
 
 def similar_pairs(queries: DataFrame, names: DataFrame, threshold: int = FUZZY_THRESHOLD,
-                  deletions: int = 3, longest: int | None = None) -> DataFrame:
+                  deletions: int = 4, longest: int | None = None) -> DataFrame:
     """(query, name, score) for all distinct pairs that differ and score at least ``threshold``.
 
     A caller that knows the length of its longest query and name together (``longest``) saves the searches for
@@ -177,9 +186,9 @@ def similar_pairs(queries: DataFrame, names: DataFrame, threshold: int = FUZZY_T
     queries = queries.select("query").where(F.col("query").isNotNull()).distinct()
     names = names.select("name").where(F.col("name").isNotNull()).distinct()
     farthest = None if longest is None else int(longest * (100 - threshold) / 100 + 1e-9)
-    most = deletions if farthest is None else max(min(deletions, farthest), 1)
-    pairs = _pairs_by_deletion(queries, names, threshold, most)
-    if farthest is None or farthest > deletions:
+    lengths = [pair for pair in _length_pairs(queries, names, threshold) if farthest is None or pair[2] <= farthest]
+    pairs = _pairs_by_deletion(queries, names, threshold, [pair for pair in lengths if pair[2] <= deletions])
+    if any(pair[2] > deletions for pair in lengths):
         pairs = pairs.unionByName(_pairs_by_part(queries, names, threshold, deletions))
     return pairs.where(F.col("query") != F.col("name"))
 

@@ -1,8 +1,11 @@
 import random
+from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fieldpulse.functions.deletions import Kind, rest_marks
 from fieldpulse.operators import labels as R
 from fieldpulse.plans.jobs import Store, label_upload
 from fieldpulse.schemas import OBJECTS
@@ -97,6 +100,22 @@ def test_known_lengths_leave_the_pairs_as_they_are(spark):
             == [r for r in pairs() if max(len(r[0]), len(r[1])) < 7])
 
 
+def test_similar_pairs_broadcast_no_keys(spark):
+    df = spark.range(60000).selectExpr("id * 7 || '-' || id AS name")
+    pairs = R.similar_pairs(df.withColumnRenamed("name", "query").limit(1000), df)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_marks_are_those_of_the_rests():
+    rests = {}
+    for text in ("abca", "bcaé", "aaaa"):
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)[None, :]
+        for gone, mark in zip(combinations(range(4), 2), rest_marks(codes, Kind(3, 4, 2))[0].tolist()):
+            rests.setdefault("".join(c for i, c in enumerate(text) if i not in gone), set()).add(mark)
+    assert all(len(marks) == 1 for marks in rests.values())
+    assert len(set.union(*rests.values())) == len(rests) > 8
+
+
 JOURNAL = ("id_cds_claim string, name_mr string, text_message string, t_ov string, d_create string, d_doklad string, "
            "d_close string, obj_koteln string, obj_ctp string, obj_ts string")
 
