@@ -115,6 +115,7 @@ def test_binned_and_raw_values_reach_the_same_leaves():
         tree.missing_left[i] = rng.random() < 0.5
     assert (bins == MISSING).any()
     assert tree.leaves(boosting.binned_side(tree, bins)).tolist() == tree.leaves(boosting.value_side(tree, values)).tolist()
+    assert boosting.binned_leaves(tree, np.ascontiguousarray(bins.T)).tolist() == tree.leaves(boosting.binned_side(tree, bins)).tolist()
 
 
 def test_training_without_use_or_gain(spark):
@@ -285,3 +286,10 @@ def test_lifetimes_fill_gaps_and_are_stored(spark, tmp_path):
     assert math.isclose(row["aft_median_days"], math.exp(model.intercept + model.coefficients[0] * model.medians[0] + model.coefficients[1] * row["b"]))
     with pytest.raises(ValueError, match="failed"):
         train_lifetime(frame.withColumn("event", F.lit(0)), ["a"])
+
+
+def test_blocks_are_dealt_to_all_cores(spark):
+    rows = spark.range(100000, numPartitions=1).selectExpr("cast(id % 97 as double) AS a", "cast(id % 2 as int) AS y")
+    blocks = boosting.binned_blocks(rows, rows.limit(0), ["a"], [[10.0, 50.0]], "y")
+    assert blocks.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert blocks.agg({"n": "sum"}).first()[0] == 100000
