@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,9 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 _SUMS = ", ".join(f"{c}_sum double, {c}_n long" for c in MEANS) + ", p_supply_min double, p_supply_max double, n_samples long"
 _SUM_NAMES = [part.split()[0] for part in _SUMS.split(", ")]
+_NUMBERS = ["segment", "revision", *_SUM_NAMES]  # of one day, as doubles: whole ones are exact below 2^53
+_LOW, _HIGH = _NUMBERS.index("p_supply_min"), _NUMBERS.index("p_supply_max")
+_COUNTS = ["segment", "revision", *[f"{c}_n" for c in MEANS], "n_samples"]
 DAY_REVISIONS = f"object_id string, day int, segment long, revision long, {_SUMS}"
 ORDER_REVISIONS = ("object_id string, opened_at int, revision long, last_alert_at int, alerts long, peak_score double, "
                    "open boolean, gone boolean")
@@ -37,10 +41,6 @@ def _late_kept(stream: DataFrame, seconds: str, delay: str, *columns: str) -> Da
     return timed.select(*columns)
 
 
-def _least(a, b):
-    return b if a is None else a if b is None else min(a, b)
-
-
 def _most(a, b):
     return b if a is None else a if b is None else max(a, b)
 
@@ -50,49 +50,81 @@ def _number(x):
 
 
 class DaySums(StatefulProcessor):
-    """Sums of every object-day, kept for ``keep_days`` after the watermark has passed the day."""
+    """Sums of every object-day, kept for ``keep_days`` after the watermark has passed the day.
+
+    An object's recent days are one value of state, a table of numbers: a batch reads and writes it once, however many days
+    it brings, and one timer waits for the earliest day.
+    """
 
     def __init__(self, keep_days: int):
         self.keep_days = keep_days
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.days = handle.getMapState("days", "day int", f"segment long, revision long, {_SUMS}")
-        self.let_go = handle.getValueState("let_go", "n long")
+        self.kept = handle.getValueState("kept", "let_go long, timer long, days binary, sums binary")
+
+    def stored(self) -> tuple[int, int | None, np.ndarray, np.ndarray]:
+        """Days let go, the day that the timer waits for, and the recent days with their rows of numbers."""
+        kept = self.kept.get()
+        if kept is None:
+            return 0, None, np.zeros(0, np.int64), np.zeros((0, len(_NUMBERS)))
+        days = np.frombuffer(kept[2], np.int64)
+        return kept[0], kept[1], days, np.frombuffer(kept[3], np.float64).reshape(len(days), len(_NUMBERS))
+
+    def store(self, let_go: int, timer: int | None, days: np.ndarray, table: np.ndarray) -> None:
+        if len(days) and timer != days[0]:
+            timer = int(days[0])
+            self.handle.registerTimer(self.expires(timer))
+        self.kept.update((let_go, timer, days.tobytes(), table.tobytes()))
+
+    def expires(self, day: int) -> int:
+        return (day + 1 + self.keep_days) * DAY_MS
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows))
-        batch["day"] = batch["ts_recorded"] // 86400
-        found = batch.groupby("day")
-        sums, counts = found[list(MEANS)].sum(), found[list(MEANS)].count()
-        low, high, n = found["p_supply"].min(), found["p_supply"].max(), found.size()
-        out = []
-        for day in n.index.tolist():
-            old = self.days.getValue((int(day),))
-            if old is None:
-                let_go = self.let_go.get()
-                old = (let_go[0] if let_go else 0, 0, *[0.0, 0] * len(MEANS), None, None, 0)
-                self.handle.registerTimer((int(day) + 1 + self.keep_days) * DAY_MS)
-            new = [old[0], old[1] + 1]
-            for i, c in enumerate(MEANS):
-                new += [old[2 + 2 * i] + float(sums.at[day, c]), old[3 + 2 * i] + int(counts.at[day, c])]
-            new += [_least(old[-3], _number(low[day])), _most(old[-2], _number(high[day])), old[-1] + int(n[day])]
-            self.days.updateValue((int(day),), tuple(new))
-            out.append((key[0], int(day), *new))
-        yield pd.DataFrame(out, columns=["object_id", "day", "segment", "revision", *_SUM_NAMES])
+        batch = {c: np.concatenate(parts) for c, parts in _columns(rows).items()}
+        found, place = np.unique(batch["ts_recorded"].astype(np.int64) // 86400, return_inverse=True)
+        let_go, timer, days, table = self.stored()
+        merged = np.union1d(days, found)
+        new = np.zeros((len(merged), len(_NUMBERS)))
+        new[:, 0] = let_go  # a day not stored starts a segment
+        new[:, _LOW], new[:, _HIGH] = np.nan, np.nan
+        new[np.searchsorted(merged, days)] = table
+        changed = np.searchsorted(merged, found)
+        new[changed, 1] += 1
+        for i, c in enumerate(MEANS):
+            known = ~np.isnan(batch[c])
+            new[changed, 2 + 2 * i] += np.bincount(place[known], batch[c][known], len(found))
+            new[changed, 3 + 2 * i] += np.bincount(place[known], minlength=len(found))
+        at = changed[place]
+        for column, pick in ((_LOW, np.fmin), (_HIGH, np.fmax)):
+            pick.at(new[:, column], at, batch["p_supply"])
+        new[changed, -1] += np.bincount(place, minlength=len(found))
+        self.store(let_go, timer, merged, new)
+        out = pd.DataFrame(new[changed], columns=_NUMBERS).astype({c: np.int64 for c in _COUNTS})
+        out.insert(0, "day", found.astype(np.int32))
+        out.insert(0, "object_id", key[0])
+        yield out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        day = expiredTimerInfo.getExpiryTimeInMs() // DAY_MS - 1 - self.keep_days
-        if self.days.containsKey((day,)):
-            self.days.removeKey((day,))
-            let_go = self.let_go.get()
-            self.let_go.update(((let_go[0] if let_go else 0) + 1,))
+        let_go, timer, days, table = self.stored()
+        passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        stay = self.expires(days) > passed
+        if not stay.all():
+            self.store(let_go + int((~stay).sum()), timer, days[stay], table[stay])
         yield from ()
 
     def close(self) -> None:
         pass
 
 
+def _columns(rows: Iterator[pd.DataFrame]) -> dict[str, list[np.ndarray]]:
+    out: dict[str, list[np.ndarray]] = {c: [] for c in ("ts_recorded", *MEANS)}
+    for part in rows:
+        for c, parts in out.items():
+            parts.append(part[c].to_numpy() if c == "ts_recorded" else part[c].to_numpy(np.float64, na_value=np.nan))
+    return out
+
+
 def day_revisions(stream: DataFrame, delay: str = "1 day", keep_days: int = 30) -> DataFrame:
     """A stream of readings to a stream of object-day revisions."""
     use_state_store(stream.sparkSession)
