@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from conftest import day
@@ -96,3 +97,35 @@ def test_bitmaps_count_exactly_in_any_order_and_for_any_days(spark, tmp_path):
     numbers = spark.read.parquet(f"{folder}/numbers")
     assert numbers.count() == numbers.select("number").distinct().count() == numbers.select("object_id").distinct().count()
     assert G.count_objects(bitmaps.limit(0)).count() == 0
+
+
+class FakeState:
+    """A handle and its one value, counting calls."""
+
+    def __init__(self):
+        self.value, self.calls = None, []
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def registerTimer(self, at):
+        self.calls.append(at)
+
+
+def test_a_batch_reads_and_writes_the_state_of_an_object_once():
+    state, sums = FakeState(), R.DaySums(30)
+    sums.init(state)
+    days = pd.DataFrame({"ts_recorded": [86400 * d for d in range(40)], **{c: 2.0 for c in R.MEANS}})
+    for revision in (1, 2):
+        state.calls.clear()
+        out = pd.concat(sums.handleInputRows(("A",), iter([days, days]), None))
+        assert len(out) == 40 and set(out["revision"]) == {revision} and set(out["n_samples"]) == {2 * revision}
+        assert state.calls == ["get", *([31 * R.DAY_MS] if revision == 1 else []), "update"]
