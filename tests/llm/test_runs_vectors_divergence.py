@@ -199,6 +199,49 @@ def test_dense_group_meets_no_products(spark):
     assert ties.count() <= 3200 and links.count() <= 3400
 
 
+def test_vectors_without_clusters_go_to_few_blocks(spark):
+    """Directions at random lie near many planes between cells; a vector still goes to half the blocks of its label at most."""
+    x = np.random.default_rng(3).normal(size=(4000, 48)).astype(np.float32)
+    nodes = spark.createDataFrame([(i, "a", 48, 1, v) for i, v in enumerate(x.tolist())],
+                                  "node long, label string, dim int, copies long, vec array<float>")
+    centres = embedding_dedup.fit_centres(nodes.select("vec"), 40, 48, 0.93)
+    placed = nodes.select("node", "label", "dim", "copies", "vec").mapInArrow(embedding_dedup._place(centres, 0.93), (
+        "node long, label string, dim int, copies long, home int, best double, core boolean, near array<int>")).drop("near")
+    layouts = embedding_dedup._layouts(placed, 1000)
+    dealt = placed.drop("best").join(nodes.select("node", "vec"), "node").mapInArrow(
+        embedding_dedup._deal(centres, 0.93, layouts, 8),
+        "task int, label string, dim int, block int, visits boolean, node long, core int, copies long, vec array<float>")
+    seen = dealt.groupBy("node").agg(F.count("*").alias("n"), F.countDistinct("block").alias("blocks"),
+                                     F.count_if(~F.col("visits")).alias("homes")).collect()
+    assert len(seen) == 4000 and all(r.homes == 1 and r.n == r.blocks <= 3 for r in seen)
+
+
+def test_tight_groups_of_a_block_meet_no_strangers():
+    """Links are those of all pairs, and groups far apart are not multiplied with each other."""
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(20, 32)), 100, axis=0) + 0.05 * rng.normal(size=(2000, 32))
+    x = x[rng.permutation(2000)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = pa.RecordBatch.from_pydict({"vec": pa.array(x.tolist(), pa.list_(pa.float64())), "core": pa.array([-1] * 2000, pa.int32()),
+                                       "copies": pa.array([1] * 2000, pa.int64()), "node": pa.array(range(2000), pa.int64())})
+    home, alone = (embedding_dedup._Block(r, 32, 0.93) for r in ([rows.slice(0, 1500)], [rows]))
+    home.among()
+    visits = [v.to_pandas() for v in home.visit(rows.slice(1500))]
+    alone.among()
+
+    def links_at(block):
+        return {r.node: r.links for t in block.totals() for r in t.to_pandas().itertuples() if r.node == r.node}
+
+    met = x @ x.T >= 0.93
+    np.fill_diagonal(met, False)
+    assert links_at(alone) == {i: n for i, n in enumerate(met.sum(axis=1).tolist()) if n}
+    met[1500:, 1500:] = False
+    visiting = {int(n): int(k) for v in visits for n, k in zip(v["node"], v["links"]) if n == n}
+    assert links_at(home) | visiting == {i: n for i, n in enumerate(met.sum(axis=1).tolist()) if n}
+    chosen = sum(behind - first for first, behind, middle in alone.tiles if middle >= 0)
+    assert chosen >= 1000 and len(alone.tiles) > 10  # groups around one leader; the leaders are drawn, some groups have none
+
+
 def test_spanning_links_join_all_groups():
     rng = np.random.default_rng(1)
     met = np.triu(rng.random((80, 80)) < 0.03, 1)
