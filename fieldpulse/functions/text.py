@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldpulse.functions.deletions import letters
 from fieldpulse.functions.values import col
 from fieldpulse.schemas import NOT_FOUND
 
@@ -66,3 +71,26 @@ def indel_ratio(a: Column | str, b: Column | str) -> Column:
     a, b = col(a), col(b)
     total = F.length(a) + F.length(b)
     return F.when(total == 0, F.lit(100.0)).otherwise(200.0 * lcs_length(a, b) / total)
+
+
+def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One dynamic-programming cell at a time for all pairs of the same two lengths."""
+    for batch in batches:
+        score = np.zeros(batch.num_rows)
+        for n, rows, a in letters(batch.column(0)):
+            for m, some, b in letters(batch.column(1).take(pa.array(rows))):
+                here = a[some].T
+                before = np.zeros((m + 1, len(some)), np.int32)
+                for i in range(n):
+                    row = np.zeros_like(before)
+                    for j in range(m):
+                        row[j + 1] = np.where(here[i] == b[:, j], before[j] + 1, np.maximum(before[j + 1], row[j]))
+                    before = row
+                score[rows[some]] = 200.0 * before[m] / (n + m) if n + m else 100.0
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "score"])
+
+
+def with_indel_ratio(pairs: DataFrame) -> DataFrame:
+    """Adds the ``indel_ratio`` of two columns of texts, neither null, as ``score``: many pairs at a time."""
+    a, b = pairs.columns
+    return pairs.mapInArrow(_scored, f"{a} string, {b} string, score double")

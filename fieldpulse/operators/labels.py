@@ -16,8 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldpulse.functions.deletions import Kind, mark_filters, with_marks
-from fieldpulse.functions.text import clean_district, extract_plant, indel_ratio, norm_number, usable_extraction
+from fieldpulse.functions.deletions import Kind, meetings
+from fieldpulse.functions.text import clean_district, extract_plant, norm_number, usable_extraction, with_indel_ratio
 from fieldpulse.functions.values import finite
 from fieldpulse.operators.cleaning import pick_row
 from fieldpulse.schemas import FUZZY_THRESHOLD, LABEL_SOURCE, NOT_FOUND, PLANT_TYPE
@@ -100,27 +100,24 @@ def _pairs_by_deletion(queries: DataFrame, names: DataFrame, threshold: int, len
 
     Of d edits between lengths q and n exactly (d + q - n) / 2 delete from the query, and two strings that share a rest
     share shorter ones too: for each pair of lengths both sides offer the rests of one length, that of the farthest pair.
-    Rests go as marks; a query's marks that no name has are mostly left out by a filter of fixed size before they are
-    shuffled. Neither side is broadcast: the marks are many times the strings, which the planner does not know.
+    Rests go as marks past filters of bounded size, so that only marks that both sides have are written and shuffled.
     """
-    asked, offered = [], []
+    kinds = []
     for number, (q, n, limit) in enumerate(lengths):
         d = limit - (limit - q + n) % 2
         if d >= 1:
-            asked.append(Kind(number, q, (d + q - n) // 2))
-            offered.append(Kind(number, n, (d - q + n) // 2))
-    named = with_marks(names, "name", offered)
-    asking = with_marks(queries, "query", asked, mark_filters(named))
-    met = asking.select(F.col("text").alias("query"), "mark").hint("merge").join(
-        named.select(F.col("text").alias("name"), "mark"), "mark").select("query", "name").distinct()
-    return _measured(met, threshold)
+            kinds.append((Kind(number, q, (d + q - n) // 2), Kind(number, n, (d - q + n) // 2)))
+    found = queries.sparkSession.createDataFrame([], "query string, name string, score double")
+    for met in meetings(queries, names, kinds):
+        found = found.unionByName(cut_lineage(_measured(met, threshold)))
+    return found
 
 
 def _measured(met: DataFrame, threshold: int) -> DataFrame:
     """Candidates that are similar enough; the ordinary edit distance, which is never larger, sorts out most others."""
     limit = allowed_distance(F.length("query") + F.length("name"), threshold)
     near = met.where(F.levenshtein("query", "name") <= limit)
-    return near.withColumn("score", indel_ratio("query", "name")).where(F.col("score") >= threshold)
+    return with_indel_ratio(near.select("query", "name")).where(F.col("score") >= threshold)
 
 
 PART_EDITS = 2

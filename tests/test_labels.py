@@ -5,7 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fieldpulse.functions import deletions
 from fieldpulse.functions.deletions import Kind, rest_marks
+from fieldpulse.functions.text import with_indel_ratio
 from fieldpulse.operators import labels as R
 from fieldpulse.plans.jobs import Store, label_upload
 from fieldpulse.schemas import OBJECTS
@@ -106,6 +108,48 @@ def test_similar_pairs_broadcast_no_keys(spark):
     assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
 
 
+def test_marks_without_a_partner_are_not_written(spark, monkeypatch):
+    """Each side has some 200 000 rests; written are those that meet, however many parts the filters take."""
+    rnd = random.Random(5)
+    names = sorted({"".join(rnd.choice("0123456789") for _ in range(12)) + "é" * (i % 50 == 0) for i in range(1500)})
+    queries = [n[:3] + n[4:] + "7" for n in names[:100]] + ["".join(rnd.choice("0123456789") for _ in range(12)) for _ in range(1500)]
+    asked, df = (spark.createDataFrame([(x,) for x in c], "query string") for c in (queries, names))
+    rests = {(a, b): (Kind(10 * a + b, 11 + a, 2), Kind(10 * a + b, 11 + b, 2 - a + b)) for a in (1, 2) for b in (1, 2)}
+    written = []
+    kept = deletions.cut_lineage
+    monkeypatch.setattr(deletions, "cut_lineage", lambda rows: written.append(kept(rows)) or written[-1])
+
+    def left(text, cut):
+        return {"".join(c for i, c in enumerate(text) if i not in gone) for gone in combinations(range(len(text)), cut)}
+
+    expected = set()
+    by_rest = {}
+    for n in names:
+        for a in (1, 2):
+            for rest in left(n, 1 - a + len(n) - 10):
+                by_rest.setdefault((a, rest), set()).add(n)
+    for q in set(queries):
+        for rest in left(q, 2):
+            expected |= {(q, n) for n in by_rest.get((len(q) - 11, rest), ())}
+    for most in (deletions.MOST_MARKS, 30000):
+        written.clear()
+        parts = list(deletions.meetings(asked, df.toDF("name"), list(rests.values()), most))
+        met = [tuple(r) for part in parts for r in part.collect()]
+        assert len(met) == len(set(met)) and set(met) >= expected >= {(q, n) for q, n in zip(queries, names[:100]) if len(n) == 12}
+        assert len(parts) > 3 or most > 30000
+        marks = [w for w in written if "mark" in w.columns]
+        assert marks and sum(w.count() for w in marks) < 40000
+
+
+def test_scores_of_many_pairs_are_those_of_each(spark):
+    rnd = random.Random(2)
+    words = ["", "a", "ёж", "😀b"] + ["".join(rnd.choice("abё1") for _ in range(rnd.randint(1, 9))) for _ in range(60)]
+    pairs = spark.createDataFrame([(a, rnd.choice(words)) for a in words for _ in range(5)], "query string, name string")
+    for r in with_indel_ratio(pairs).collect():
+        total = len(r["query"]) + len(r["name"])
+        assert r["score"] == (200.0 * lcs(r["query"], r["name"]) / total if total else 100.0)
+
+
 def test_marks_are_those_of_the_rests():
     rests = {}
     for text in ("abca", "bcaé", "aaaa"):
