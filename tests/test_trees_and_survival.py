@@ -293,3 +293,30 @@ def test_blocks_are_dealt_to_all_cores(spark):
     blocks = boosting.binned_blocks(rows, rows.limit(0), ["a"], [[10.0, 50.0]], "y")
     assert blocks.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert blocks.agg({"n": "sum"}).first()[0] == 100000
+
+
+def test_passes_sum_the_lighter_children_only(spark, monkeypatch):
+    """What is left of a parent is its other child, to the last bit: the tree is that of summing all nodes."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 3))
+    y = (x[:, 0] + x[:, 1] * (x[:, 0] > 0) + 0.5 * rng.normal(size=3000) > 0.8).astype(int)
+    rows = spark.createDataFrame([(*map(float, r), int(k)) for r, k in zip(x, y)], "a double, b double, c double, y int")
+    cuts = boosting.quantile_cuts(rows, ["a", "b", "c"])
+    blocks = boosting.binned_blocks(rows, rows.limit(0), ["a", "b", "c"], cuts, "y")
+    asked, sums = [], boosting._Trainer.sums
+
+    def seen(self, job):
+        asked.append(job.wanted)
+        return sums(self, job)
+
+    def whole(self, job):
+        job.wanted[:] = True
+        return sums(self, job)
+
+    def grown(how):
+        monkeypatch.setattr(boosting._Trainer, "sums", how)
+        return boosting._Trainer(blocks, cuts, 2.0, 3, 0.1, 0.8, 1.0, 5.0, 1.0, 7).grow(0)[0]
+
+    tree, full = grown(seen), grown(whole)
+    assert all((a == b).all() for a, b in zip(vars(tree).values(), vars(full).values()))
+    assert [len(w) for w in asked] == [1, 2, 4] and asked[1].sum() == 1 and asked[2].sum() == 2
