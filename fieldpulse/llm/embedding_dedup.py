@@ -17,7 +17,6 @@ double precision. A task answers with the number of links of each row and with t
 
 from __future__ import annotations
 
-import hashlib
 import math
 import zlib
 from collections.abc import Iterator
